@@ -29,8 +29,12 @@ RULES: dict[str, tuple[str, str]] = {
 }
 #: What EM starts from: the share of good texts and, for each class, how often
 #: a rule votes bad or good. Most rules look for one defect each and abstain
-#: without it, as lack of one defect says little about the others. These weigh as PRIOR_WEIGHT of all texts.
+#: without it, as lack of one defect says little about the others. These weigh
+#: as PRIOR_WEIGHT of all texts. LIFT: a bad vote is at least so many times as
+#: likely on a bad text as on a good one, or else rules that find different
+#: defects would be taken for errors of one another.
 PRIOR_GOOD, PRIOR_WEIGHT, ROUNDS = 0.85, 0.1, 50
+LIFT = 100.0
 START_GOOD, START_BAD = {-1: 0.002, 1: 0.8}, {-1: 0.25, 1: 0.6}
 
 
@@ -140,6 +144,10 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> Model:
         share = lambda got, prior, of, w: {v: (got[v] + w * prior[v] + 1e-9) / (of + w + 3e-9) for v in got}
         on_good = [share(c[0], s[0], mass, weight * PRIOR_GOOD) for c, s in zip(cast, start, strict=True)]
         on_bad = [share(c[1], s[1], total - mass, weight * (1 - PRIOR_GOOD)) for c, s in zip(cast, start, strict=True)]
+        for g, b in zip(on_good, on_bad, strict=True):
+            low = min(g[-1], b[-1] / LIFT)
+            g[0] += g[-1] - low
+            g[-1] = low
     return good, on_good, on_bad
 
 
@@ -152,9 +160,12 @@ def posterior(vote: tuple[int, ...], model: Model) -> float:
 
 
 def learn(voted: DataFrame) -> Model:
-    """EM over all rows; only counts of vote patterns, 3 ** len(RULES) at most, reach the driver."""
+    """EM over all texts that the base rules leave to the vote.
+
+    Only counts of vote patterns, 3 ** len(RULES) at most, reach the driver.
+    """
     names = [f"v_{k}" for k in RULES]
-    found = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()
+    found = voted.where(~base_failed()).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()
     return estimate(sorted((tuple(r[c] for c in names), r["n"]) for r in found))
 
 
