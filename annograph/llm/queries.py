@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compression_quality, packing, pii, rules, sharding, tokens
+from . import chat, compression_quality, decontam, packing, pii, rules, sharding, tokens
 
 #: Place of the vocabulary of op10; None: the public tokenizers' own.
 VOCABULARY: str | None = None
@@ -42,6 +42,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_in_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge_documents(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
     "op6_personal_data": op6_personal_data,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_parquet": op10_token_parquet,
 }
