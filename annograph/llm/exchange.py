@@ -24,6 +24,8 @@ from .common import materialise, small_batches
 TOKEN_BITS = 44
 #: Bytes of text in a batch, and tokens in a bucket.
 BATCH_BYTES, BUCKET_TOKENS = 4 << 20, 2_000_000
+#: Rows of an Arrow batch where rows hold blobs.
+BLOB_ROWS = 16
 
 Texts = tuple[np.ndarray, pa.Array]
 #: Document numbers and tokens of a batch's texts, sorted, each pair once.
@@ -169,6 +171,7 @@ def document_counts(batches: DataFrame, tokens: Tokens, total: int) -> DataFrame
         if held:
             yield close()
 
+    small_batches(batches.sparkSession, BLOB_ROWS)
     sent = batches.mapInArrow(send, "bucket long, batch long, rest binary, n binary")
     return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(count, "batch long, bucket long, flags binary")
 
@@ -195,7 +198,7 @@ def with_rows(batches: DataFrame, more: DataFrame, use: Callable[[bytes, list[tu
         if blob is not None and (out := use(blob, held, at)) is not None:
             yield out
 
-    small_batches(batches.sparkSession, 256)
+    small_batches(batches.sparkSession, BLOB_ROWS)
     return _by_batch(batches, more).mapInArrow(run, schema)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compression_quality, decontam, packing, pii, rules, setjoin, sharding, tokens
+from . import chat, compression_quality, decontam, packing, pii, rules, setjoin, sharding, substring, tokens
 
 #: Place of the vocabulary of op10; None: the public tokenizers' own.
 VOCABULARY: str | None = None
@@ -27,6 +27,10 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.score(documents, compression_quality.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar_classes(table(spark, sf_dir, "documents"), setjoin.Rule(words=4, percent=85))
 
@@ -66,6 +70,7 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_compression_quality": op2_compression_quality,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
     "op6_personal_data": op6_personal_data,

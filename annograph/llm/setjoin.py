@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, hashed_words, materialise, mixed, sequences, small_batches, within
 from .components import connected_components
-from .exchange import classes_of, document_counts, text_batches, with_rows
+from .exchange import classes_of, document_counts, text_batches, unpack_texts, with_rows
 
 #: Documents and tokens of the largest family that one task joins at once;
 #: larger ones are cut into blocks, each pair of which is a task's.
@@ -249,8 +249,6 @@ def similar_classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     flags = document_counts(batches, _tokens(words), total)
 
     def index(blob: bytes, back: list[tuple[int, bytes]], _: int) -> pa.RecordBatch | None:
-        from .exchange import unpack_texts
-
         ids, texts = unpack_texts(blob)
         doc, tok, sizes = shingles(texts, words)
         if not len(tok):
@@ -271,9 +269,9 @@ def similar_classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))], ["doc_id", "n", "toks", "pre", "listed"])
 
-    small_batches(spark, 256)
     indexed = materialise(with_rows(batches, flags, index, "doc_id long, n long, toks binary, pre binary, listed array<long>"), "indexed")
 
+    small_batches(spark)
     # each list ties its members to its first: a star, not all pairs
     entries = indexed.select("doc_id", F.explode("listed").alias("t"))
     leaders = entries.groupBy("t").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
