@@ -247,7 +247,7 @@ def current_flow_betweenness(w: np.ndarray) -> np.ndarray:
             rank = np.sort(row)
             k = np.arange(n)
             out[v] += ((2 * k - n + 1) * rank).sum()  # sum over pairs of |row_s - row_t|
-    return (out / 2 - (n - 1)) / ((n - 1) * (n - 2) / 2)
+    return (out / 2 - (n - 1) / 2) / ((n - 1) * (n - 2) / 2)
 
 
 def betweenness(neighbours: list[list[int]]) -> np.ndarray:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from annograph.functions import numerics
 from annograph.functions.columns import entropy_term
 
+from .dynamics import cut_lineage
+
 
 def build(vectors: DataFrame, method: str = "ward", group: str = "group") -> DataFrame:
     """(group, merge, left, right, dist, size) per group of rows (group, id, x array).
@@ -134,16 +136,15 @@ def disjoint_cover(m: DataFrame, ranking: Column) -> DataFrame:
     cluster above or below it that is taken ranks before it. Rounds take all
     clusters that rank first among their relatives left.
     """
-    ranked = m.groupBy("merge", "size", "dist").agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.row_number().over(Window.orderBy(ranking, "merge"))).select("merge", "_k").cache()
-    pairs = m.select("merge", "leaf").join(m.select(F.col("merge").alias("_o"), "leaf"), "leaf").where("merge <> _o").select("merge", "_o").distinct().cache()
-    left, taken = ranked, None
+    ranked = m.groupBy("merge", "size", "dist").agg(F.count(F.lit(1)).alias("_n"))
+    left = cut_lineage(ranked.withColumn("_k", F.row_number().over(Window.orderBy(ranking, "merge"))).select("merge", "_k"))
+    pairs = cut_lineage(m.select("merge", "leaf").join(m.select(F.col("merge").alias("_o"), "leaf"), "leaf").where("merge <> _o").select("merge", "_o").distinct())
+    taken = left.select("merge").limit(0)
     while not left.isEmpty():
         other = left.select(F.col("merge").alias("_o"), F.col("_k").alias("_ok"))
         beaten = pairs.join(left, "merge").join(other, "_o").where("_ok < _k").select("merge").distinct()
-        now = left.join(beaten, "merge", "left_anti")
-        taken = now if taken is None else taken.unionByName(now)
-        gone = now.select("merge").unionByName(pairs.join(now.select(F.col("merge").alias("_o")), "_o").select("merge")).distinct()
-        left = left.join(gone, "merge", "left_anti").cache()
-    return ranked.limit(0).select("merge") if taken is None else taken.select("merge")
-
-
+        now = cut_lineage(left.join(beaten, "merge", "left_anti").select("merge"))
+        taken = taken.unionByName(now)
+        gone = now.unionByName(pairs.join(now.select(F.col("merge").alias("_o")), "_o").select("merge")).distinct()
+        left = cut_lineage(left.join(gone, "merge", "left_anti"))
+    return taken

@@ -38,6 +38,7 @@ def uniform(*columns: str | Column) -> Column:
 
 def layers(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, id, layer): least number of steps from each source along the edges."""
+    edges = cut_lineage(edges)
     seen = cut_lineage(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("layer")))
     front, step = seen, 0
     while True:
@@ -56,7 +57,7 @@ def realised_layers(edges: DataFrame, sources: DataFrame, seeds: int, correction
     a number drawn for (seed, step, edge). A seed ends when no new node was
     visited for ``patience`` steps; all end after ``most``.
     """
-    spark = edges.sparkSession
+    spark, edges = edges.sparkSession, cut_lineage(edges)
     seen = cut_lineage(sources.select("id").crossJoin(F.broadcast(spark.range(seeds).withColumnRenamed("id", "seed"))).select("seed", "id", F.lit(0).alias("layer")))
     quiet = 0
     for step in range(1, most + 1):
@@ -129,6 +130,7 @@ def weighted_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, weighted: bool = False, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
     """(id, rank) after a fixed number of rounds; mass of nodes without targets is spread evenly."""
+    edges = cut_lineage(edges)
     w = F.col("weight") if weighted else F.lit(1.0)
     e = edges.select("pre", "post", (w / F.sum(w).over(Window.partitionBy("pre"))).alias("s"))
     ids = cut_lineage(node_ids(edges))
@@ -178,6 +180,7 @@ def per_network(edges: DataFrame, measure: str, group: str | None = None) -> Dat
 
 def centralities(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(id, one column per measure): degrees, strengths, harmonic and PageRank both ways, current flow."""
+    edges = cut_lineage(edges)
     back = reversed_edges(edges)
     parts = [
         degrees(edges),

@@ -113,9 +113,9 @@ def _mapping(t):
     return gm.node_mapping(gm.completed(gm.identity_matching(p), p), nodes)
 
 
-@query("node_mapping", f"WITH {_MAP} SELECT * FROM mp")
+@query("node_mapping", f"WITH {_MAP} SELECT id_1, id_2, place, node_1::VARCHAR AS node_1, node_2::VARCHAR AS node_2 FROM mp")
 def _(t):
-    return _mapping(t)
+    return _mapping(t).withColumns({c: F.col(c).cast("string") for c in ("node_1", "node_2")})
 
 
 @query("match_meta", f"WITH {_MAP}, {A} SELECT id_1, id_2, place, u.type AS type_1, v.type AS type_2, coalesce(u.type = v.type, FALSE) AS same FROM mp LEFT JOIN a u ON u.id = node_1 LEFT JOIN a v ON v.id = node_2")
