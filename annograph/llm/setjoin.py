@@ -299,12 +299,11 @@ def keep_first(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     the smallest doc_id; of rows that share it, the first by its columns. Rows of
     null doc_id all stay.
     """
-    from pyspark.sql import Window
-
-    kept = similar_classes(documents, rule).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    same = documents.join(kept, documents["doc_id"] == kept["_kept"], "left_semi")
-    again = same.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    once = same.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(*(F.col(f"`{c}`") for c in documents.columns))
-    first = same.join(again, F.col("doc_id") == F.col("_again"), "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return once.unionByName(first).unionByName(documents.where("doc_id is null"))
+    kept = similar_classes(documents, rule).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    # columns may have any names, so a row travels as one struct
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    same = rows.join(kept, "id", "left_semi")
+    again = same.groupBy("id").count().where("count > 1").select("id")
+    once = same.join(again, "id", "left_anti").select("row")
+    first = same.join(again, "id", "left_semi").groupBy("id").agg(F.min("row").alias("row")).select("row")
+    return once.unionAll(first).unionAll(rows.where("id is null").select("row")).select("row.*")
