@@ -9,9 +9,11 @@ metadata without decoding the rest.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,12 @@ FORMAT = {
     "compression": "zstd",
 }
 
+#: A Latin word and what may follow it: the pre-tokeniser cuts there and nowhere else.
+_LETTERS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]*)")
+#: Byte-level vocabularies write visible bytes as themselves, others from U+0100 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_NAMES = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
 _ODD = re.compile(r"\s(?=\s)|^\s|\s$|[^\S \n]")
 
 
@@ -46,7 +54,8 @@ class Encoder:
     The vocabulary's pre-tokeniser starts anew at a lone space or line feed
     between two visible characters. Texts where all white space is of that kind
     are encoded by words, each new word once per worker; other texts, and those
-    that contain an added token's string, are encoded in one piece.
+    that contain an added token's string, are encoded in one piece. A new word
+    of Latin letters is one pre-token and goes straight to the library's model.
     """
 
     def __init__(self, path: str):
@@ -61,6 +70,12 @@ class Encoder:
         self.by_word = len(feed) == 1 and probe == parts
         self.feed = feed[0] if feed else -1
         self.feed_bytes = np.array(feed, "<u4").tobytes()
+        made = json.loads(self.tokenizer.to_str())
+        split, model = made.get("pre_tokenizer") or {}, made["model"]
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        quiet = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        self.direct = bool(plain and quiet and made.get("normalizer") is None and made.get("post_processor") is None and model.get("type") == "BPE")
+        self.ends: dict[str, bytes] = {"": b""}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -68,8 +83,21 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str], lead: str, table: dict[str, bytes]) -> None:
-        for low in range(0, len(words), 20_000):
-            part = words[low : low + 20_000]
+        rest = words
+        if self.direct:
+            rest, tokenize, lead_name = [], self.tokenizer.model.tokenize, "".join(_BYTE_NAMES[b] for b in lead.encode())
+            for w in words:
+                m = _LETTERS.fullmatch(w)
+                if m is None:
+                    rest.append(w)
+                    continue
+                word, end = m.groups()
+                if end not in self.ends:
+                    self.ends[end] = self.whole(end)
+                name = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_NAMES)
+                table[w] = array("I", [t.id for t in tokenize(lead_name + name)]).tobytes() + self.ends[end]
+        for low in range(0, len(rest), 20_000):
+            part = rest[low : low + 20_000]
             ids = np.array(self.tokenizer.encode("\n".join([lead + w for w in part]), add_special_tokens=False).ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.feed), len(ids)).tolist()
             if len(ends) != len(part):
