@@ -515,9 +515,9 @@ def _(t):
     return t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation")).unionByName(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation")))
 
 
-@query("element_spans", "SELECT l_orderkey, l_linenumber, s AS start, s + l AS end FROM (SELECT l_orderkey, l_linenumber, l_returnflag, floor(l_quantity)::BIGINT AS l, coalesce(sum(floor(l_quantity)::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM lineitem) WHERE l_returnflag <> 'N'".replace("AS end", 'AS "end"'))
+@query("element_spans", "SELECT l_orderkey, l_linenumber, s AS start, s + l AS end FROM (SELECT l_orderkey, l_linenumber, l_returnflag, l, coalesce(sum(l) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag, sum(floor(l_quantity)::BIGINT)::BIGINT AS l FROM lineitem GROUP BY 1, 2)) WHERE l_returnflag <> 'N'".replace("AS end", 'AS "end"'))
 def _(t):
-    l = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", F.floor("l_quantity").alias("len"))  # noqa: E741
+    l = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"), F.sum(F.floor("l_quantity")).alias("len"))  # noqa: E741
     return tx.spans_from_lengths(l, "l_orderkey", "l_linenumber", "l_returnflag", "len", "N").select("l_orderkey", "l_linenumber", "start", "end")
 
 
