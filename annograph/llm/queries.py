@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compression_quality, decontam, packing, pii, rules, setjoin, sharding, substring, tokens
+from . import chat, compression_quality, decontam, packing, pii, rules, setjoin, sharding, substring, tokens, twins
 
 #: Place of the vocabulary of op10; None: the public tokenizers' own.
 VOCABULARY: str | None = None
@@ -81,4 +81,4 @@ QUERIES: dict[str, Query] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(twins.BY_QUERY)
