@@ -70,9 +70,11 @@ def rare(index: Index, seen: np.ndarray, documents: int) -> Index:
     """The seeds that few documents hold, and each item's rarest in any case."""
     keep = seen <= max(COMMON_DOCS, COMMON_SHARE * documents)
     seed_of = np.repeat(np.arange(len(index.seeds)), np.diff(index.low))
-    for i in range(len(index.items)):
-        own = np.unique(seed_of[index.at[:, 0] == i])
-        keep[own[np.lexsort((own, seen[own]))[:LEAST_SEEDS]]] = True
+    pairs = np.unique(np.column_stack([index.at[:, 0], seed_of]), axis=0)
+    item, seed = pairs[:, 0], pairs[:, 1]
+    order = np.lexsort((seed, seen[seed], item))
+    rank = np.arange(len(order)) - np.searchsorted(item, item)  # items stay in order, so places are ranks
+    keep[seed[order][rank < LEAST_SEEDS]] = True
     return index.only(keep)
 
 

@@ -270,6 +270,19 @@ def test_alignment_is_smith_waterman():
         assert math.isclose(decontam.align(a, b)[0], h.max())
 
 
+def test_rarest_seeds_of_every_item_stay():
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(12)]
+    index = decontam.index_items([(i, " ".join(rng.choice(vocabulary, rng.integers(0, 40)))) for i in range(30)])
+    seen = rng.integers(0, 400, len(index.seeds))
+    seed_of = np.repeat(np.arange(len(index.seeds)), np.diff(index.low))
+    want = set(np.flatnonzero(seen <= decontam.COMMON_DOCS).tolist())
+    for i in range(30):
+        own = sorted({int(s) for s in seed_of[index.at[:, 0] == i]}, key=lambda s: (seen[s], s))
+        want |= set(own[: decontam.LEAST_SEEDS])
+    assert decontam.rare(index, seen, 1000).seeds.tolist() == index.seeds[sorted(want)].tolist()
+
+
 def test_decontamination(spark, odd, empty):
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "nu xi"), (3, None), (None, "omicron pi rho sigma tau upsilon phi chi psi")]
     bench = spark.createDataFrame(items, "item_id long, text string")
