@@ -80,24 +80,47 @@ def _dictionary(texts: list[str]) -> bytes:
     return b"".join(r[max(0, len(r) // 3 - share // 2) :][:share] for r in raws)[:DICT_BYTES].ljust(16, b" ")
 
 
+def _sampled_ids(labels: DataFrame, label: str) -> list[tuple[int, int, int]]:
+    """(doc_id, label, remainder) of each label's rows of lowest doc_id hash.
+
+    Counts give the hash below which about enough rows lie, so that what
+    reaches the driver is bounded however many rows and partitions there are.
+    """
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    known = labels.where(F.col(label).isin(0, 1) & (part != 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    known = known.select("doc_id", "y", part.cast("int").alias("part"), F.xxhash64("doc_id").alias("h"))
+    low = F.lit(False)
+    for r in known.groupBy("y", "part").count().collect():  # at most four rows
+        n = FIT_ROWS if r["part"] else DICT_ROWS
+        share = min(1.0, (n + 6 * n**0.5) / r["count"])
+        low = low | ((F.col("y") == r["y"]) & (F.col("part") == r["part"]) & (F.col("h") <= min(2**63 - 1, int(share * 2**64) - 2**63)))
+    taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r in known.where(low).collect():
+        taken.setdefault((r["y"], r["part"]), []).append((r["h"], r["doc_id"]))
+    return [(i, y, of) for (y, of), rows in sorted(taken.items()) for _, i in sorted(rows)[: FIT_ROWS if of else DICT_ROWS]]
+
+
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Learn from labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
     Of these, remainder 0 gives the dictionaries and 2 the calibration. Each
-    sample is the rows of lowest doc_id hash, bounded as documented above; null
-    labels, null texts and labels without a document are left out.
+    sample is the labelled ids of lowest hash, bounded as documented above; of
+    rows that share an id, the least text counts. Null labels, null texts and
+    labels without a document are left out. Only the sampled ids, at most
+    2 * (DICT_ROWS + FIT_ROWS), are broadcast; texts are not shuffled but for these.
     """
-    part = F.crc32(F.col("doc_id").cast("string")) % 3
-    known = labels.where(F.col(label).isin(0, 1) & (part != 1)).groupBy("doc_id").agg(F.max(label).alias("_y"))
-    rows = documents.select("doc_id", F.substring(F.col("text"), 1, SAMPLE_CHARS).alias("_t")).where(F.col("_t").isNotNull() & (part != 1))
-    rows = rows.join(known, "doc_id").select(F.xxhash64("doc_id").alias("_h"), "doc_id", "_t", "_y", part.alias("_part"))
+    spark = documents.sparkSession
+    ids = _sampled_ids(labels, label)
+    wanted = F.broadcast(spark.createDataFrame([(i,) for i, _, _ in ids], "doc_id long"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text"), 1, SAMPLE_CHARS).alias("t")).where("t is not null")
+    texts = {r["doc_id"]: r["t"] for r in rows.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("t").alias("t")).collect()}
 
-    def sample(y: int, of: int, n: int) -> list[str]:
-        return [r["_t"] for r in rows.where((F.col("_y") == y) & (F.col("_part") == of)).orderBy("_h", "doc_id", "_t").limit(n).collect()]
+    def sample(y: int, of: int) -> list[str]:
+        return [texts[i] for i, own, rest in ids if own == y and rest == of and i in texts]
 
-    good, bad = (_dictionary(sample(y, 0, DICT_ROWS)) for y in (1, 0))
+    good, bad = (_dictionary(sample(y, 0)) for y in (1, 0))
     meter = _Meter(good, bad)
-    fit = [(t, y) for y in (0, 1) for t in sample(y, 2, FIT_ROWS)]
+    fit = [(t, y) for y in (0, 1) for t in sample(y, 2)]
     if len({y for _, y in fit}) < 2:
         return Model(good, bad, [0.0] * 3, [1.0] * 3, [0.0] * 10)
     mean, scale, w = calibrate(np.array([meter.features(t) for t, _ in fit]), np.array([float(y) for _, y in fit]))
