@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, text_or_empty
+from .common import buffers, new_path, small_batches, text_or_empty
 
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
-#: Words kept with their ids by a worker; beyond, the table starts anew.
+#: Bytes of text encoded at once, but for a longer text.
+BATCH = 8 << 20
+#: Units kept with their ids by a worker; beyond, the table starts anew.
 WORD_CACHE = 500_000
 
 FORMAT = {
@@ -39,23 +41,26 @@ FORMAT = {
     "compression": "zstd",
 }
 
-#: A Latin word and what may follow it: the pre-tokeniser cuts there and nowhere else.
-_LETTERS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]*)")
+#: A Latin word after at most one space, and what may follow it: the pre-tokeniser cuts there and nowhere else.
+_LETTERS = re.compile(r"( ?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]*)")
+_OTHER = re.compile(r"[^A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F.,;:!?]")
 #: Byte-level vocabularies write visible bytes as themselves, others from U+0100 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_NAMES = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
-_ODD = re.compile(r"\s(?=\s)|^\s|\s$|[^\S \n]")
+_WHITE = re.compile(r"\s")
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit integers.
+    """Ids of whole texts.
 
     The vocabulary's pre-tokeniser starts anew at a lone space or line feed
     between two visible characters. Texts where all white space is of that kind
-    are encoded by words, each new word once per worker; other texts, and those
-    that contain an added token's string, are encoded in one piece. A new word
-    of Latin letters is one pre-token and goes straight to the library's model.
+    are cut there into units (a word with the space before it, or a line feed).
+    A batch's units are made distinct by Arrow, each new one is encoded once per
+    worker, and the ids are laid out by index. Other texts, and those that
+    contain an added token's string, are encoded in one piece. A new unit of
+    Latin letters is one pre-token and goes straight to the library's model.
     """
 
     def __init__(self, path: str):
@@ -63,67 +68,116 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         probe = self.tokenizer.encode("a b\nc", add_special_tokens=False).ids
         parts = [i for x in ("a", " b", "\n", "c") for i in self.tokenizer.encode(x, add_special_tokens=False).ids]
-        self.by_word = len(feed) == 1 and probe == parts
+        self.by_word = len(feed) == 1 and probe == parts and not any(_WHITE.search(t) for t in special)
         self.feed = feed[0] if feed else -1
-        self.feed_bytes = np.array(feed, "<u4").tobytes()
         made = json.loads(self.tokenizer.to_str())
         split, model = made.get("pre_tokenizer") or {}, made["model"]
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         quiet = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
-        self.direct = bool(plain and quiet and made.get("normalizer") is None and made.get("post_processor") is None and model.get("type") == "BPE")
+        bare = made.get("normalizer") is None and made.get("post_processor") is None and all(_OTHER.search(t) for t in special)
+        self.direct = bool(plain and quiet and bare and model.get("type") == "BPE")
         self.ends: dict[str, bytes] = {"": b""}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.units: dict[str, bytes | None] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str], lead: str, table: dict[str, bytes]) -> None:
-        rest = words
+    def _learn(self, units: list[str]) -> None:
+        """Ids of new units; None for those whose texts are to be encoded in one piece."""
+        table, rest = self.units, units
         if self.direct:
-            rest, tokenize, lead_name = [], self.tokenizer.model.tokenize, "".join(_BYTE_NAMES[b] for b in lead.encode())
-            for w in words:
-                m = _LETTERS.fullmatch(w)
+            rest, tokenize, space = [], self.tokenizer.model.tokenize, _BYTE_NAMES[32]
+            for u in units:
+                m = _LETTERS.fullmatch(u)
                 if m is None:
-                    rest.append(w)
+                    rest.append(u)
                     continue
-                word, end = m.groups()
+                lead, word, end = m.groups()
                 if end not in self.ends:
                     self.ends[end] = self.whole(end)
                 name = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_NAMES)
-                table[w] = array("I", [t.id for t in tokenize(lead_name + name)]).tobytes() + self.ends[end]
-        for low in range(0, len(rest), 20_000):
-            part = rest[low : low + 20_000]
-            ids = np.array(self.tokenizer.encode("\n".join([lead + w for w in part]), add_special_tokens=False).ids, "<u4")
+                table[u] = array("I", [t.id for t in tokenize(space + name if lead else name)]).tobytes() + self.ends[end]
+        plain = []
+        for u in rest:
+            body = u[1:] if u[0] == " " else u
+            if u == "\n":
+                table[u] = np.array([self.feed], "<u4").tobytes()
+            elif not body or _WHITE.search(body) or self.special.search(u):
+                table[u] = None
+            else:
+                plain.append(u)
+        for low in range(0, len(plain), 20_000):
+            part = plain[low : low + 20_000]
+            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.feed), len(ids)).tolist()
             if len(ends) != len(part):
                 raise ValueError("the vocabulary joins line feeds with words")
             raw, at = ids.tobytes(), 0
-            for w, end in zip(part, ends, strict=True):
-                table[w] = raw[4 * at : 4 * end]
+            for u, end in zip(part, ends, strict=True):
+                table[u] = raw[4 * at : 4 * end]
                 at = end + 1
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        plain = [self.by_word and bool(t) and not _ODD.search(t) and not any(s in t for s in self.special) for t in texts]
-        lines = [[x.split(" ") for x in t.split("\n")] if ok else None for t, ok in zip(texts, plain, strict=True)]
-        if len(self.first) + len(self.later) > WORD_CACHE:
-            self.first, self.later = {}, {}
-        heads = {x[0] for doc in lines if doc for x in doc}
-        tails: set[str] = set()
-        for doc in lines:
-            for x in doc or ():
-                tails.update(x[1:])
-        self._learn([w for w in heads if w not in self.first], "", self.first)
-        self._learn([w for w in tails if w not in self.later], " ", self.later)
-        first, later, feed = self.first, self.later, self.feed_bytes
-        return [
-            self.whole(t) if doc is None else feed.join([first[x[0]] + b"".join([later[w] for w in x[1:]]) for x in doc])
-            for t, doc in zip(texts, lines, strict=True)
-        ]
+    def _by_unit(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and their count in each text, without those of the texts that the third array marks."""
+        feeds = raw == 10
+        white = feeds | (raw == 32)
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[:-1] = white
+        cut[1:] |= feeds
+        cut[offsets] = True
+        at = np.flatnonzero(cut)
+        width = np.int32 if len(raw) < 1 << 31 else np.int64
+        strings = pa.string() if width == np.int32 else pa.large_string()
+        units = pa.Array.from_buffers(strings, len(at) - 1, [None, pa.py_buffer(at.astype(width)), pa.py_buffer(raw)]).dictionary_encode()
+        index, names = units.indices.to_numpy(), units.dictionary.to_pylist()
+        if len(self.units) > WORD_CACHE:
+            self.units = {}
+        self._learn([u for u in names if u not in self.units])
+        ids = [self.units[u] for u in names]
+
+        odd = np.zeros(len(offsets) - 1, bool)
+        filled = np.flatnonzero(offsets[1:] > offsets[:-1])
+        odd[filled] = white[offsets[filled]] | white[offsets[filled + 1] - 1]
+        strange = np.array([x is None for x in ids], bool)
+        places = np.append(np.flatnonzero(white[:-1] & white[1:]) + 1, at[:-1][strange[index]])
+        odd[np.searchsorted(offsets, places, "right") - 1] = True
+
+        size = np.array([len(x or b"") // 4 for x in ids], np.int64)
+        flat, first = np.frombuffer(b"".join([x or b"" for x in ids]), "<i4"), np.cumsum(size) - size
+        text_of = np.searchsorted(at, offsets)
+        n = size[index]
+        if odd.any():
+            n[np.repeat(odd, np.diff(text_of))] = 0
+        end = np.cumsum(n)
+        total = int(end[-1]) if len(end) else 0
+        out = flat[np.arange(total) + np.repeat(first[index] - (end - n), n)]
+        return out, np.diff(np.append(0, end)[text_of]), odd
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts laid end to end, ``end`` after each, and their counts with it."""
+        if self.by_word:
+            ids, sizes, odd = self._by_unit(raw, offsets)
+        else:
+            ids, sizes, odd = np.zeros(0, "<i4"), np.zeros(len(offsets) - 1, np.int64), offsets[1:] > offsets[:-1]
+        if odd.any():
+            parts, done, at = [], 0, np.append(0, np.cumsum(sizes))
+            for k in np.flatnonzero(odd).tolist():
+                own = np.frombuffer(self.whole(raw[offsets[k] : offsets[k + 1]].tobytes().decode()), "<i4")
+                parts += [ids[done : at[k]], own]
+                done, sizes[k] = at[k], len(own)
+            ids = np.concatenate([*parts, ids[done:]])
+        sizes = sizes + 1
+        last = np.cumsum(sizes) - 1
+        out = np.full(len(ids) + len(sizes), end, "<i4")
+        keep = np.ones(len(out), bool)
+        keep[last] = False
+        out[keep] = ids
+        return out, sizes
 
 
 _encoders: dict[str, Encoder] = {}
@@ -144,17 +198,21 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int)
     """
     spark = documents.sparkSession
     small_batches(spark)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, total = encoder(vocabulary), 0
         for b in batches:
-            made = [x + end for x in enc.batch(b.column("text").to_pylist())]
-            sizes = np.array([len(x) // 4 for x in made], np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(made), "<i4")))
-            starts = total + np.append(0, np.cumsum(sizes))[:-1]
-            total += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), b.column("part"), pa.array(starts.astype(np.int64)), ids], ["doc_id", "n_tokens", "part", "part_start", "ids"])
+            raw, offsets = buffers(b.column("text"))
+            low = 0
+            while low < b.num_rows:
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + BATCH, "right")) - 1)
+                own = offsets[low : high + 1]
+                flat, sizes = enc.encode(raw[own[0] : own[-1]], own - own[0], end_id)
+                ends = np.append(0, np.cumsum(sizes))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                columns = [b.column("doc_id")[low:high], pa.array(sizes), b.column("part")[low:high], pa.array(total + ends[:-1]), ids]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "part", "part_start", "ids"])
+                total, low = total + int(ends[-1]), high
 
     rows = documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
