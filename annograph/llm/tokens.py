@@ -26,8 +26,8 @@ from .common import buffers, new_path, small_batches, text_or_empty
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: Bytes of text encoded at once, but for a longer text.
 BATCH = 8 << 20
-#: Units kept with their ids by a worker; beyond, the table starts anew.
-WORD_CACHE = 500_000
+#: Units kept with their ids by a worker; beyond, a new table starts and the last one is kept to take from.
+WORD_CACHE = 350_000
 
 FORMAT = {
     "parquet.block.size": str(ROW_GROUP),
@@ -83,6 +83,7 @@ class Encoder:
         self.direct = bool(plain and quiet and bare and model.get("type") == "BPE")
         self.ends: dict[str, bytes] = {"": b""}
         self.units: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -93,6 +94,9 @@ class Encoder:
         if self.direct:
             rest, tokenize, space = [], self.tokenizer.model.tokenize, _BYTE_NAMES[32]
             for u in units:
+                if u[0] == " " and u.isascii() and u[1:].isalpha():
+                    table[u] = array("I", [t.id for t in tokenize(space + u[1:])]).tobytes()
+                    continue
                 m = _LETTERS.fullmatch(u)
                 if m is None:
                     rest.append(u)
@@ -134,10 +138,12 @@ class Encoder:
         width = np.int32 if len(raw) < 1 << 31 else np.int64
         strings = pa.string() if width == np.int32 else pa.large_string()
         units = pa.Array.from_buffers(strings, len(at) - 1, [None, pa.py_buffer(at.astype(width)), pa.py_buffer(raw)]).dictionary_encode()
-        index, names = units.indices.to_numpy(), units.dictionary.to_pylist()
+        index, names = units.indices.to_numpy(), units.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.units) > WORD_CACHE:
-            self.units = {}
-        self._learn([u for u in names if u not in self.units])
+            self.older, self.units = self.units, {}
+        unseen = [u for u in names if u not in self.units]
+        self.units.update((u, self.older[u]) for u in unseen if u in self.older)
+        self._learn([u for u in unseen if u not in self.older])
         ids = [self.units[u] for u in names]
 
         odd = np.zeros(len(offsets) - 1, bool)
