@@ -41,9 +41,12 @@ FORMAT = {
     "compression": "zstd",
 }
 
-#: A Latin word after at most one space, and what may follow it: the pre-tokeniser cuts there and nowhere else.
-_LETTERS = re.compile(r"( ?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]*)")
-_OTHER = re.compile(r"[^A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F.,;:!?]")
+#: A Latin word after at most one space: one pre-token.
+_LETTERS = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[33:127] = ~_LETTER[33:127]
 #: Byte-level vocabularies write visible bytes as themselves, others from U+0100 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_NAMES = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
@@ -56,7 +59,8 @@ class Encoder:
 
     The vocabulary's pre-tokeniser starts anew at a lone space or line feed
     between two visible characters. Texts where all white space is of that kind
-    are cut there into units (a word with the space before it, or a line feed).
+    are cut there into units (a word with the space before it, or a line feed),
+    and, for the byte-level pattern, between an ASCII letter and a digit or sign.
     A batch's units are made distinct by Arrow, each new one is encoded once per
     worker, and the ids are laid out by index. Other texts, and those that
     contain an added token's string, are encoded in one piece. A new unit of
@@ -69,7 +73,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.special = [t.encode() for t in special if t]
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         probe = self.tokenizer.encode("a b\nc", add_special_tokens=False).ids
         parts = [i for x in ("a", " b", "\n", "c") for i in self.tokenizer.encode(x, add_special_tokens=False).ids]
@@ -79,9 +83,8 @@ class Encoder:
         split, model = made.get("pre_tokenizer") or {}, made["model"]
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         quiet = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
-        bare = made.get("normalizer") is None and made.get("post_processor") is None and all(_OTHER.search(t) for t in special)
+        bare = made.get("normalizer") is None and made.get("post_processor") is None
         self.direct = bool(plain and quiet and bare and model.get("type") == "BPE")
-        self.ends: dict[str, bytes] = {"": b""}
         self.units: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
 
@@ -94,24 +97,22 @@ class Encoder:
         if self.direct:
             rest, tokenize, space = [], self.tokenizer.model.tokenize, _BYTE_NAMES[32]
             for u in units:
-                if u[0] == " " and u.isascii() and u[1:].isalpha():
-                    table[u] = array("I", [t.id for t in tokenize(space + u[1:])]).tobytes()
-                    continue
-                m = _LETTERS.fullmatch(u)
-                if m is None:
+                if u.isascii() and (u.isalpha() or u[0] == " " and u[1:].isalpha()):
+                    name = u
+                elif _LETTERS.fullmatch(u):
+                    name = u.encode().decode("latin-1").translate(_BYTE_NAMES)
+                else:
                     rest.append(u)
                     continue
-                lead, word, end = m.groups()
-                if end not in self.ends:
-                    self.ends[end] = self.whole(end)
-                name = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_NAMES)
-                table[u] = array("I", [t.id for t in tokenize(space + name if lead else name)]).tobytes() + self.ends[end]
+                if name[0] == " ":
+                    name = space + name[1:]
+                table[u] = array("I", [t.id for t in tokenize(name)]).tobytes()
         plain = []
         for u in rest:
             body = u[1:] if u[0] == " " else u
             if u == "\n":
                 table[u] = np.array([self.feed], "<u4").tobytes()
-            elif not body or _WHITE.search(body) or self.special.search(u):
+            elif not body or _WHITE.search(body):
                 table[u] = None
             else:
                 plain.append(u)
@@ -126,6 +127,16 @@ class Encoder:
                 table[u] = raw[4 * at : 4 * end]
                 at = end + 1
 
+    def _special_in(self, raw: np.ndarray) -> np.ndarray:
+        """Where strings of added tokens start."""
+        found, text = [], raw.tobytes()
+        for t in self.special:
+            at = text.find(t)
+            while at >= 0:
+                found.append(at)
+                at = text.find(t, at + 1)
+        return np.array(found, np.int64)
+
     def _by_unit(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and their count in each text, without those of the texts that the third array marks."""
         feeds = raw == 10
@@ -133,6 +144,8 @@ class Encoder:
         cut = np.zeros(len(raw) + 1, bool)
         cut[:-1] = white
         cut[1:] |= feeds
+        if self.direct:
+            cut[1:-1] |= _LETTER[raw[:-1]] & _SIGN[raw[1:]]
         cut[offsets] = True
         at = np.flatnonzero(cut)
         width = np.int32 if len(raw) < 1 << 31 else np.int64
@@ -150,7 +163,7 @@ class Encoder:
         filled = np.flatnonzero(offsets[1:] > offsets[:-1])
         odd[filled] = white[offsets[filled]] | white[offsets[filled + 1] - 1]
         strange = np.array([x is None for x in ids], bool)
-        places = np.append(np.flatnonzero(white[:-1] & white[1:]) + 1, at[:-1][strange[index]])
+        places = np.concatenate([np.flatnonzero(white[:-1] & white[1:]) + 1, at[:-1][strange[index]], self._special_in(raw)])
         odd[np.searchsorted(offsets, places, "right") - 1] = True
 
         size = np.array([len(x or b"") // 4 for x in ids], np.int64)
@@ -186,6 +199,18 @@ class Encoder:
         return out, sizes
 
 
+def _joined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches laid together until they hold ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -207,11 +232,11 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, total = encoder(vocabulary), 0
-        for b in batches:
+        for b in _joined(batches, BATCH):
             raw, offsets = buffers(b.column("text"))
             low = 0
             while low < b.num_rows:
-                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + BATCH, "right")) - 1)
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + 2 * BATCH, "right")) - 1)
                 own = offsets[low : high + 1]
                 flat, sizes = enc.encode(raw[own[0] : own[-1]], own - own[0], end_id)
                 ends = np.append(0, np.cumsum(sizes))
