@@ -25,9 +25,9 @@ from .common import buffers, new_path, small_batches, text_or_empty
 
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: Bytes of text encoded at once, but for a longer text.
-BATCH = 8 << 20
+BATCH = 4 << 20
 #: Units kept with their ids by a worker; beyond, a new table starts and the last one is kept to take from.
-WORD_CACHE = 350_000
+WORD_CACHE = 250_000
 
 FORMAT = {
     "parquet.block.size": str(ROW_GROUP),
@@ -166,16 +166,16 @@ class Encoder:
         places = np.concatenate([np.flatnonzero(white[:-1] & white[1:]) + 1, at[:-1][strange[index]], self._special_in(raw)])
         odd[np.searchsorted(offsets, places, "right") - 1] = True
 
-        size = np.array([len(x or b"") // 4 for x in ids], np.int64)
-        flat, first = np.frombuffer(b"".join([x or b"" for x in ids]), "<i4"), np.cumsum(size) - size
+        size = np.array([len(x or b"") // 4 for x in ids], width)
+        flat, first = np.frombuffer(b"".join([x or b"" for x in ids]), "<i4"), np.cumsum(size, dtype=width) - size
         text_of = np.searchsorted(at, offsets)
         n = size[index]
         if odd.any():
             n[np.repeat(odd, np.diff(text_of))] = 0
-        end = np.cumsum(n)
-        total = int(end[-1]) if len(end) else 0
-        out = flat[np.arange(total) + np.repeat(first[index] - (end - n), n)]
-        return out, np.diff(np.append(0, end)[text_of]), odd
+        end = np.cumsum(n, dtype=width)
+        at_id = np.repeat(first[index] - (end - n), n)
+        at_id += np.arange(len(at_id), dtype=width)
+        return flat[at_id], np.diff(np.append(0, end)[text_of]), odd
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts laid end to end, ``end`` after each, and their counts with it."""
