@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -337,3 +338,38 @@ def test_tokens(spark, odd, empty):
         at += len(ids)
     same(got, want)
     assert tokens.token_documents(empty, path).count() == 0
+
+
+def test_encoder_by_units(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "WORD_CACHE", 50)
+    rng = random.Random(5)
+    bits = ["a", "it's", "b,c", "x1", "<|endof", "<|endoftext|>", "é", "ß", "×", "ŉ", " ", " ", " ", "\n", "\t", "'s", "'", "12", ".", "!?", " ", "\x85", "\x1c", "漢", "🙂", "\r", "’t", "​", "\x00", "é"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        library, own = Tokenizer.from_file(path), tokens.Encoder(path)
+        for size in [0, *range(40)]:
+            texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(16))) for _ in range(size)]
+            raw = [x.encode() for x in texts]
+            ids, sizes = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 2)
+            got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if size else []
+            assert got == [library.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+
+
+def test_token_files_have_indexes(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(k, f"some words {k} " * 40) for k in range(500)], "doc_id long, text string")
+    path = tokens.write_tokens(docs, str(tmp_path / "ids"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    for file in (tmp_path / "ids").glob("*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        columns = {group.column(k).path_in_schema.split(".")[0]: group.column(k) for k in range(group.num_columns)}
+        assert all(c.has_offset_index for c in columns.values())
+        assert columns["ids"].has_dictionary_page and not columns["n_tokens"].has_dictionary_page
+        assert "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings
+    one = spark.read.parquet(path).where("doc_id = 77").select("n_tokens")
+    assert one.count() == 1
