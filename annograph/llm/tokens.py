@@ -224,7 +224,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int)
     """Encode all texts and write them to ``path``; returns it.
 
     Null and empty texts hold the end id alone. Rows with equal doc_id, null
-    among them, lie side by side; no row is dropped. Columns other than doc_id
+    among them, lie side by side, over several files if they are many; no row is dropped. Columns other than doc_id
     and text are not read. An empty table writes a file without rows.
     """
     spark = documents.sparkSession
@@ -246,7 +246,9 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int)
                 total, low = total + int(ends[-1]), high
 
     rows = documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    # the text's head and a salt only divide the rows of a frequent doc_id among tasks
+    keyed = rows.withColumns({"_head": F.substring("text", 1, 32), "_salt": F.rand(0)}).repartitionByRange("doc_id", "_head", "_salt")
+    dealt = keyed.select("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     dealt.mapInArrow(run, "doc_id long, n_tokens long, part int, part_start long, ids array<int>").write.options(**FORMAT).parquet(path)
     return path
 

@@ -373,3 +373,18 @@ def test_token_files_have_indexes(spark, tmp_path):
         assert "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings
     one = spark.read.parquet(path).where("doc_id = 77").select("n_tokens")
     assert one.count() == 1
+
+
+def test_tokens_of_one_id(spark, tmp_path):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(None if k % 2 else 5, "the same words" if k % 4 else f"own words {k}") for k in range(4000)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few bytes make one task
+    try:
+        path = tokens.write_tokens(docs.repartition(4), str(tmp_path / "ids"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = [r["count"] for r in spark.read.parquet(path).groupBy("part").count().collect()]
+    assert sum(held) == 4000 and max(held) < 1500
+    starts = [(r.start, r.n_tokens) for r in tokens.read_tokens(spark, path).orderBy("start").collect()]
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
