@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment."""
+"""Benchmark decontamination: n-gram seeds, an upper bound, then local alignment."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import buffers, hashed_words, sequences, small_batches, within
 
-#: Words of a seed; seeds in more than this share of the documents (or this
-#: many) are common; an item keeps at least so many of its rarest ones.
+#: Words of a seed; for ``rare``: seeds in more than this share of the documents
+#: (or this many) are common; an item keeps at least so many of its rarest ones.
 SEED, COMMON_SHARE, COMMON_DOCS, LEAST_SEEDS = 3, 0.001, 20, 8
 #: Alignment: points of a match, a mismatch and a skipped word; an item is found
 #: where the score is at least this share of its words.
@@ -67,7 +67,10 @@ def index_items(items: list[tuple[int, str | None]]) -> Index:
 
 
 def rare(index: Index, seen: np.ndarray, documents: int) -> Index:
-    """The seeds that few documents hold, and each item's rarest in any case."""
+    """The seeds that few documents hold, and each item's rarest in any case.
+
+    The queries don't use it: an edited copy may hold none of the seeds it keeps.
+    """
     keep = seen <= max(COMMON_DOCS, COMMON_SHARE * documents)
     seed_of = np.repeat(np.arange(len(index.seeds)), np.diff(index.low))
     pairs = np.unique(np.column_stack([index.at[:, 0], seed_of]), axis=0)
@@ -121,6 +124,8 @@ def find(index: Index, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int,
         pad = len(words) // 2 + 2
         s = max(int(first[d]), int(diagonal[a]) - pad)
         e = min(int(first[d + 1]), int(diagonal[b - 1]) + len(words) + pad)
+        if np.isin(words, h[s:e]).sum() < THRESHOLD * len(words):  # no alignment scores more than the words it can match
+            continue
         score, end = align(words, h[s:e])
         score /= len(words) * MATCH
         if score >= THRESHOLD and score > found.get((d, i), (0.0, 0))[0]:
@@ -142,42 +147,18 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed_words(*buffers(column), fold=True, plain=True)
 
 
-def indexes(documents: DataFrame, benchmark: DataFrame) -> list[Index]:
-    """Indexes of rare seeds, counted over all documents; one per block of items."""
-    small_batches(documents.sparkSession)
-    out = []
-    for items in _blocks(benchmark):
-        index = index_items(items)
-
-        def count(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            seen, n = np.zeros(len(index.seeds), np.int64), 0
-            for b in batches:
-                h, first = _hashed(b.column(0))
-                n += b.num_rows
-                starts = within(first, SEED)
-                if len(starts):
-                    p, j = index.hits(sequences(h, SEED)[starts])
-                    doc = np.searchsorted(first, starts[p], "right") - 1
-                    seen += np.bincount(np.unique(doc * len(seen) + j) % max(1, len(seen)), minlength=len(seen)) if len(p) else 0
-            some = np.append(np.flatnonzero(seen), -1)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.append(seen[some[:-1]], n))], ["seed", "n"])
-
-        counts = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-        seen, total = np.zeros(len(index.seeds), np.int64), 0
-        for r in counts:  # at most one row per seed of the block
-            if r["seed"] < 0:
-                total = r["n"]
-            else:
-                seen[r["seed"]] = r["n"]
-        out.append(rare(index, seen, total))
-    return out
+def indexes(benchmark: DataFrame) -> list[Index]:
+    """Indexes of all seeds; one per block of items."""
+    small_batches(benchmark.sparkSession)
+    return [index_items(items) for items in _blocks(benchmark)]
 
 
 def find_in_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score (share of the item's words, 0.5 to 1), end_word.
 
     One row for every document and item of which an exact, edited or
-    paraphrased copy is found, the best one. Null and empty texts hold none; an
+    paraphrased copy is found, the best one; a copy shares at least SEED
+    successive words with the item, however many documents hold them. Null and empty texts hold none; an
     empty benchmark, or items of under three words, are found nowhere; repeated
     rows give repeated results; null ids are returned as they are.
     """
@@ -185,7 +166,7 @@ def find_in_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, score double, end_word long"
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = None
-    for index in indexes(documents, benchmark):
+    for index in indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -201,7 +182,7 @@ def find_in_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
     out = documents
-    for index in indexes(documents, benchmark):
+    for index in indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches:

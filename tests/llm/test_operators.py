@@ -295,6 +295,17 @@ def test_decontamination(spark, odd, empty):
     assert decontam.find_in_documents(docs, bench.limit(0)).count() == 0 and decontam.find_in_documents(empty, bench).count() == 0
 
 
+def test_edited_copies_of_a_common_passage(spark):
+    """An exact copy in 30 documents, and one with three words changed in 30 others."""
+    item = [f"v{k}" for k in range(24)]
+    edited = [f"new{k}" if k in (5, 12, 19) else w for k, w in enumerate(item)]
+    docs = spark.createDataFrame([(k, " ".join(["before", *(item if k < 30 else edited), "after"])) for k in range(60)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontam.find_in_documents(docs, bench).collect()}
+    assert got == {k: 1.0 if k < 30 else 0.8125 for k in range(60)}
+    assert decontam.drop_contaminated(docs, bench).count() == 0
+
+
 # 9
 def counts(t):
     w = words(t)
