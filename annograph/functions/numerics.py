@@ -12,7 +12,10 @@ def linkage(x: np.ndarray, method: str = "ward", condensed: bool = False) -> np.
 
     Nearest-neighbour chain with Lance-Williams updates; ward, average,
     complete and single. Leaves are 0..n-1, merge k is n + k, heights ascend.
+    Ward of vectors needs no distance matrix, the others do.
     """
+    if method == "ward" and not condensed:
+        return _dendrogram(_ward_merges(x), len(x), method)
     if condensed:
         d = np.array(x, float)
     else:
@@ -52,6 +55,41 @@ def linkage(x: np.ndarray, method: str = "ward", condensed: bool = False) -> np.
             size[i] = na + nb
         else:
             chain.append(b)
+    return _dendrogram(merges, n, method)
+
+
+def _ward_merges(x: np.ndarray) -> list[tuple[int, int, float]]:
+    """Nearest-neighbour chain over centroids: (left, right, squared height), memory in proportion to x."""
+    c = x - x.mean(0) if len(x) else x
+    at, size, sq = np.arange(len(c)), np.ones(len(c)), (c * c).sum(1)
+    merges: list[tuple[int, int, float]] = []
+    chain: list[tuple[int, float]] = []
+    while len(merges) < len(x) - 1:
+        alive = np.flatnonzero(size)
+        if 2 * len(alive) < len(c):
+            c, at, size, sq, chain = c[alive], at[alive], size[alive], sq[alive], []
+            alive = np.arange(len(c))
+        if not chain:
+            chain = [(int(alive[0]), np.inf)]
+        a, last = chain[-1]
+        with np.errstate(invalid="ignore"):
+            row = np.maximum(sq + sq[a] - 2 * (c @ c[a]), 0) * (2 * size[a] * size / (size[a] + size))
+        row[size == 0] = np.inf
+        row[a] = np.inf
+        b = int(row.argmin())
+        if len(chain) == 1 or row[b] < last:
+            chain.append((b, float(row[b])))
+            continue
+        b = chain[-2][0]
+        chain = chain[:-2]
+        i, j = min(a, b), max(a, b)
+        merges.append((int(at[i]), int(at[j]), last))
+        c[i] = (size[i] * c[i] + size[j] * c[j]) / (size[i] + size[j])
+        size[i], size[j], sq[i] = size[i] + size[j], 0, c[i] @ c[i]
+    return merges
+
+
+def _dendrogram(merges: list[tuple[int, int, float]], n: int, method: str) -> np.ndarray:
     order = sorted(range(len(merges)), key=lambda k: merges[k][2])
     label, count = list(range(n)), [1] * n
     up = list(range(n))

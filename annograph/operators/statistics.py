@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +91,46 @@ def silhouette(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     mean = both.join(own, "id_1").join(other, "id_2").groupBy("id_1", "l1", "l2").agg(F.avg("d").alias("m"))
     ab = mean.groupBy(F.col("id_1").alias("id"), F.col("l1").alias("label")).agg(F.max(F.when(F.col("l1") == F.col("l2"), F.col("m"))).alias("a"), F.min(F.when(F.col("l1") != F.col("l2"), F.col("m"))).alias("b"))
     return ab.select("id", "label", F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("s"))
+
+
+def shuffled_silhouette(vectors: DataFrame, seeds: int, block: int = 128, chunk: int = 20) -> DataFrame:
+    """(seed, s): mean silhouette of (id, label, x array) with the labels dealt anew by each seed.
+
+    ``chunk`` seeds a task share their distances, held ``block`` rows at a time;
+    a task's memory is that of the vectors and its labels.
+    """
+    spark, tasks = vectors.sparkSession, -(-seeds // chunk)
+    rows = vectors.select("id", F.col("label").cast("string").alias("l"), F.transform("x", lambda v: v.cast("double")).alias("x"))
+    whole = rows.groupBy().agg(F.sort_array(F.collect_list(F.struct("id", "l", "x"))).alias("r")).select(F.col("r.l").alias("l"), F.flatten("r.x").alias("x"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for k in range(b.num_rows):
+                names = b.column("l")[k].values.to_pylist()
+                kind = np.unique([str(v) for v in names], return_inverse=True)[1]
+                own = list(range(b.column("part")[k].as_py() * chunk, min(seeds, (b.column("part")[k].as_py() + 1) * chunk)))
+                s = _silhouettes(np.array(b.column("x")[k].values).reshape(len(kind), -1), [np.random.default_rng(seed).permutation(kind) for seed in own], block) if len(kind) else [0.0] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(s, pa.float64())], ["seed", "s"])
+
+    return spark.range(0, tasks, 1, tasks).withColumnRenamed("id", "part").crossJoin(F.broadcast(whole)).mapInArrow(run, "seed long, s double")
+
+
+def _silhouettes(x: np.ndarray, labels: list[np.ndarray], block: int) -> list[float]:
+    """Mean silhouette under each labelling (0, 1, ...; all of the same counts); 0 in a cluster of one."""
+    n, count = len(x), np.bincount(labels[0]).astype(float)
+    held = np.zeros((n, len(labels), len(count)))
+    for s, own in enumerate(labels):
+        held[np.arange(n), s, own] = 1
+    flat, sq, total = held.reshape(n, -1), (x * x).sum(1), np.zeros(len(labels))
+    for low in range(0, n, block):
+        rows = slice(low, min(n, low + block))
+        d = np.sqrt(np.maximum(sq[rows, None] + sq[None] - 2 * x[rows] @ x.T, 0))
+        d[np.arange(d.shape[0]), np.arange(rows.start, rows.stop)] = 0
+        sums, mine = (d @ flat).reshape(len(d), len(labels), -1), held[rows] > 0
+        others = count[None, None] - mine
+        mean = np.divide(sums, others, out=np.full_like(sums, np.nan), where=others > 0)
+        a = np.where(mine, mean, 0).sum(2)
+        b = np.where(mine, np.inf, mean).min(2)
+        top = np.maximum(a, b)
+        total += np.where(np.isfinite(top) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0).sum(0)
+    return (total / n).tolist()

@@ -450,8 +450,8 @@ def _(t):
     return dg.disjoint_cover(m, F.pmod(F.xxhash64("merge"), F.lit(1000)))
 
 
-def _vectors(t, most=200):
-    return t.embeddings.where(F.col("vec_id") < most).select(F.lit(0).alias("group"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"), "label")
+def _vectors(t):
+    return t.embeddings.select(F.lit(0).alias("group"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"), "label")
 
 
 @query("ward_linkage")
@@ -469,29 +469,34 @@ def _(t):
     return dg.cut(_vectors(t))
 
 
+def _first_vectors(t):
+    """The vectors that the SQL below reads."""
+    return _vectors(t).where("id < 200")
+
+
 _D = "d AS (SELECT x.vec_id AS id_1, y.vec_id AS id_2, sqrt(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE y.vec_id < 200)"
 
 
 @query("pairwise_distances", f"WITH {_D} SELECT id_1, id_2, round(d, 4) AS d FROM d")
 def _(t):
-    return rounded(st.distances(_vectors(t)), "d", places=4)
+    return rounded(st.distances(_first_vectors(t)), "d", places=4)
 
 
 @query("square_distances", f"WITH {_D} SELECT id_1, id_2, round(d, 4) AS d FROM d UNION ALL SELECT id_2, id_1, round(d, 4) FROM d UNION ALL SELECT vec_id, vec_id, 0 FROM embeddings WHERE vec_id < 200")
 def _(t):
-    d = rounded(st.distances(_vectors(t)), "d", places=4)
-    return d.unionByName(d.select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"), "d")).unionByName(_vectors(t).select(F.col("id").alias("id_1"), F.col("id").alias("id_2"), F.lit(0.0).alias("d")))
+    d = rounded(st.distances(_first_vectors(t)), "d", places=4)
+    return d.unionByName(d.select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"), "d")).unionByName(_first_vectors(t).select(F.col("id").alias("id_1"), F.col("id").alias("id_2"), F.lit(0.0).alias("d")))
 
 
 @query("group_distances", f"WITH {_D} SELECT x.label, round(avg(d), 4) AS mean_d, count(*) AS n FROM d JOIN embeddings x ON x.vec_id = id_1 JOIN embeddings y ON y.vec_id = id_2 AND y.label = x.label GROUP BY 1")
 def _(t):
-    d = st.distances(_vectors(t), group="label")
+    d = st.distances(_first_vectors(t), group="label")
     return d.groupBy(F.col("_g").alias("label")).agg(F.round(F.avg("d"), 4).alias("mean_d"), F.count(F.lit(1)).alias("n"))
 
 
 @query("silhouette", f"WITH {_D}, b AS (SELECT * FROM d UNION ALL SELECT id_2, id_1, d FROM d), m AS (SELECT id_1, x.label AS l1, y.label AS l2, avg(d) AS m FROM b JOIN embeddings x ON x.vec_id = id_1 JOIN embeddings y ON y.vec_id = id_2 GROUP BY 1, 2, 3), ab AS (SELECT id_1, l1, max(m) FILTER (l1 = l2) AS a, min(m) FILTER (l1 <> l2) AS b FROM m GROUP BY 1, 2) SELECT l1 AS label, round(avg(coalesce((b - a) / greatest(a, b), 0)), 5) AS mean_s FROM ab GROUP BY 1")
 def _(t):
-    v = _vectors(t)
+    v = _first_vectors(t)
     return st.silhouette(st.distances(v), v.select("id", "label")).groupBy("label").agg(F.round(F.avg("s"), 5).alias("mean_s"))
 
 
@@ -589,7 +594,7 @@ def _(t):
         w, share = numerics.discriminants(np.array(pdf.x.tolist()), pdf.label.to_numpy())
         return pd.DataFrame([(0, k, float(np.abs(w[:, k]).sum()), float(share[k])) for k in range(len(share))], columns=["group", "axis", "importance", "share"])
 
-    return _vectors(t, 500).groupBy("group").applyInPandas(run, "group int, axis int, importance double, share double")
+    return _vectors(t).groupBy("group").applyInPandas(run, "group int, axis int, importance double, share double")
 
 
 @query("null_type_shuffle")
@@ -616,14 +621,8 @@ def _(t):
 
 @query("null_silhouette")
 def _(t):
-    """Mean silhouette under shuffled labels, by seed, from one set of distances."""
-    v = _vectors(t, 100)
-    labels = dy.shuffled(v.select("id", "label"), "label", "id", 5)
-    d = st.distances(v)
-    both = d.unionByName(d.select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"), "d"))
-    m = both.join(labels.toDF("seed", "id_1", "l1"), "id_1").join(labels.toDF("_s", "id_2", "l2"), "id_2").where("seed = _s").groupBy("seed", "id_1", "l1", "l2").agg(F.avg("d").alias("m"))
-    ab = m.groupBy("seed", "id_1").agg(F.max(F.when(F.col("l1") == F.col("l2"), F.col("m"))).alias("a"), F.min(F.when(F.col("l1") != F.col("l2"), F.col("m"))).alias("b"))
-    return ab.groupBy("seed").agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).alias("s"))
+    """Mean silhouette under shuffled labels, by seed, from one set of distances a task."""
+    return st.shuffled_silhouette(_vectors(t), 5)
 
 
 @query("null_pair_resample")

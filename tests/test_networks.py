@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from annograph.functions import numerics
 from annograph.operators import neighbourhood as nb
+from annograph.operators import statistics as st
 from annograph.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +82,34 @@ def test_louvain_and_statistics():
 def test_path_betweenness_of_current():
     path = np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0]], float)
     assert np.allclose(numerics.current_flow_betweenness(path), [0, 1, 0])
+
+
+def test_all_embeddings(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert n > 200
+    assert catalog.QUERIES["ward_linkage"](spark, SF).count() == n - 1
+    assert catalog.QUERIES["average_linkage"](spark, SF).count() == n - 1
+    assert catalog.QUERIES["fcluster_cut"](spark, SF).count() == n
+
+
+def test_ward_of_centroids():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(150, 6)), rng.normal(3, 1, (50, 6))])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.allclose(numerics.linkage(x), numerics.linkage(d, "ward", condensed=True))
+    assert np.allclose(numerics.linkage(np.ones((9, 2)))[:, 2], 0)
+
+
+def test_shuffled_silhouette(spark):
+    rng = np.random.default_rng(4)
+    x, label = rng.normal(size=(300, 3)), np.array([0, *[1] * 99, *[2] * 200])
+    rows = spark.createDataFrame([(k, int(label[k]), x[k].tolist()) for k in range(300)], "id long, label int, x array<double>")
+    got = {r.seed: r.s for r in st.shuffled_silhouette(rows, 5, block=64, chunk=2).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for seed in range(5):
+        own, s = np.random.default_rng(seed).permutation(label), []
+        for i in range(300):
+            m = {k: d[i, (own == k) & (np.arange(300) != i)] for k in range(3)}
+            a, b = m[own[i]], min(m[k].mean() for k in range(3) if k != own[i])
+            s.append((b - a.mean()) / max(a.mean(), b) if len(a) else 0)
+        assert np.isclose(got[seed], np.mean(s))
