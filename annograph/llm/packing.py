@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, text_or_empty
+from .setjoin import Rule, similar_classes
 
 #: Words a bin holds, and the records a task packs at a time.
 CAPACITY, BLOCK_ROWS = 2048, 20_000
@@ -118,25 +119,35 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int) -> list
     return out
 
 
-def pack_documents(documents: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pack_documents(documents: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS, near: Rule | None = None) -> DataFrame:
     """Every document's pieces in bins of ``capacity`` words.
 
     Returns doc_id, piece (from 0), bin (long: block * 2^32 + number in it),
     bin_offset, length, n_words, source, cluster. A document counts its words
     and one end mark, so null and empty texts take 1. The cluster is that of
-    column ``cluster`` where there is one, else a hash of the text, so that
-    exact copies never share a bin. Blocks of about ``block_rows`` rows are
+    column ``cluster`` where there is one, else, with ``near``, the component of
+    texts that it links (a hash for texts without words), else a hash of the
+    text, so that exact copies never share a bin. Rows of null doc_id are linked
+    by their texts. Blocks of about ``block_rows`` rows are
     dealt out evenly whatever their source, cluster or doc_id, and each is
     packed by itself: memory is that of a block. Repeated rows and ties are
     packed one by one, in the order of (remainder, doc_id).
     """
     spark = documents.sparkSession
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()))
+    linked = None
+    if near and "cluster" not in documents.columns:
+        classes = similar_classes(documents.select(key.alias("doc_id"), "text"), near).where("n_shingles > 0")
+        linked = materialise(classes.select(F.col("doc_id").alias("key"), F.col("component_id").cast("string").alias("component")).distinct(), "linked")
     small_batches(spark, 10_000)
     blank = r"[\x20\x09-\x0D]"
     words = F.size(F.array_remove(F.split(text_or_empty(), blank, -1), "")) + 1
     own = F.col("cluster").cast("string") if "cluster" in documents.columns else F.xxhash64(text_or_empty()).cast("string")
     source = F.col("source").cast("string") if "source" in documents.columns else F.lit(None).cast("string")
-    sized = materialise(documents.select(F.col("doc_id").cast("long"), words.cast("long").alias("n_words"), source.alias("source"), own.alias("cluster")), "sizes")
+    sized = documents.select(F.col("doc_id").cast("long"), words.cast("long").alias("n_words"), source.alias("source"), own.alias("cluster"), key.alias("key"))
+    if linked is not None:  # rows of one doc_id are one node, but its wordless ones are not linked
+        sized = sized.join(linked, "key", "left").withColumn("cluster", F.when(F.col("n_words") > 1, F.coalesce("component", "cluster")).otherwise(F.col("cluster")))
+    sized = materialise(sized.select("doc_id", "n_words", "source", "cluster"), "sizes")
     blocks = max(1, -(-sized.count() // block_rows))
     schema = "doc_id long, piece int, bin long, bin_offset int, length int, n_words long, source string, cluster string"
 

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from annograph.llm import chat, compression_quality, decontam, packing, pii, rules, setjoin, sharding, substring, tokens
+from annograph.llm import chat, compression_quality, decontam, packing, pii, queries, rules, setjoin, sharding, substring, tokens
 from annograph.llm.components import connected_components
 from annograph.llm.fmindex import FMIndex
 
@@ -42,6 +42,21 @@ def test_packing(odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    """op1 on pairs of near copies of different sources, some without a doc_id."""
+    rows = []
+    for k in range(40):
+        one = [f"k{k}w{i}" for i in range(200)]
+        two = [*one[:100], "changed", *one[101:]]
+        rows += [(2 * k if k % 4 else None, " ".join(one), "a"), (2 * k + 1, " ".join(two), "b")]
+    rows += [(1000, "", "c"), (1001, "", "d"), (1002, None, "e")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_best_fit_packing(spark, str(tmp_path)).toPandas()
+    assert len(got) == len(rows) and got[got.n_words > 1].groupby("cluster").size().tolist() == [2] * 40
+    assert not got.duplicated(["bin", "cluster"]).any()
+    assert got[got.n_words == 1].cluster.nunique() == 1
+
+
 def test_packing_is_best_fit():
     """Each record goes to the tightest compatible bin there is, found by trying all."""
     rng = np.random.default_rng(0)
