@@ -113,3 +113,10 @@ def test_shuffled_silhouette(spark):
             a, b = m[own[i]], min(m[k].mean() for k in range(3) if k != own[i])
             s.append((b - a.mean()) / max(a.mean(), b) if len(a) else 0)
         assert np.isclose(got[seed], np.mean(s))
+
+
+def test_all_pairs_of_graphs_match(spark):
+    n = catalog.QUERIES["ego_graphs"](spark, SF).count()
+    assert n > 10
+    for name in ("graph_match", "ego_match"):
+        assert catalog.QUERIES[name](spark, SF).select("id_1", "id_2").distinct().count() == n * (n - 1) // 2
