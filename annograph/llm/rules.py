@@ -17,25 +17,33 @@ MIN_WORDS = 50
 #: Percent of words in repeated 3-word windows above which a text fails.
 MAX_REPEAT = 50
 
-#: name: (bad if true, good if true); neither: the rule abstains.
-#: Expressions over the columns of ``features``.
+#: Frequent function words of the corpus's languages.
+FUNCTION_WORDS = (
+    "the", "of", "and", "to", "in", "is", "that", "for", "was", "with", "as", "on", "at", "by", "from", "this", "are",
+    "der", "die", "und", "das", "den", "von", "zu", "mit", "ist", "im", "für", "ein", "eine", "auf",
+    "le", "la", "les", "de", "des", "et", "un", "une", "en", "du", "dans", "est", "que", "pour",
+    "el", "los", "las", "y", "una", "con", "por", "del", "se",
+)
+
+#: name: (votes bad if true, votes good if true); neither: the rule abstains.
+#: Expressions over the columns of ``features``. Several rules see the same
+#: defect from different sides, so that EM has agreement to learn from.
 RULES: dict[str, tuple[str, str]] = {
-    "symbols": ("n_symbols > 0.1 * n_words", "false"),
-    "shouting": ("n_exclaimed > 0.2 * n_words", "false"),
-    "repeats": ("n_repeat_words > 0.5 * n_words", "false"),
-    "dup_lines": ("n_dup_lines > 0.3 * n_lines and n_dup_lines > 2", "false"),
-    "variety": ("n_distinct < 0.1 * n_words and n_words < 2000", "false"),
-    "word_length": ("word_chars < 2.0 * n_words or word_chars > 15.0 * n_words", "word_chars between 3.0 * n_words and 10.0 * n_words"),
+    "symbols": ("n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
+    "letters": ("n_letters < 0.75 * word_chars", "n_letters >= 0.9 * word_chars"),
+    "function_words": ("n_function < 0.03 * n_words", "n_function >= 0.1 * n_words"),
+    "punctuation": ("n_stops < 0.03 * n_words or n_stops > 0.4 * n_words", "n_stops between 0.08 * n_words and 0.3 * n_words"),
+    "word_length": ("word_chars < 3.0 * n_words or word_chars > 7.5 * n_words", "word_chars between 4.3 * n_words and 6.5 * n_words"),
+    "capitals": ("n_capitals > 0.3 * n_letters", "n_capitals between 0.002 * n_letters and 0.1 * n_letters"),
+    "dup_lines": ("n_dup_lines > 0.1 * n_lines", "false"),
+    "variety": ("n_distinct < 0.6 * n_words and n_words < 2000", "n_distinct >= 0.7 * n_words"),
+    "repeats": ("n_repeat_words > 0.1 * n_words", "n_repeat_words <= 0.01 * n_words"),
 }
 #: What EM starts from: the share of good texts and, for each class, how often
-#: a rule votes bad or good. Most rules look for one defect each and abstain
-#: without it, as lack of one defect says little about the others. These weigh
-#: as PRIOR_WEIGHT of all texts. LIFT: a bad vote is at least so many times as
-#: likely on a bad text as on a good one, or else rules that find different
-#: defects would be taken for errors of one another.
-PRIOR_GOOD, PRIOR_WEIGHT, ROUNDS = 0.85, 0.1, 50
-LIFT = 100.0
-START_GOOD, START_BAD = {-1: 0.002, 1: 0.8}, {-1: 0.25, 1: 0.6}
+#: a rule votes bad or good. The starting values count as PRIOR_TEXTS texts
+#: beside those of the corpus, however many these are.
+PRIOR_GOOD, PRIOR_TEXTS, ROUNDS = 0.85, 20.0, 200
+START_GOOD, START_BAD = {-1: 0.03, 1: 0.8}, {-1: 0.5, 1: 0.3}
 
 
 def _let(value: Column, use) -> Column:
@@ -88,7 +96,10 @@ def features(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
         (F.size(F.split(text, "[#*$%&|<>]", -1)) - 1).cast("long").alias("n_symbols"),
         repeated_words(words).alias("n_repeat_words"),
         F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
-        (F.size(F.split(text, "!", -1)) - 1).cast("long").alias("n_exclaimed"),
+        F.length(F.regexp_replace(text, r"\P{L}+", "")).cast("long").alias("n_letters"),
+        F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
+        F.size(F.filter(words, lambda w: w.isin(*FUNCTION_WORDS))).cast("long").alias("n_function"),
+        F.size(F.filter(words, lambda w: F.right(w, F.lit(1)).isin(".", ",", ";", ":"))).cast("long").alias("n_stops"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
     )
@@ -121,16 +132,16 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> Model:
 
     EM over counts of vote patterns, for rules that given the class vote
     independently of one another; a rule's accuracy is the share of its votes
-    that agree with the class. The starting values weigh PRIOR_WEIGHT of the
-    texts, which keeps the classes from changing places; without texts they
-    are the result.
+    that agree with the class. Nothing ties a bad vote to the bad class but the
+    starting values, which count as PRIOR_TEXTS texts; without texts they are
+    the result.
     """
     start = [_starting(r) for r in RULES.values()]
     good, on_good, on_bad = PRIOR_GOOD, [a for a, _ in start], [b for _, b in start]
     total = sum(n for _, n in patterns)
     if not total:
         return good, on_good, on_bad
-    weight = PRIOR_WEIGHT * total
+    for_good, for_bad = PRIOR_TEXTS * PRIOR_GOOD, PRIOR_TEXTS * (1 - PRIOR_GOOD)
     for _ in range(ROUNDS):
         mass = 0.0
         cast = [({-1: 0.0, 0: 0.0, 1: 0.0}, {-1: 0.0, 0: 0.0, 1: 0.0}) for _ in start]
@@ -140,17 +151,25 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> Model:
             for j, v in enumerate(vote):
                 cast[j][0][v] += n * p
                 cast[j][1][v] += n * (1 - p)
-        good = min(0.99, max(0.01, (mass + weight * PRIOR_GOOD) / (total + weight)))
-        share = lambda got, prior, of, w: {v: (got[v] + w * prior[v] + 1e-9) / (of + w + 3e-9) for v in got}
-        on_good = [share(c[0], s[0], mass, weight * PRIOR_GOOD) for c, s in zip(cast, start, strict=True)]
-        on_bad = [share(c[1], s[1], total - mass, weight * (1 - PRIOR_GOOD)) for c, s in zip(cast, start, strict=True)]
-        for g, b in zip(on_good, on_bad, strict=True):
-            low = min(g[-1], b[-1] / LIFT)
-            g[0] += g[-1] - low
-            g[-1] = low
+        before = good
+        good = (mass + for_good) / (total + PRIOR_TEXTS)
+        on_good = [{v: (got[0][v] + for_good * s[0][v]) / (mass + for_good) for v in s[0]} for got, s in zip(cast, start, strict=True)]
+        on_bad = [{v: (got[1][v] + for_bad * s[1][v]) / (total - mass + for_bad) for v in s[1]} for got, s in zip(cast, start, strict=True)]
+        if abs(good - before) < 1e-9:
+            break
     return good, on_good, on_bad
 
 
+def accuracies(model: Model) -> dict[str, float]:
+    """The share of each rule's votes that agree with the class."""
+    good, on_good, on_bad = model
+    out = {}
+    for k, g, b in zip(RULES, on_good, on_bad, strict=True):
+        right, wrong = good * g[1] + (1 - good) * b[-1], good * g[-1] + (1 - good) * b[1]
+        out[k] = right / (right + wrong) if right + wrong else 0.5
+    return out
+
+
 def posterior(vote: tuple[int, ...], model: Model) -> float:
     good, on_good, on_bad = model
     odds = math.log(good / (1 - good))
@@ -197,7 +216,12 @@ def judge_documents(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
 def keep_good(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that the rules keep, with all their columns and repeated rows.
 
-    The rows are written once with their counts, so that texts are counted once.
+    A null or empty text fails the base rule and goes, as do all texts of under
+    50 words; a very long text is judged whole. Repeated rows and ties get the
+    same verdict and stay as often as they are there; doc_id may be null; an
+    empty table gives no rows; other columns, whatever their names, travel in
+    one struct and are not read. The rows are written once with their counts, so
+    that texts are counted once.
     """
     packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row"), F.col("text"))
     voted = votes(materialise(features(packed, ("_row",)), "rule_rows"))

@@ -346,6 +346,40 @@ def test_rules(spark, odd, empty):
     assert rules.judge_documents(empty).count() == 0 and rules.keep_good(empty).count() == 0
 
 
+def em(votes):
+    """p_good of each text by EM over the texts themselves, one row of votes each."""
+    start = np.array([[[s[v] for v in (-1, 0, 1)] for s in rules._starting(r)] for r in rules.RULES.values()])  # rule, class, vote
+    own = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)  # text, rule, vote
+    n0 = rules.PRIOR_TEXTS * np.array([rules.PRIOR_GOOD, 1 - rules.PRIOR_GOOD])
+    share, cast = np.array([rules.PRIOR_GOOD, 1 - rules.PRIOR_GOOD]), start
+    for _ in range(400):
+        like = np.exp(np.einsum("trv,rcv->tc", own, np.log(np.maximum(cast, 1e-9)))) * share
+        p = like / like.sum(1, keepdims=True)
+        share = (p.sum(0) + n0) / (len(votes) + n0.sum())
+        cast = (np.einsum("trv,tc->rcv", own, p) + start * n0[:, None]) / (p.sum(0) + n0)[:, None]
+    return p[:, 0]
+
+
+def test_rules_weigh_their_votes(spark):
+    """On labelled texts the posterior is EM's own and better than dropping on any bad vote."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = rules.judge_documents(docs).toPandas()
+    left = got[~got.base_failed].copy()
+    votes = left[[f"v_{k}" for k in rules.RULES]].to_numpy()
+    assert np.allclose(left.p_good, em(votes), atol=2e-6)
+    assert (left.kept == (left.p_good >= 0.5)).all() and not got[got.base_failed].kept.any()
+    left["all_pass"] = (votes >= 0).all(1)
+    assert (left.kept & ~left.all_pass).sum() > 10  # single bad votes that the others outweigh
+    judged = left.merge(labels.toPandas().drop_duplicates("doc_id"), on="doc_id")
+    right = lambda kept: (kept == (judged.quality == 1)).mean()
+    assert right(judged.kept) > right(judged.all_pass) and judged[judged.kept].quality.mean() >= judged[judged.all_pass].quality.mean()
+    model = rules.learn(rules.votes(rules.materialise(rules.features(docs), "rules")))
+    for k, prior, g, b in zip(rules.RULES, map(rules._starting, rules.RULES.values()), model[1], model[2], strict=True):
+        assert max(abs(g[v] - prior[0][v]) + abs(b[v] - prior[1][v]) for v in (-1, 0, 1)) > 0.1, k
+    known = rules.accuracies(model)
+    assert known["symbols"] > 0.99 and known["dup_lines"] < 0.2  # agreement says that repeated lines tell nothing
+
+
 # 10
 def test_tokens(spark, odd, empty):
     from tokenizers import Tokenizer
