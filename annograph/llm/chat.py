@@ -455,7 +455,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
 
 def digest(formatted: DataFrame) -> DataFrame:
     """Per conversation, from what ``format_conversations`` gave: turns and loss text."""
-    small_batches(formatted.sparkSession, 200)
+    small_batches(formatted.sparkSession)
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 

@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same white space, for ``translate``.
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Bytes of rows that a Python worker gets at once; a longer row comes alone.
+BATCH_LIMIT = 4 << 20
 #: Bytes of text hashed at once; bounds the size of the numpy temporaries.
 CHUNK = 1 << 21
 
@@ -28,11 +30,14 @@ _powers: tuple[np.ndarray, np.ndarray] | None = None
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is
-    made and set, so that later calls of the session find it again.
+    Where a session on one machine names none (tests), a temporary folder is
+    made and set, so that later calls of the session find it again. On a
+    cluster there is no such folder, and its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="annograph-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -53,9 +58,9 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, as texts may be long; always to the same value."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_LIMIT))
 
 
 def text_or_empty(name: str = "text"):

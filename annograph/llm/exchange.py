@@ -171,7 +171,7 @@ def document_counts(batches: DataFrame, tokens: Tokens, total: int) -> DataFrame
         if held:
             yield close()
 
-    small_batches(batches.sparkSession, BLOB_ROWS)
+    small_batches(batches.sparkSession)
     sent = batches.mapInArrow(send, "bucket long, batch long, rest binary, n binary")
     return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(count, "batch long, bucket long, flags binary")
 
@@ -198,7 +198,7 @@ def with_rows(batches: DataFrame, more: DataFrame, use: Callable[[bytes, list[tu
         if blob is not None and (out := use(blob, held, at)) is not None:
             yield out
 
-    small_batches(batches.sparkSession, BLOB_ROWS)
+    small_batches(batches.sparkSession)
     return _by_batch(batches, more).mapInArrow(run, schema)
 
 

@@ -82,14 +82,57 @@ def test_packing_is_best_fit():
 def test_compression_quality(spark, odd, empty):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = compression_quality.train(docs, labels)
-    got = compression_quality.score(docs, model).join(labels, "doc_id").where("held_out").toPandas()
+    scored = compression_quality.score(docs, model)
+    got = scored.join(labels, "doc_id").where("held_out").toPandas()
     assert (got.predicted == got.quality).mean() > 0.9
     one = compression_quality.score(odd, model).toPandas()
     assert len(one) == odd.count() and one.score.between(0, 1).all()
     held = {i: bool(zlib.crc32(str(i).encode()) % 3 == 1) for i, _ in rows(odd) if i is not None}
     assert all(h == held[i] for i, h in zip(one.doc_id, one.held_out, strict=True) if i == i)
     assert compression_quality.score(empty, model).count() == 0
-    assert compression_quality.train(empty, labels).weights == [0.0] * 10
+    none = compression_quality.train(empty, labels)
+    assert none.slope == 0 and set(compression_quality.score(odd, none).toPandas().score) == {0.5}
+
+
+def test_held_out_order(spark):
+    """The larger table's held-out rows, by the chance that a good text scores above a bad one."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = compression_quality.score(docs, compression_quality.train(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
+    good, bad = got[got.quality == 1].score.to_numpy(), got[got.quality == 0].score.to_numpy()
+    print("accuracy", (got.predicted == got.quality).mean(), "AUC", (good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2)
+    assert (good[:, None] > bad).mean() > 0.95 and (got.predicted == got.quality).mean() > 0.95
+
+
+def test_compression_quality_is_the_size_difference(spark):
+    """Model and scores against a version of plain loops over the same rows."""
+    import zstandard
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    texts = {i: t.encode() for i, t in rows(docs) if t is not None}
+    part = lambda i: zlib.crc32(str(i).encode()) % 3
+    dicts = []
+    for y in (1, 0):
+        pieces = [t[k : k + 1024] for i, t in texts.items() if quality.get(i) == y and part(i) == 0 for k in range(0, len(t), 1024)]
+        dicts.append(zstandard.train_dictionary(112_640, sorted(p for p in pieces if len(p) >= 6), k=48, d=6))
+    packers = [zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False) for d in dicts]
+
+    def difference(t):
+        good, bad = (sum(len(p.compress(t[k : k + 1024])) for k in range(0, len(t), 1024)) for p in packers)
+        return (bad - good) / max(1, len(t))
+
+    model = compression_quality.train(docs, labels)
+    assert (model.good, model.bad) == tuple(d.as_bytes() for d in dicts)
+    got = {r.doc_id: r for r in compression_quality.score(docs, model).collect()}
+    for i, t in texts.items():
+        d = difference(t)
+        assert got[i].size_difference == d
+        assert math.isclose(got[i].score, 1 / (1 + math.exp(-max(-30, min(30, model.slope * d + model.shift)))))
+    # the curve is that of greatest likelihood on the rows of remainder 2
+    fit = [(difference(t), quality[i]) for i, t in texts.items() if quality.get(i) is not None and part(i) == 2]
+    x, y = np.array([a for a, _ in fit]), np.array([float(b) for _, b in fit])
+    off = y - model.probability(x)
+    assert abs(off.sum()) < 0.05 and abs((off * x).sum()) < 0.05
 
 
 # 3
