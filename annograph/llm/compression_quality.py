@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,8 +71,12 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 
 def dictionary(pieces: list[bytes]) -> bytes:
-    """A zstandard dictionary of the pieces; of too few for its builder, the pieces themselves."""
-    pieces = sorted(p for p in pieces if len(p) >= MATCH)
+    """A zstandard dictionary of the pieces; of too few for its builder, the pieces themselves.
+
+    The builder takes its segments from stretches of the pieces in turn, so like
+    pieces are spread by the order of their checksums.
+    """
+    pieces = sorted((p for p in pieces if len(p) >= MATCH), key=lambda p: (zlib.crc32(p), p))
     try:
         return zstandard.train_dictionary(DICT_BYTES, pieces, k=SEGMENT, d=MATCH).as_bytes()
     except (zstandard.ZstdError, ValueError):
