@@ -67,6 +67,34 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Texts with at least so many equal ones are reduced to the first of them
+#: before an index, the most frequent texts, at most so many. Others are found by it.
+FREQUENT_COPIES, FREQUENT_TEXTS = 8, 200_000
+
+
+def text_hashes(text) -> list:
+    """Columns h1 and h2: two hashes of a text, by which exact copies are known."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(0x5EED), text, F.octet_length(text)).alias("h2")]
+
+
+def frequent_texts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h1, h2, smallest doc_id) of the most frequent texts, by h1; ``rows`` has doc_id, h1, h2."""
+    found = rows.where("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    found = found.where(F.col("copies") >= FREQUENT_COPIES).orderBy(F.desc("copies"), "h1", "h2").limit(FREQUENT_TEXTS).orderBy("h1").collect()
+    return tuple(np.array([r[c] for r in found], np.int64) for c in ("h1", "h2", "first"))
+
+
+def copies_of(frequent: tuple[np.ndarray, np.ndarray, np.ndarray], rows: pa.RecordBatch) -> np.ndarray:
+    """Which rows are copies of a frequent text of a smaller doc_id."""
+    h1, h2, first = frequent
+    if not len(h1) or not rows.num_rows:
+        return np.zeros(rows.num_rows, bool)
+    own = rows.column("h1").to_numpy()
+    at = np.minimum(np.searchsorted(h1, own), len(h1) - 1)
+    ids = rows.column("doc_id").fill_null(-(1 << 63)).to_numpy()
+    return (h1[at] == own) & (h2[at] == rows.column("h2").to_numpy()) & (first[at] < ids)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; nulls become empty texts."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,16 +1,19 @@
 """Batches of texts, and counts of their tokens over the whole corpus.
 
-Texts are stored once, in compressed batches of a few MB, so that later passes
-give the same batches. Tokens (hashes) go out by hash bucket, each batch's
-distinct ones with their counts, and come back as one byte per token that says
-in how many documents of the whole corpus it is. No task holds more than a few
-million tokens, a token of every document is one entry per batch, and nothing
-is broadcast.
+Texts are stored once, in compressed batches of a few MB, several of which make
+a run. A run's distinct tokens (hashes) go out sorted, in chunks, to the task
+that owns their range of hashes. That task sweeps over the chunks of all runs
+in the order of their first tokens, so it holds no more than the chunks that
+overlap, and sends each run those of its tokens that further documents hold.
+The rows exchanged grow with the tokens, as runs and chunks are cut by size;
+a token of every document is one entry per run, and nothing is broadcast.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
 
-#: Bits of a token that are counted; more only make the count finer.
-TOKEN_BITS = 44
-#: Bytes of text in a batch, and tokens in a bucket.
-BATCH_BYTES, BUCKET_TOKENS = 4 << 20, 2_000_000
-#: Rows of an Arrow batch where rows hold blobs.
-BLOB_ROWS = 16
-
-Texts = tuple[np.ndarray, pa.Array]
-#: Document numbers and tokens of a batch's texts, sorted, each pair once.
-Tokens = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+#: Bytes of text in a batch and, from the smallest to the largest corpus, in a run.
+BATCH_BYTES, RUN_BYTES = 4 << 20, (4 << 20, 32 << 20)
+#: A corpus is cut into about so many runs until they reach their largest size.
+RUNS = 96
+#: Tokens that a counting task is given, as long as there are few such tasks;
+#: tokens that it holds at a time; and tokens in a chunk.
+TASK_TOKENS, MOST_TASKS, HELD_TOKENS, CHUNK_TOKENS = 4_000_000, 20_000, 2_000_000, (8, 8192)
+#: Partitions at most of anything that is dealt out by run.
+MOST_PARTITIONS = 100_000
 
 
 def packed_bytes(raw: bytes) -> bytes:
@@ -66,148 +68,243 @@ def unpack_texts(blob: bytes) -> tuple[pa.Array, pa.Array]:
     return batch.column(0), batch.column(1)
 
 
-def text_batches(documents: DataFrame, skip: Callable[[pa.Array, pa.Array], np.ndarray] | None = None) -> DataFrame:
-    """A written table of (batch, blob); ``skip`` marks rows to leave out.
+@dataclass(frozen=True)
+class Size:
+    """What a corpus's size decides: nothing of it changes a result."""
+
+    text_bytes: int
+    tokens: int
+
+    @property
+    def run_bytes(self) -> int:
+        return min(max(self.text_bytes // RUNS, RUN_BYTES[0]), RUN_BYTES[1])
+
+    @property
+    def runs(self) -> int:
+        return max(1, -(-self.text_bytes // self.run_bytes))
+
+    @property
+    def bits(self) -> int:
+        """Bits of a token that are counted: few different ones of a corpus are equal in them."""
+        return min(54, max(40, math.ceil(math.log2(self.tokens + 2)) + 10))
+
+    @property
+    def tasks(self) -> int:
+        return min(MOST_TASKS, max(16, -(-self.tokens // TASK_TOKENS)))
+
+    @property
+    def chunk(self) -> int:
+        """Tokens in a chunk, of which a task may hold one of every run."""
+        return min(max(4 * HELD_TOKENS // self.runs, CHUNK_TOKENS[0]), CHUNK_TOKENS[1])
+
+    def counted(self, tokens: np.ndarray) -> np.ndarray:
+        return tokens >> np.uint64(64 - self.bits)
+
+    def task_of(self, counted: np.ndarray) -> np.ndarray:
+        return ((counted >> np.uint64(self.bits - 32)) * np.uint64(self.tasks)) >> np.uint64(32)
+
+
+def text_batches(documents: DataFrame, size: Size, skip: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> DataFrame:
+    """A written table of (run, batch, blob); ``skip`` marks rows to leave out.
 
     ``documents`` has doc_id (not null) and text (not null). A text longer than
-    a batch is a batch of its own.
+    a batch is a batch of its own. A run's batches are numbered in order.
     """
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
+        number = run_number = TaskContext.get().partitionId() << 32
         ids: list[pa.Array] = []
         texts: list[pa.Array] = []
-        size = 0
+        held = in_run = 0
 
         def flush() -> pa.RecordBatch:
             blob = pack_texts(pa.concat_arrays(ids), pa.concat_arrays(texts))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary())], ["batch", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([run_number], pa.int64()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], ["run", "batch", "blob"])
 
         for b in batches:
+            if skip is not None and b.num_rows:
+                b = b.filter(pa.array(~skip(b)))
             i, t = b.column("doc_id"), b.column("text").cast(pa.large_string())
-            if skip is not None and len(i):
-                keep = pa.array(~skip(i, t))
-                i, t = i.filter(keep), t.filter(keep)
             at = 0
             while at < len(i):
                 n = max(1, min(len(i) - at, 256))
                 part = t.slice(at, n)
                 ids.append(i.slice(at, n))
                 texts.append(part)
-                size += part.nbytes
+                held += part.nbytes
                 at += n
-                if size >= BATCH_BYTES:
+                if held >= BATCH_BYTES:
                     yield flush()
-                    number, size = number + 1, 0
+                    number, in_run, held = number + 1, in_run + held, 0
                     ids, texts = [], []
+                    if in_run >= size.run_bytes:
+                        run_number, in_run = number, 0
         if ids:
             yield flush()
 
-    return materialise(documents.select("doc_id", "text").mapInArrow(run, "batch long, blob binary"), "batches", compression="uncompressed")
+    return materialise(documents.mapInArrow(run, "run long, batch long, blob binary"), "batches", compression="uncompressed")
 
 
-def _bucketed(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, bucket, rest) of hashes: sorted by bucket and then by the rest."""
-    v = tokens >> np.uint64(64 - TOKEN_BITS)
-    bucket, rest = v % np.uint64(buckets), v // np.uint64(buckets)
-    order = np.argsort((bucket << np.uint64(TOKEN_BITS)) | rest, kind="stable") if buckets < 1 << (64 - TOKEN_BITS) else np.lexsort((rest, bucket))
-    return order, bucket[order], rest[order]
+def merged(tokens: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens in order, with their counts summed up."""
+    flat = np.concatenate(tokens)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    head = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(np.concatenate(counts)[order], head) if len(head) else np.zeros(0, np.int64)
+    return flat[head], sums
 
 
-def _classes(counts: np.ndarray) -> np.ndarray:
+def chunk_edges(task: np.ndarray, chunk: int) -> np.ndarray:
+    """Starts of chunks of at most ``chunk`` entries of one task each, and the end."""
+    edge = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task)) if len(task) else np.zeros(1, np.int64)
+    cuts = [np.arange(a, b, chunk) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    return np.concatenate([*cuts, [len(task)]]).astype(np.int64)
+
+
+def classes(counts: np.ndarray) -> np.ndarray:
     """0 for tokens of one document; else growing with the logarithm of the count."""
     return np.where(counts < 2, 0, np.minimum(255, 8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
-def document_counts(batches: DataFrame, tokens: Tokens, total: int) -> DataFrame:
-    """(batch, bucket, flags): how widespread each batch's tokens are.
+#: Document numbers and tokens of a batch's texts, each pair once.
+Tokens = Callable[[pa.Array], np.ndarray]
+
 
-    ``total`` is about the number of all tokens and sets the number of buckets.
-    Flags are in the order of ``_bucketed`` of the batch's distinct tokens.
+def shared_tokens(batches: DataFrame, tokens: Tokens, size: Size) -> DataFrame:
+    """(run, tokens, classes): the tokens of each run that two documents or more hold.
+
+    ``tokens`` gives the tokens of a batch's texts, one for each document that
+    holds it. Classes tell how widespread a token is; equal tokens have equal
+    classes in all runs.
     """
-    buckets = max(16, -(-total // BUCKET_TOKENS))
-    width = -(-TOKEN_BITS // 8)
+    width = -(-size.bits // 8)
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, counts = None, [], []
+
+        def close() -> pa.RecordBatch:
+            tok, n = merged(own, counts)
+            task = size.task_of(tok)
+            edge = chunk_edges(task, size.chunk)
+            pairs = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+            start = edge[:-1]
+            pay = [ints(np.diff(tok[a:b], prepend=np.uint64(0)), width) for a, b in pairs]
+            num = [ints(np.minimum(n[a:b], 65535), 2) for a, b in pairs]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(task[start].astype(np.int32)), pa.array(tok[start].astype(np.int64)), pa.array([at] * len(pairs), pa.int64()), pa.array(pay, pa.binary()), pa.array(num, pa.binary())],
+                ["task", "first", "run", "tokens", "n"],
+            )
+
         for b in rows:
-            for batch, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                _, tok = tokens(unpack_texts(blob.as_buffer())[1])
-                own, n = np.unique(tok, return_counts=True)
-                order, bucket, rest = _bucketed(own, buckets)
-                n = np.minimum(n[order], 65535)
-                edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-                some = np.flatnonzero(np.diff(edge))
-                pay = [ints(np.diff(rest[edge[k] : edge[k + 1]], prepend=np.uint64(0)), width) for k in some]
-                num = [ints(n[edge[k] : edge[k + 1]], 2) for k in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([batch] * len(some), pa.int64()), pa.array(pay, pa.binary()), pa.array(num, pa.binary())], ["bucket", "batch", "rest", "n"])
+            for run, blob in zip(b.column("run").to_pylist(), b.column("blob"), strict=True):
+                if run != at:
+                    if own:
+                        yield close()
+                    at, own, counts = run, [], []
+                tok, n = np.unique(size.counted(tokens(unpack_texts(blob.as_buffer())[1])), return_counts=True)
+                if len(tok):
+                    own.append(tok)
+                    counts.append(n)
+        if own:
+            yield close()
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes]] = []
-        at = None
-
-        def close() -> pa.RecordBatch:
-            parts = [np.cumsum(from_ints(r, width), dtype=np.uint64) for _, r, _ in held]
-            flat, n = np.concatenate(parts), np.concatenate([from_ints(x, 2) for _, _, x in held]).astype(np.int64)
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        inside, limit = 0, HELD_TOKENS
+
+        def below(frontier: int | None) -> Iterator[pa.RecordBatch]:
+            """Answer all tokens before the frontier; no later chunk holds one of them."""
+            nonlocal held, inside, limit
+            cut = [len(t) if frontier is None else int(np.searchsorted(t, np.uint64(frontier))) for _, t, _ in held]
+            flat = np.concatenate([t[:k] for (_, t, _), k in zip(held, cut, strict=True)])
+            n = np.concatenate([c[:k] for (_, _, c), k in zip(held, cut, strict=True)])
             order = np.argsort(flat, kind="stable")
-            new = np.append(True, flat[order][1:] != flat[order][:-1])
-            group = np.cumsum(new) - 1
-            sums = np.bincount(group, weights=n[order]).astype(np.int64)
-            flags = np.empty(len(flat), np.uint8)
-            flags[order] = _classes(sums)[group]
-            cut = np.cumsum([len(p) for p in parts])[:-1]
-            back = [packed_bytes(x.tobytes()) for x in np.split(flags, cut)]
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([at] * len(held), pa.int64()), pa.array(back, pa.binary())], ["batch", "bucket", "flags"])
+            group = np.cumsum(np.append(True, flat[order][1:] != flat[order][:-1])[: len(flat)]) - 1
+            kind = np.empty(len(flat), np.uint8)
+            kind[order] = classes(np.bincount(group, weights=n[order]).astype(np.int64))[group]
+            by: dict[int, tuple[list, list]] = {}
+            low = 0
+            for (run, t, _), k in zip(held, cut, strict=True):
+                some = np.flatnonzero(kind[low : low + k])
+                if len(some):
+                    got = by.setdefault(run, ([], []))
+                    got[0].append(t[some])
+                    got[1].append(kind[low + some])
+                low += k
+            held = [(r, t[k:], c[k:]) for (r, t, c), k in zip(held, cut, strict=True) if k < len(t)]
+            inside = sum(len(t) for _, t, _ in held)
+            limit = max(HELD_TOKENS, 2 * inside)
+            if by:
+                packed = [(r, ints(np.diff(np.concatenate(a), prepend=np.uint64(0)), 8), packed_bytes(np.concatenate(b).tobytes())) for r, (a, b) in by.items()]
+                cols = list(zip(*packed, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["run", "tokens", "classes"])
 
         for b in rows:
-            for bucket, batch, rest, n in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                if bucket != at:
-                    if held:
-                        yield close()
-                    held, at = [], bucket
-                held.append((batch, rest, n))
+            for first, run, pay, num in zip(*(b.column(c).to_pylist() for c in ("first", "run", "tokens", "n")), strict=True):
+                if inside > limit:
+                    yield from below(first)
+                tok = np.cumsum(from_ints(pay, width), dtype=np.uint64)
+                held.append((run, tok, from_ints(num, 2).astype(np.int64)))
+                inside += len(tok)
         if held:
-            yield close()
+            yield from below(None)
 
     small_batches(batches.sparkSession)
-    sent = batches.mapInArrow(send, "bucket long, batch long, rest binary, n binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(count, "batch long, bucket long, flags binary")
+    sent = batches.select("run", "blob").mapInArrow(send, "task int, first long, run long, tokens binary, n binary")
+    return sent.repartitionById(size.tasks, F.col("task")).sortWithinPartitions("first").mapInArrow(count, "run long, tokens binary, classes binary")
+
+
+class Shared:
+    """A run's tokens that further documents hold, with their classes."""
+
+    def __init__(self, size: Size, rows: list[tuple[bytes, bytes]]):
+        self.size = size
+        tok = np.concatenate([np.cumsum(from_ints(t, 8), dtype=np.uint64) for t, _ in rows] or [np.zeros(0, np.uint64)])
+        kind = np.frombuffer(b"".join(plain_bytes(c) for _, c in rows), np.uint8)
+        self.tokens, first = np.unique(tok, return_index=True)
+        self.kinds = kind[first]
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """The class of each token, 0 for those of one document."""
+        own = self.size.counted(tokens)
+        if not len(self.tokens):
+            return np.zeros(len(own), np.uint8)
+        at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == own, self.kinds[at], 0).astype(np.uint8)
 
 
-def _by_batch(batches: DataFrame, more: DataFrame) -> DataFrame:
-    """Blobs and further rows (batch, bucket, flags) of each batch side by side, blob first."""
-    union = batches.select("batch", F.lit(-1).cast("long").alias("bucket"), F.col("blob").alias("data")).unionAll(more.select("batch", "bucket", F.col("flags").alias("data")))
-    return union.repartition("batch").sortWithinPartitions("batch", "bucket")
+#: ``use(run)`` gives two functions: one for each of the run's blobs, in order,
+#: and one for its end.
+PerRun = Callable[[int, list[tuple[bytes, bytes]]], tuple[Callable[[bytes], Iterator[pa.RecordBatch]], Callable[[], Iterator[pa.RecordBatch]]]]
 
 
-def with_rows(batches: DataFrame, more: DataFrame, use: Callable[[bytes, list[tuple[int, bytes]], int], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``use(blob, [(bucket, data), ...], batch)`` for each batch, with its further rows."""
+def by_run(batches: DataFrame, more: DataFrame, size: Size, use: PerRun, schema: str) -> DataFrame:
+    """``use(run, [(a, b), ...])`` with the further rows (run, a, b) of each run, then its blobs."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, blob, held = None, None, []
+        at, held, each, end = None, [], None, None
         for b in rows:
-            for batch, bucket, data in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                if batch != at:
-                    if blob is not None and (out := use(blob, held, at)) is not None:
-                        yield out
-                    at, blob, held = batch, data, []
-                else:
-                    held.append((bucket, data))
-        if blob is not None and (out := use(blob, held, at)) is not None:
-            yield out
+            for r, seq, one, two in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                if r != at:
+                    if end is not None:
+                        yield from end()
+                    at, held, each, end = r, [], None, None
+                if seq < 0:
+                    held.append((one, two))
+                    continue
+                if each is None:
+                    each, end = use(r, held)
+                yield from each(one)
+        if end is not None:
+            yield from end()
 
     small_batches(batches.sparkSession)
-    return _by_batch(batches, more).mapInArrow(run, schema)
-
-
-def classes_of(tokens: np.ndarray, rows: list[tuple[int, bytes]], total: int) -> np.ndarray:
-    """The class of each of a batch's tokens, from its rows of ``document_counts``."""
-    buckets = max(16, -(-total // BUCKET_TOKENS))
-    own, back = np.unique(tokens, return_inverse=True)
-    order, _, _ = _bucketed(own, buckets)
-    flags = np.empty(len(own), np.uint8)
-    got = b"".join(plain_bytes(d) for _, d in sorted(rows))
-    flags[order] = np.frombuffer(got, np.uint8)
-    return flags[back]
+    blobs = batches.select("run", F.col("batch").alias("seq"), F.col("blob").alias("a"), F.lit(None).cast("binary").alias("b"))
+    a, b = (c for c in more.columns if c != "run")
+    union = blobs.unionAll(more.select("run", F.lit(-1).cast("long"), F.col(a), F.col(b)))
+    parts = min(MOST_PARTITIONS, max(16, 2 * size.runs))
+    return union.repartition(parts, "run").sortWithinPartitions("run", "seq").mapInArrow(run, schema)

@@ -1,12 +1,15 @@
 """Exact set-similarity self-join on word shingles.
 
 Equal sets are one class. Each set's prefix, its rarest tokens by corpus count,
-is indexed; sets that share a prefix token fall in one family. Within a family,
-index lists are kept by size, with the position of the token in each set, so
-that blocks of too small sets and positions too late for the overlap needed are
-skipped; and the answers of a set follow from those of the most similar set
-already answered: its whole component is skipped once they link, and a set that
-the similar one misses by far needs no comparison.
+is indexed; sets that can link share a prefix token, so they meet in its list.
+Lists whose sets all meet in another list are dropped, the others joined one by
+one. Within a list, the sets that share a token are kept by size, with the
+position of the token in each set, so that blocks of too small sets and
+positions too late for the overlap needed are skipped; and the answers of a set
+follow from those of the most similar set already answered: its whole component
+is skipped once they link, and a set that the similar one misses by far needs
+no comparison. Long lists are cut into blocks; what the blocks found tells
+which sets of different blocks are linked already, and only the others meet.
 """
 
 from __future__ import annotations
@@ -20,17 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, hashed_words, materialise, mixed, sequences, small_batches, within
+from .common import buffers, copies_of, frequent_texts, hashed_words, materialise, mixed, sequences, small_batches, text_hashes, text_or_empty, within
 from .components import connected_components
-from .exchange import classes_of, document_counts, text_batches, unpack_texts, with_rows
+from .exchange import Shared, Size, by_run, shared_tokens, text_batches, unpack_texts
 
-#: Documents and tokens of the largest family that one task joins at once;
-#: larger ones are cut into blocks, each pair of which is a task's.
-FAMILY_DOCS, FAMILY_TOKENS = 4000, 3_000_000
-#: Classes of at least so many equal sets are reduced to their first document
-#: before the index; at most so many classes are sent to the executors, the
-#: largest first. Others are reduced by the join itself.
-HEAVY_COPIES, HEAVY_CLASSES = 8, 200_000
+#: Sets and tokens of a block of a list; longer lists are cut into blocks.
+BLOCK_DOCS, BLOCK_TOKENS = 150, 1_000_000
+#: Tokens of the lists that are joined in one task, about.
+TASK_TOKENS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -90,9 +90,8 @@ def _signatures(doc: np.ndarray, tok: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def _tokens(words: int):
-    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        doc, tok, _ = shingles(texts, words)
-        return doc, tok << np.uint64(10)
+    def run(texts: pa.Array) -> np.ndarray:
+        return shingles(texts, words)[1] << np.uint64(10)
 
     return run
 
@@ -112,14 +111,19 @@ class _Roots:
         self.up[max(a, b)] = min(a, b)
 
 
-def link(sets: list[np.ndarray], prefixes: list[np.ndarray], rule: Rule, sides: list[int] | None = None) -> list[tuple[int, int]]:
+def link(sets: list[np.ndarray], prefixes: list[np.ndarray], rule: Rule, sides: list[int] | None = None, known: list | None = None) -> list[tuple[int, int]]:
     """Pairs that link, enough of them to connect all that links connect.
 
     ``sets`` by size, each in the common order of tokens; a prefix is the
     positions of a set's indexed tokens. With ``sides`` (0 or 1), only pairs of
-    different sides are tried.
+    different sides are tried. Sets that are equal in ``known`` are connected
+    already.
     """
     roots = _Roots(len(sets))
+    if known is not None:
+        head: dict = {}
+        for i, c in enumerate(known):
+            roots.join(i, head.setdefault(c, i))
     # token -> numbers and positions of the earlier sets in whose prefix it is, by size
     lists: dict[int, tuple[array, array]] = {}
     begin: dict[int, int] = {}
@@ -164,8 +168,8 @@ def link(sets: list[np.ndarray], prefixes: list[np.ndarray], rule: Rule, sides:
                     continue
                 alpha = rule.overlap(n, len(sets[y]))
                 if like >= 0:
-                    known = missed[like].get(y, missed[y].get(like))
-                    if known is not None and known + n - like_n < alpha:
+                    miss = missed[like].get(y, missed[y].get(like))
+                    if miss is not None and miss + n - like_n < alpha:
                         continue  # what x has beyond the similar set is too little
                 o = len(bag(x) & bag(y))
                 if o >= alpha:
@@ -183,110 +187,181 @@ def link(sets: list[np.ndarray], prefixes: list[np.ndarray], rule: Rule, sides:
     return found
 
 
-def _family_task(rule: Rule):
-    """Links within (family, block pair) groups that come sorted by group and set size."""
+_MEMBER = ("list", "i", "j", "side", "doc_id", "component", "toks", "pre")
+
+
+def _joined(rule: Rule):
+    """Links within (list, i, j) groups that come sorted by group and set size.
+
+    Where i and j differ, only sets of different sides meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def close() -> pa.RecordBatch:
             crossed = key[1] != key[2]
-            got = link([r[1] for r in rows], [r[2] for r in rows], rule, [r[3] for r in rows] if crossed else None)
+            got = link([r[2] for r in rows], [r[3] for r in rows], rule, [r[4] for r in rows] if crossed else None, [r[1] for r in rows])
             a, b = [rows[i][0] for i, _ in got], [rows[j][0] for _, j in got]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for b in batches:
-            for family, i, j, own, doc_id, toks, pre in zip(*(b.column(c).to_pylist() for c in ("family", "i", "j", "own", "doc_id", "toks", "pre")), strict=True):
-                if (family, i, j) != key:
+            for t, i, j, side, doc_id, component, toks, pre in zip(*(b.column(c).to_pylist() for c in _MEMBER), strict=True):
+                if (t, i, j) != key:
                     if len(rows) > 1:
                         yield close()
-                    key, rows = (family, i, j), []
-                rows.append((doc_id, np.frombuffer(toks, "<u8"), np.frombuffer(pre, "<i4"), own))
+                    key, rows = (t, i, j), []
+                rows.append((doc_id, component, np.frombuffer(toks, "<u8"), np.frombuffer(pre, "<i4"), side))
         if len(rows) > 1:
             yield close()
 
     return run
 
 
+def _lists(indexed: DataFrame) -> DataFrame:
+    """(list, doc_id, m, w): the members of the lists that have to be joined, with the
+    number and tokens of each list's sets.
+
+    Of lists of the same members one stays. A set's home is its longest list; a
+    list whose members all have the same home lies within it and is dropped. So
+    near copies that share most of their prefixes meet once, not once a token.
+    """
+    entries = indexed.select("doc_id", "n", F.explode("listed").alias("list"))
+    whole = entries.groupBy("list").agg(
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+        F.expr("bit_xor(xxhash64(doc_id))").alias("x"), F.expr("sum(shiftrightunsigned(xxhash64(1, doc_id), 34))").alias("y"),
+    ).where("m > 1")
+    distinct = whole.groupBy("m", "w", "low", "high", "x", "y").agg(F.min("list").alias("list")).select("list", "m", "w")
+    member = materialise(entries.drop("n").join(distinct, "list"), "entries")
+    home = member.groupBy("doc_id").agg(F.max_by("list", F.struct("m", "list")).alias("home"))
+    inside = member.join(home, "doc_id").groupBy("list").agg(F.min("home").alias("one"), F.max("home").alias("other"))
+    return member.join(inside.where("one <> other or one = list").select("list"), "list")
+
+
+def _links(rows: DataFrame, rule: Rule, tokens: int, name: str) -> DataFrame:
+    """Links of rows of _MEMBER and n, each (list, i, j) group in one task."""
+    parts = max(32, -(-tokens // TASK_TOKENS))
+    dealt = rows.repartition(parts, "list", "i", "j").sortWithinPartitions("list", "i", "j", "n", "doc_id")
+    return materialise(dealt.select(*_MEMBER).mapInArrow(_joined(rule), "a long, b long"), name)
+
+
+def _connected(member: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with the component that the links give them, their own id where they have none."""
+    known = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("found"))
+    return member.drop("component").join(known, "doc_id", "left").withColumn("component", F.coalesce("found", "doc_id")).drop("found")
+
+
+def _between(long: DataFrame, links: DataFrame, sets: DataFrame, rule: Rule, tokens: int) -> DataFrame:
+    """Links between the blocks of long lists, given those found within blocks.
+
+    ``long`` has (list, doc_id, block, k). First one set of each component and
+    list meets those of the others. Then, where the list's sets are still not
+    all connected, those outside its largest component meet all sets of other
+    components. So the rows grow with a list's length times the blocks of its
+    outsiders, not with its square, and no pair is left out.
+    """
+    whole = _connected(long, links)
+    first = whole.groupBy("list", "component").agg(F.min("doc_id").alias("doc_id"))
+    heads = _paired(first, "list", sets)
+    more = links.unionAll(_links(heads, rule, tokens, "head_links"))
+    whole = materialise(_connected(long, more), "connected")
+    largest = whole.groupBy("list", "component").count().groupBy("list").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    open_ = whole.join(largest.where("parts > 1").select("list", "main"), "list").withColumn("outside", F.col("component") != F.col("main"))
+    others = open_.where("outside").select("list", "doc_id", "component")
+    among = _paired(others, "list", sets)
+    blocks = others.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("ko"))
+    # task (-1 - block of the main component, block of outsiders): the sides differ
+    main = open_.where("not outside").join(blocks, "list").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ko") - 1)))
+    main = main.select("list", (-1 - F.col("block")).cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.lit(0).alias("side"), "doc_id", "component")
+    inside = open_.where("not outside").select("list", "block").distinct()
+    guests = others.join(blocks, "list").join(inside, "list").select(
+        "list", (-1 - F.col("block")).cast("int").alias("i"), F.pmod(F.xxhash64("doc_id"), F.col("ko")).cast("int").alias("j"), F.lit(1).alias("side"), "doc_id", "component"
+    )
+    across = main.unionAll(guests).join(sets, "doc_id")
+    return more.unionAll(_links(among.unionByName(across.select(*among.columns)), rule, tokens, "outsider_links"))
+
+
+def _paired(rows: DataFrame, key: str, sets: DataFrame) -> DataFrame:
+    """Rows (list, doc_id, component) with their sets, in all pairs of blocks of each list."""
+    k = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("k"))
+    dealt = rows.join(k, key).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    paired = dealt.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "component")
+    return paired.join(sets, "doc_id").select(*_MEMBER, "n")
+
+
 def similar_classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id for every document.
 
     Words are of lower-cased (A-Z) text. component_id is the smallest doc_id
     reachable by links, itself included. Null and empty texts, and those
-    without words, have no shingles and link with nothing. Rows of equal doc_id
-    and equal text come back as often as they are there; rows of one doc_id are
-    one node of the graph. Rows of null doc_id link with nothing and have a
-    null component_id. Other columns are not read.
+    without words, have no shingles and link with nothing; very long texts are
+    sets like others. Rows of equal doc_id and equal text come back as often as
+    they are there; rows of one doc_id are one node of the graph. Rows of null
+    doc_id link with nothing and have a null component_id. An empty table gives
+    no rows. Other columns are not read. Tokens are 54-bit hashes of shingles.
     """
     spark = documents.sparkSession
     small_batches(spark)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = text_or_empty()
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *text_hashes(text))
     words = rule.words
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, tok, n = shingles(b.column("text"), words)
             one, two = _signatures(doc, tok, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(one), pa.array(two)], ["doc_id", "n", "s1", "s2"])
-
-    sets = materialise(rows.mapInArrow(measure, "doc_id long, n long, s1 long, s2 long"), "sets")
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = materialise(classes, "classes")
-    total = int(sets.agg(F.sum("n")).first()[0] or 0)
-
-    heavy = classes.where(F.col("copies") >= HEAVY_COPIES).orderBy(F.desc("copies"), "s1", "s2").limit(HEAVY_CLASSES).select("s1", "rep").orderBy("s1").collect()
-    signed, first = np.array([r["s1"] for r in heavy], np.int64), np.array([r["rep"] for r in heavy], np.int64)
-
-    def copies(ids: pa.Array, texts: pa.Array) -> np.ndarray:
-        if not len(signed):
-            return np.zeros(len(ids), bool)
-        doc, tok, n = shingles(texts, words)
-        one, _ = _signatures(doc, tok, len(ids))
-        at = np.minimum(np.searchsorted(signed, one), len(signed) - 1)
-        return (signed[at] == one) & (first[at] != ids.to_numpy())
-
-    batches = text_batches(rows.where("doc_id is not null and text <> ''"), copies)
-    flags = document_counts(batches, _tokens(words), total)
-
-    def index(blob: bytes, back: list[tuple[int, bytes]], _: int) -> pa.RecordBatch | None:
-        ids, texts = unpack_texts(blob)
-        doc, tok, sizes = shingles(texts, words)
-        if not len(tok):
-            return None
-        kind = classes_of(tok << np.uint64(10), back, total)
-        order = np.lexsort((tok, kind, doc))
-        tok, kind = tok[order], kind[order]
-        start = np.append(0, np.cumsum(sizes))
-        place = np.arange(len(tok)) - start[doc]
-        length = sizes - -(-rule.percent * sizes // 100) + 1
-        listed = (kind > 0) & (place < length[doc])
-        out: list[tuple] = []
-        for d in np.unique(doc[listed]).tolist():
-            low, high = start[d], start[d + 1]
-            out.append((ids[d].as_py(), int(sizes[d]), tok[low:high].astype("<u8").tobytes(), np.flatnonzero(listed[low:high]).astype("<i4").tobytes(), tok[low:high][listed[low:high]].view(np.int64)))
-        if not out:
-            return None
-        cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))], ["doc_id", "n", "toks", "pre", "listed"])
-
-    indexed = materialise(with_rows(batches, flags, index, "doc_id long, n long, toks binary, pre binary, listed array<long>"), "indexed")
-
-    small_batches(spark)
-    # each list ties its members to its first: a star, not all pairs
-    entries = indexed.select("doc_id", F.explode("listed").alias("t"))
-    leaders = entries.groupBy("t").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    stars = entries.join(leaders, "t").where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-    families = materialise(connected_components(stars), "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-
-    member = indexed.select("doc_id", "n", "toks", "pre").join(families, "doc_id")
-    size = member.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / FAMILY_DOCS), F.ceil(F.col("w") / FAMILY_TOKENS)).cast("int")
-    dealt = member.join(size.select("family", blocks.alias("k")), "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "toks", "pre"
-    )
-    links = paired.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "n", "doc_id").mapInArrow(_family_task(rule), "a long, b long")
-    linked = connected_components(materialise(links, "links"))
+            size = np.diff(buffers(b.column("text"))[1])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(one), pa.array(two), b.column("h1"), b.column("h2"), pa.array(size)], ["doc_id", "n", "s1", "s2", "h1", "h2", "bytes"])
+
+    sets = materialise(rows.mapInArrow(measure, "doc_id long, n long, s1 long, s2 long, h1 long, h2 long, bytes long"), "sets")
+    classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    total = sets.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    size = Size(int(total["bytes"] or 0), int(total["n"] or 0))
+    frequent = frequent_texts(sets.where("n > 0"))
+
+    batches = text_batches(rows.where("doc_id is not null and text <> ''"), size, lambda b: copies_of(frequent, b))
+    shared = shared_tokens(batches, _tokens(words), size)
+
+    def index(_: int, more: list[tuple[bytes, bytes]]):
+        known = Shared(size, more)
+
+        def each(blob: bytes) -> Iterator[pa.RecordBatch]:
+            ids, texts = unpack_texts(blob)
+            doc, tok, sizes = shingles(texts, words)
+            if not len(tok):
+                return
+            kind = known.of(tok << np.uint64(10))
+            order = np.lexsort((tok, kind, doc))
+            tok, kind = tok[order], kind[order]
+            start = np.append(0, np.cumsum(sizes))
+            place = np.arange(len(tok)) - start[doc]
+            length = sizes - -(-rule.percent * sizes // 100) + 1
+            listed = (kind > 0) & (place < length[doc])
+            out: list[tuple] = []
+            for d in np.unique(doc[listed]).tolist():
+                low, high = start[d], start[d + 1]
+                own = listed[low:high]
+                out.append((ids[d].as_py(), int(sizes[d]), tok[low:high].astype("<u8").tobytes(), np.flatnonzero(own).astype("<i4").tobytes(), tok[low:high][own].view(np.int64)))
+            if out:
+                cols = list(zip(*out, strict=True))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n", "toks", "pre", "listed"])
+
+        return each, lambda: iter(())
+
+    indexed = materialise(by_run(batches, shared, size, index, "doc_id long, n long, toks binary, pre binary, listed array<long>"), "indexed")
+    # rows of one doc_id are one node, but each is a set; their number keeps them apart
+    whole = indexed.select("doc_id", "n", "toks", "pre")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_TOKENS)).cast("int")
+    member = _lists(indexed).select("list", "doc_id", blocks.alias("k")).distinct()
+    member = materialise(member.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")), "members")
+    within_blocks = member.select("list", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("component")).join(whole, "doc_id")
+    links = _links(within_blocks.select(*_MEMBER, "n"), rule, size.tokens, "links")
+    long = member.where("k > 1").select("list", "doc_id", "block")
+    if long.take(1):
+        links = _between(long, links, whole, rule, size.tokens)
+    linked = connected_components(links)
 
     reps = classes.join(linked, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     return sets.join(reps.withColumnsRenamed({"n": "_n", "s1": "_1", "s2": "_2"}), (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")), "left").select(
@@ -297,7 +372,9 @@ def similar_classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def keep_first(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One document of each group of linked ones, with all its columns: the one of
     the smallest doc_id; of rows that share it, the first by its columns. Rows of
-    null doc_id all stay.
+    null doc_id all stay, as do null and empty texts, which link with nothing;
+    very long texts are compared whole; an empty table gives no rows. Columns may
+    have any names.
     """
     kept = similar_classes(documents, rule).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
     # columns may have any names, so a row travels as one struct

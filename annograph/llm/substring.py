@@ -3,9 +3,11 @@
 Every window of WINDOW words has an anchor, the least hash of its GRAM-word
 sequences, so equal windows have equal anchors wherever they are. Anchors of
 one document only are dropped by their count over the corpus; the passages
-around the others go to the shard that the anchor names. Each shard builds a
-compressed FM-index of its distinct passages, streams them through it by
-backward search, and reports for each window the smallest document that has it.
+around the others go to the task that owns the anchor's range of hashes. That
+task sweeps over them in the order of anchors and builds, for each bounded
+shard of them, a compressed FM-index of the distinct passages; the passages are
+streamed through it by backward search, which reports for each window that is
+matched in full the smallest document that has it.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, hashed_words, materialise, mixed, sequences, small_batches, within
-from .exchange import BUCKET_TOKENS, BLOB_ROWS, classes_of, document_counts, from_ints, ints, packed_bytes, plain_bytes, text_batches, unpack_texts, with_rows
+from .common import buffers, copies_of, frequent_texts, hashed_words, materialise, mixed, sequences, small_batches, text_hashes, text_or_empty, within
+from .exchange import Shared, Size, by_run, chunk_edges, from_ints, ints, packed_bytes, plain_bytes, shared_tokens, text_batches, unpack_texts
 from .fmindex import FMIndex
 
 WINDOW, GRAM = 13, 8
-#: Texts with at least so many equal ones are reduced to the first before the
-#: index, the most frequent ones, at most so many. Others are found by it.
-HEAVY_COPIES, HEAVY_CLASSES = 8, 200_000
+#: An anchor of this class (8 * log2 of its documents) or more sends each of its
+#: windows by the window's own hash, so that no anchor makes a shard too large.
+HOT = 8 * 12
+#: Words of a shard, passages of a chunk, and tasks for each of the exchange's.
+SHARD_WORDS, CHUNK, SPREAD = 1_500_000, 4096, 2
 
 
 def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,15 +51,15 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int =
     return starts, best[starts], g
 
 
-def _anchor_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _anchor_tokens(texts: pa.Array) -> np.ndarray:
+    """The anchors of each text, once for each text that has them."""
     h, first = hashed_words(*buffers(texts))
     _, at, g = anchors(h, first)
     at = np.unique(at)
     doc, tok = np.searchsorted(first, at, "right") - 1, g[at]
     order = np.lexsort((tok, doc))
     doc, tok = doc[order], tok[order]
-    new = np.append(True, (tok[1:] != tok[:-1]) | (doc[1:] != doc[:-1]))[: len(tok)]
-    return doc[new], tok[new]
+    return tok[np.append(True, (tok[1:] != tok[:-1]) | (doc[1:] != doc[:-1]))[: len(tok)]]
 
 
 def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -63,224 +67,280 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.repeat(low - np.append(0, np.cumsum(n))[:-1], n) + np.arange(int(n.sum()))
 
 
-def _segments(blob: bytes, flags: list[tuple[int, bytes]], batch: int, total: int, shards: int) -> pa.RecordBatch | None:
-    """Passages around the anchors that other documents have too, by shard.
+def _codes(h: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over the words of each passage: with their places in it, and without."""
+    own = mixed(h * np.uint64(2) + np.uint64(1))
+    plain = np.append(np.uint64(0), np.cumsum(own))
+    sums = np.append(np.uint64(0), np.cumsum(own * (np.arange(len(h), dtype=np.uint64) * np.uint64(2) + np.uint64(1))))
+    mass = plain[stop] - plain[begin]
+    return (sums[stop] - sums[begin]) - mass * (begin.astype(np.uint64) * np.uint64(2)), mass
+
+
+def _distinct(holder: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries equal in all keys, the one of the least holder, by the first key; and each entry's group."""
+    order = np.lexsort((holder, *reversed(keys)))
+    head = np.append(True, np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys]))[: len(order)]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(head) - 1
+    return order[head], group
+
 
-    (batch, shard, passages, occurrences): the shard gets each distinct passage
-    of the batch once, with the smallest document that holds it; where it
-    occurs stays with the batch.
+def _passages(size: Size, tasks: int):
+    """For ``by_run``: the passages around anchors that other documents have too.
+
+    A row per chunk: a run's distinct passages, each with the smallest document
+    that holds it, by their key, which is the anchor (or, for hot anchors, the
+    window); and where they occur in the run's documents.
     """
-    ids, texts = unpack_texts(blob)
-    raw, offsets = buffers(texts)
-    h, first, starts, ends = hashed_words(raw, offsets, places=True)
-    win, at, g = anchors(h, first)
-    if not len(win):
-        return None
-    shared = classes_of(g[np.unique(at)], flags, total) > 0
-    keep = shared[np.searchsorted(np.unique(at), at)]
-    win, at = win[keep], at[keep]
-    if not len(win):
-        return None
-    new = np.append(True, (at[1:] != at[:-1]) | (win[1:] != win[:-1] + 1))
-    low = np.flatnonzero(new)
-    n = np.diff(np.append(low, len(win)))  # windows of each passage
-    begin, fp = win[low], g[at[low]]
-    doc = np.searchsorted(first, begin, "right") - 1
-    # a passage is known by its words: by the anchor, its place in it and all of them
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(h * np.uint64(2) + np.uint64(1)) * (np.arange(len(h), dtype=np.uint64) * np.uint64(2) + np.uint64(1)))])
-    stop = begin + n + WINDOW - 1
-    plain = np.concatenate([[np.uint64(0)], np.cumsum(mixed(h * np.uint64(2) + np.uint64(1)))])
-    mass = plain[stop] - plain[begin]
-    weighed = (sums[stop] - sums[begin]) - mass * (begin.astype(np.uint64) * np.uint64(2))
-    shard = (fp % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((ids.to_numpy()[doc], n, mass, weighed, fp, shard))
-    key = np.stack([x[order].astype(np.uint64) for x in (shard, fp, weighed, mass, n)])
-    head = np.append(True, (key[:, 1:] != key[:, :-1]).any(0))
-    kind = np.cumsum(head) - 1
-    one = order[head]  # a passage's first occurrence, that of the smallest document
-    edge = np.searchsorted(shard[one], np.arange(shards + 1))
-    all_edge = np.searchsorted(shard[order], np.arange(shards + 1))
-    rows = []
-    for s in np.flatnonzero(np.diff(edge)).tolist():
-        a, b = edge[s], edge[s + 1]
-        own = one[a:b]
-        lo, hi = starts[begin[own]], ends[stop[own] - 1]
-        text = raw[_ranges(lo, hi)]
-        where = order[all_edge[s] : all_edge[s + 1]]
-        passages = [ints(hi - lo, 6), ints(n[own], 4), ints(ids.to_numpy()[doc[own]].view(np.uint64), 8), packed_bytes(text.tobytes())]
-        occurrences = [ints(kind[all_edge[s] : all_edge[s + 1]] - a, 4), ints(doc[where], 4), ints(begin[where] - first[doc[where]], 6)]
-        rows.append((batch, s, passages, occurrences))
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.binary())), pa.array(cols[3], pa.list_(pa.binary()))], ["batch", "shard", "passages", "occurrences"])
-
-
-def smallest_holders(words: np.ndarray, first: np.ndarray, holders: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """For each window of the passages, in order, its smallest holder.
-
-    ``holders`` has the smallest document of each passage. Each passage is
-    streamed through the index of all: the interval that backward search ends
-    in is a group of equal windows, whose least holder answers.
+
+    def use(run: int, rows: list[tuple[bytes, bytes]]):
+        shared = Shared(size, rows)
+        found: list[tuple[np.ndarray, ...]] = []
+        texts_of: list[np.ndarray] = []
+        where: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        seen = [0, 0]  # documents and passages so far
+
+        def each(blob: bytes) -> Iterator[pa.RecordBatch]:
+            ids, texts = unpack_texts(blob)
+            base, seen[0] = seen[0], seen[0] + len(ids)
+            raw, offsets = buffers(texts)
+            h, first, starts, ends = hashed_words(raw, offsets, places=True)
+            win, at, g = anchors(h, first)
+            if not len(win):
+                return
+            own = np.unique(at)
+            kind = shared.of(g[own])[np.searchsorted(own, at)]
+            win, at, kind = win[kind > 0], at[kind > 0], kind[kind > 0]
+            if not len(win):
+                return
+            low = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (win[1:] != win[:-1] + 1)) | (kind >= HOT))
+            n = np.diff(np.append(low, len(win)))  # windows of each passage
+            begin, key, place = win[low], g[at[low]], at[low] - win[low]
+            if (hot := kind[low] >= HOT).any():
+                key = np.where(hot, sequences(h, WINDOW)[begin], key)
+                place = np.where(hot, 255, place)
+            doc = np.searchsorted(first, begin, "right") - 1
+            stop = begin + n + WINDOW - 1
+            code, mass = _codes(h, begin, stop)
+            holder = ids.to_numpy()[doc]
+            one, group = _distinct(holder, key, code, mass, n)
+            lo, hi = starts[begin[one]], ends[stop[one] - 1]
+            found.append((key[one], code[one], mass[one], n[one], place[one], holder[one], hi - lo))
+            texts_of.append(raw[_ranges(lo, hi)])
+            where.append((group + seen[1], doc + base, begin - first[doc]))
+            seen[1] += len(one)
+            return
+            yield
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if not found:
+                return
+            key, code, mass, n, place, holder, length = (np.concatenate(x) for x in zip(*found, strict=True))
+            text, kind, doc, begin = np.concatenate(texts_of), *(np.concatenate(x) for x in zip(*where, strict=True))
+            from_ = np.append(0, np.cumsum(length))
+            one, group = _distinct(holder, key, code, mass, n)
+            kind = group[kind]
+            order = np.lexsort((begin, doc, kind))
+            kind, doc, begin = kind[order], doc[order], begin[order]
+            task = ((key[one] >> np.uint64(32)) * np.uint64(tasks)) >> np.uint64(32)
+            edge = chunk_edges(task, CHUNK)
+            for number, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+                own = one[a:b]
+                lo, hi = np.searchsorted(kind, (a, b))
+                passages = [ints(length[own], 6), ints(n[own], 1), ints(place[own], 1), ints(holder[own].view(np.uint64), 8), packed_bytes(text[_ranges(from_[own], from_[own + 1])].tobytes())]
+                occurrences = [ints(kind[lo:hi] - a, 4), ints(doc[lo:hi], 4), ints(begin[lo:hi], 6)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(task[a])], pa.int32()), pa.array([int(key[own[0]]) >> 1], pa.int64()), pa.array([run], pa.int64()), pa.array([number], pa.int64()), pa.array([passages], pa.list_(pa.binary())), pa.array([occurrences], pa.list_(pa.binary()))],
+                    ["task", "first", "run", "chunk", "passages", "occurrences"],
+                )
+
+        return each, end
+
+    return use
+
+
+def smallest_holders(words: np.ndarray, first: np.ndarray, holders: np.ndarray, asked: np.ndarray, cut: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For each window of the streamed texts, in order, the smallest holder of an
+    indexed passage that has it; the largest integer where none has.
+
+    ``words`` and ``first`` are the passages that are indexed, ``holders`` the
+    smallest document of each, ``asked`` and ``cut`` the texts that are streamed.
     """
-    index = FMIndex(words, first, window)
-    at = index.matches(words, first)
-    group = index.groups(window)
-    least = np.minimum.reduceat(holders[index.text_of[index.order]], np.searchsorted(group, np.arange(group[-1] + 1)))
-    return least[group[at[within(first, window)]]]
+    index = FMIndex(words, first, holders, window)
+    _, at = index.matches(asked, cut)
+    at = at[within(cut, window)]
+    out = np.full(len(at), np.iinfo(np.int64).max)
+    hit = at >= 0
+    out[hit] = index.least(at[hit])
+    return out
+
+
+class _Chunk:
+    """A chunk of passages that is being answered."""
+
+    def __init__(self, run: int, chunk: int, parts: list[bytes]):
+        self.run, self.chunk = run, chunk
+        length, n, place, holder, text = (from_ints(parts[0], 6), from_ints(parts[1], 1), from_ints(parts[2], 1), from_ints(parts[3], 8), plain_bytes(parts[4]))
+        self.n, self.holder = n.astype(np.int64), holder.view(np.int64)
+        self.words, self.first = hashed_words(np.frombuffer(text, np.uint8), np.append(0, np.cumsum(length.astype(np.int64))))
+        place, begin = place.astype(np.int64), self.first[:-1]
+        hot = place == 255
+        self.key = np.empty(len(n), np.uint64)
+        for way, gram, at in ((hot, WINDOW, begin), (~hot, GRAM, begin + place)):
+            if way.any():
+                self.key[way] = sequences(self.words, gram)[at[way]]
+        self.done = 0
+        self.answers: list[np.ndarray] = []
 
 
 def _shard_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard and batch; answers each batch's passages."""
-    at, held = None, []
-
-    def close() -> pa.RecordBatch:
-        size, n, doc, raw = [], [], [], []
-        for _, p in held:
-            size.append(from_ints(p[0], 6))
-            n.append(from_ints(p[1], 4))
-            doc.append(from_ints(p[2], 8).view(np.int64))
-            raw.append(plain_bytes(p[3]))
-        each = [len(x) for x in n]
-        size, n, doc = np.concatenate(size).astype(np.int64), np.concatenate(n).astype(np.int64), np.concatenate(doc)
-        h, first = hashed_words(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum(size)))
-        weight = mixed(h) * (np.arange(len(h), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-        plain = np.append(np.uint64(0), np.cumsum(mixed(h)))
-        sums = np.append(np.uint64(0), np.cumsum(weight))
-        mass = plain[first[1:]] - plain[first[:-1]]
-        code = (sums[first[1:]] - sums[first[:-1]]) - mass * (first[:-1].astype(np.uint64) * np.uint64(2))
-        order = np.lexsort((doc, n, mass, code))  # distinct over batches, smallest document first
-        head = np.append(True, (code[order][1:] != code[order][:-1]) | (mass[order][1:] != mass[order][:-1]) | (n[order][1:] != n[order][:-1]))
-        kind = np.empty(len(order), np.int64)
-        kind[order] = np.cumsum(head) - 1
-        one = order[head]
-        some = np.append(0, np.cumsum(first[one + 1] - first[one]))
-        answer = smallest_holders(h[_ranges(first[one], first[one + 1])], some, doc[one])
-        begin = np.append(0, np.cumsum(n[one]))
-        out, k = [], 0
-        for (batch, _), m in zip(held, each, strict=True):
-            own = kind[k : k + m]
-            k += m
-            out.append(ints(answer[_ranges(begin[own], begin[own + 1])].view(np.uint64), 8))
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([at] * len(held), pa.int64()), pa.array(out, pa.binary())], ["batch", "shard", "data"])
+    """Chunks sorted by their first keys; answers each chunk's windows."""
+    held: list[_Chunk] = []
+    inside, limit = 0, SHARD_WORDS
+
+    def below(frontier: int | None) -> Iterator[pa.RecordBatch]:
+        """Index and stream the passages of keys before the frontier, which no later chunk holds."""
+        nonlocal held, inside, limit
+        stop = [len(c.n) if frontier is None else max(c.done, int(np.searchsorted(c.key, np.uint64(frontier)))) for c in held]
+        words = np.concatenate([c.words[c.first[c.done] : c.first[e]] for c, e in zip(held, stop, strict=True)])
+        count = np.concatenate([np.diff(c.first[c.done : e + 1]) for c, e in zip(held, stop, strict=True)])
+        n = np.concatenate([c.n[c.done : e] for c, e in zip(held, stop, strict=True)])
+        holder = np.concatenate([c.holder[c.done : e] for c, e in zip(held, stop, strict=True)])
+        if len(n):
+            first = np.append(0, np.cumsum(count))
+            code, mass = _codes(words, first[:-1], first[1:])
+            one, group = _distinct(holder, code, mass, n)
+            cut = np.append(0, np.cumsum(count[one]))
+            some = words[_ranges(first[one], first[one + 1])]
+            answer = smallest_holders(some, cut, holder[one], some, cut)
+            begin = np.append(0, np.cumsum(n[one]))
+            answer = answer[_ranges(begin[group], begin[group + 1])]
+            at = np.append(0, np.cumsum(n))
+        low = 0
+        for c, e in zip(held, stop, strict=True):
+            if e > c.done:
+                c.answers.append(answer[at[low] : at[low + e - c.done]])
+                low += e - c.done
+                c.done = e
+            if c.done == len(c.n):
+                data = ints(np.concatenate(c.answers).view(np.uint64), 8)
+                yield pa.RecordBatch.from_arrays([pa.array([c.run], pa.int64()), pa.array([c.chunk], pa.int64()), pa.array([data], pa.binary())], ["run", "chunk", "data"])
+        held = [c for c in held if c.done < len(c.n)]
+        inside = sum(int(c.first[-1] - c.first[c.done]) for c in held)
+        limit = max(SHARD_WORDS, 2 * inside)
 
     for b in batches:
-        for batch, shard, passages in zip(*(b.column(c).to_pylist() for c in ("batch", "shard", "passages")), strict=True):
-            if shard != at:
-                if held:
-                    yield close()
-                at, held = shard, []
-            held.append((batch, passages))
+        for first, run, chunk, parts in zip(*(b.column(c).to_pylist() for c in ("first", "run", "chunk", "passages")), strict=True):
+            if inside > limit:
+                yield from below(2 * first)
+            held.append(_Chunk(run, chunk, parts))
+            inside += len(held[-1].words)
     if held:
-        yield close()
+        yield from below(None)
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _kept(blob: bytes, rows: list[tuple[int, bytes]], _: int) -> pa.RecordBatch:
-    """Each document of a batch without the words that earlier documents' windows cover."""
-    ids, texts = unpack_texts(blob)
-    raw, offsets = buffers(texts)
-    numbers = ids.to_numpy()
-    _, first = hashed_words(raw, offsets)
-    cover = np.zeros(int(first[-1]) + 1, np.int32)
-    by: dict[int, list[bytes]] = {}
-    for bucket, data in rows:
-        by.setdefault(bucket // 2, []).append(data)
-    for packed, answers in by.values():  # occurrences, then answers, by their bucket
-        sizes = np.frombuffer(packed[:16], "<u4")
-        parts = np.split(np.frombuffer(packed[16:], np.uint8), np.cumsum(sizes[:3])[:-1].astype(np.int64))
-        kind, doc, begin = (from_ints(p.tobytes(), w).astype(np.int64) for p, w in zip(parts[:3], (4, 4, 6), strict=True))
-        n = from_ints(packed[16 + int(sizes[:3].sum()) :], 4).astype(np.int64)
-        least = from_ints(answers, 8).view(np.int64)
+def _without(run: int, rows: list[tuple[bytes, bytes]]):
+    """For ``by_run``: each document without the words that earlier documents' windows cover."""
+    by: dict[int, dict[bytes, bytes]] = {}
+    for head, data in rows:
+        by.setdefault(int.from_bytes(head[:8], "little"), {})[head[8:]] = data
+    whos, places, leasts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for parts in by.values():
+        packed = parts[b"o"]
+        sizes = np.frombuffer(packed[:12], "<u4").astype(np.int64)
+        cut = 12 + np.append(0, np.cumsum(sizes))
+        kind, doc, begin = (from_ints(packed[cut[i] : cut[i + 1]], w).astype(np.int64) for i, w in enumerate((4, 4, 6)))
+        n = from_ints(packed[cut[3] :], 1).astype(np.int64)
         low = np.append(0, np.cumsum(n))
-        at = _ranges(low[kind], low[kind + 1])
-        who = np.repeat(doc, n[kind])
-        place = first[who] + _ranges(begin, begin + n[kind])
-        hit = place[least[at] < numbers[who]]
+        whos.append(np.repeat(doc, n[kind]).astype(np.int32))
+        places.append(_ranges(begin, begin + n[kind]))
+        leasts.append(from_ints(parts[b"r"], 8).view(np.int64)[_ranges(low[kind], low[kind + 1])])
+    by.clear()
+    who, place, least = np.concatenate(whos), np.concatenate(places), np.concatenate(leasts)
+    order = np.argsort(who, kind="stable")
+    who, place, least = who[order], place[order], least[order]
+    seen = [0]
+
+    def each(blob: bytes) -> Iterator[pa.RecordBatch]:
+        ids, texts = unpack_texts(blob)
+        base, seen[0] = seen[0], seen[0] + len(ids)
+        raw, offsets = buffers(texts)
+        numbers = ids.to_numpy()
+        _, first = hashed_words(raw, offsets)
+        cover = np.zeros(int(first[-1]) + WINDOW + 1, np.int32)
+        a, b = np.searchsorted(who, (base, base + len(ids)))
+        own = who[a:b] - base
+        hit = (first[own] + place[a:b])[least[a:b] < numbers[own]]
         np.add.at(cover, hit, 1)
         np.add.at(cover, hit + WINDOW, -1)
-    gone = np.cumsum(cover[:-1]) > 0
-    out = []
-    for i, (low, high) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-        words = raw[offsets[i] : offsets[i + 1]].tobytes().split()
-        if (lost := int(gone[low:high].sum())):
-            words = list(compress(words, (~gone[low:high]).tolist()))
-        out.append((high - low, lost, hashlib.sha256(b" ".join(words)).hexdigest()))
-    cols = list(zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        gone = np.cumsum(cover) > 0
+        out = []
+        for i, (low, high) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            words = raw[offsets[i] : offsets[i + 1]].tobytes().split()
+            if lost := int(gone[low:high].sum()):
+                words = list(compress(words, (~gone[low:high]).tolist()))
+            out.append((high - low, lost, hashlib.sha256(b" ".join(words)).hexdigest()))
+        cols = list(zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return each, lambda: iter(())
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document.
 
-    Windows are judged on the input. Null and empty texts have no words; rows
-    of one doc_id, repeated rows among them, don't remove words from each
-    other; rows of null doc_id neither lose words nor make others lose any.
-    Columns other than doc_id and text are not read.
+    Windows are judged on the input. Null and empty texts have no words; very
+    long texts are batches of their own; rows of one doc_id, repeated rows among
+    them, don't remove words from each other; rows of null doc_id neither lose
+    words nor make others lose any; an empty table gives no rows. Columns other
+    than doc_id and text are not read. Words are compared by 64-bit hashes.
     """
     spark = documents.sparkSession
     small_batches(spark)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-    def signature(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h, first = hashed_words(*buffers(texts))
-        n = np.diff(first)
-        place = np.arange(len(h)) - np.repeat(first[:-1], n)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(h + mixed(place.astype(np.uint64))))])
-        return n, (sums[first[1:]] - sums[first[:-1]]).view(np.int64), first
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, one, _ = signature(b.column("text"))
-            own = []
-            for i, (d, t) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True)):
-                own.append(hashlib.sha256(b" ".join(t.as_buffer().to_pybytes().split())).hexdigest() if d is None or n[i] < WINDOW else "")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(one), pa.array(own)], ["doc_id", "n", "s", "own"])
-
-    sized = materialise(rows.mapInArrow(measure, "doc_id long, n long, s long, own string"), "sized")
-    total = int(sized.agg(F.sum("n")).first()[0] or 0)
-    heavy = sized.where(f"n >= {WINDOW} and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    heavy = heavy.where(F.col("copies") >= HEAVY_COPIES).orderBy(F.desc("copies"), "s").limit(HEAVY_CLASSES).orderBy("s").collect()
-    signed, least = np.array([r["s"] for r in heavy], np.int64), np.array([r["first"] for r in heavy], np.int64)
-
-    def copied(one: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        if not len(signed):
-            return np.zeros(len(one), bool)
-        at = np.minimum(np.searchsorted(signed, one), len(signed) - 1)
-        return (signed[at] == one) & (least[at] < ids)
-
-    def skip(ids: pa.Array, texts: pa.Array) -> np.ndarray:
-        n, one, _ = signature(texts)
-        return (n < WINDOW) | copied(one, ids.to_numpy())
+    text = text_or_empty()
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *text_hashes(text))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]", -1), "")
+    alone = F.col("doc_id").isNull() | (F.col("text") == "")
+    sized = rows.select("doc_id", F.size(words).cast("long").alias("n"), F.octet_length("text").alias("bytes"), "h1", "h2", F.when(alone, F.sha2(F.array_join(words, " "), 256)).alias("own"))
+    sized = materialise(sized, "sized")
+    total = sized.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    size = Size(int(total["bytes"] or 0), int(total["n"] or 0))
+    frequent = frequent_texts(sized.where(f"n >= {WINDOW}"))
+
+    def copied(b: pa.RecordBatch) -> np.ndarray:
+        return copies_of(frequent, b)
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows that need no index: short ones, and copies of frequent texts."""
+        """The rows that need no index: those without id or text, and copies of frequent texts."""
         nothing = hashlib.sha256(b"").hexdigest()
         for b in batches:
-            n, one = b.column("n").to_numpy(), b.column("s").to_numpy()
-            none = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            copy = copied(one, b.column("doc_id").fill_null(-(1 << 63)).to_numpy()) & (n >= WINDOW) & ~none
-            keep = none | (n < WINDOW) | copy
+            n, copy = b.column("n").to_numpy(), copied(b)
+            keep = b.column("own").is_valid().to_numpy(zero_copy_only=False) | copy
             sha = [nothing if c else s for s, c in zip(b.column("own").to_pylist(), copy.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(np.where(copy, n, 0)), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(np.where(copy, n, 0)), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"]).filter(pa.array(keep))
 
-    batches = text_batches(rows.where("doc_id is not null and text <> ''"), skip)
-    anchor_total = max(1, total // 3)  # of about 2 in 7 places
-    shards = max(16, -(-total // BUCKET_TOKENS))
-    flags = document_counts(batches, _anchor_tokens, anchor_total)
-    cut = with_rows(batches, flags, lambda blob, back, batch: _segments(blob, back, batch, anchor_total, shards), "batch long, shard long, passages array<binary>, occurrences array<binary>")
+    batches = text_batches(rows.where("doc_id is not null and text <> ''"), size, copied)
+    shared = shared_tokens(batches, _anchor_tokens, size)
+    tasks = SPREAD * size.tasks
+    cut = by_run(batches, shared, size, _passages(size, tasks), "task int, first long, run long, chunk long, passages array<binary>, occurrences array<binary>")
     cut = materialise(cut, "passages", compression="uncompressed")
-    answers = cut.select("shard", "batch", "passages").repartition(shards, "shard").sortWithinPartitions("shard", "batch").mapInArrow(_shard_task, "batch long, shard long, data binary")
+    answers = cut.select("task", "first", "run", "chunk", "passages").repartitionById(tasks, F.col("task")).sortWithinPartitions("first").mapInArrow(_shard_task, "run long, chunk long, data binary")
 
     def pack(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
-            data = []
-            for occ, pas in zip(b.column("occurrences").to_pylist(), b.column("passages"), strict=True):
-                data.append(np.array([*(len(x) for x in occ), 0], "<u4").tobytes() + b"".join(occ) + pas[1].as_buffer().to_pybytes())
-            yield pa.RecordBatch.from_arrays([b.column("batch"), pa.array(np.asarray(b.column("shard")) * 2), pa.array(data, pa.binary())], ["batch", "bucket", "flags"])
-
-    where = cut.mapInArrow(pack, "batch long, bucket long, flags binary")
-    more = where.unionAll(answers.select("batch", (F.col("shard") * 2 + 1).alias("bucket"), F.col("data").alias("flags")))
-    done = with_rows(batches, more, _kept, _RESULT)
-    small_batches(spark)
+            head = [c.to_bytes(8, "little") + b"o" for c in b.column("chunk").to_pylist()]
+            data = [np.array([len(x) for x in o], "<u4").tobytes() + b"".join(o) + n for o, n in zip(b.column("occurrences").to_pylist(), b.column("n").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("run"), pa.array(head, pa.binary()), pa.array(data, pa.binary())], ["run", "a", "b"])
+
+    def head(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            own = [c.to_bytes(8, "little") + b"r" for c in b.column("chunk").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("run"), pa.array(own, pa.binary()), b.column("data")], ["run", "a", "b"])
+
+    pair = "run long, a binary, b binary"
+    where = cut.select("run", "chunk", F.get("passages", F.lit(1)).alias("n"), "occurrences").mapInArrow(pack, pair)
+    done = by_run(batches, where.unionAll(answers.mapInArrow(head, pair)), size, _without, _RESULT)
     return done.unionAll(sized.mapInArrow(apart, _RESULT))

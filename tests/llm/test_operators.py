@@ -161,21 +161,64 @@ def test_substrings(spark, odd, empty):
     same(substring.remove_repeats(docs).collect(), kept(rows(docs)))
 
 
+def test_substrings_in_many_runs_and_shards(spark, monkeypatch):
+    """Small runs, chunks and shards, and anchors that count as hot, give the same results."""
+    from annograph.llm import exchange
+
+    rng = random.Random(8)
+    shared = [[rng.choice("abcdefgh") + str(rng.randrange(90)) for _ in range(40)] for _ in range(12)]
+    docs = []
+    for i in range(150):
+        own = [f"d{i}w{k}" for k in range(rng.randrange(30))]
+        p = rng.choice(shared)
+        low = rng.randrange(15)
+        docs.append((i, " ".join([*own, *p[low : low + rng.randrange(10, 26)], *own[:3], *rng.choice(shared)[:20]])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = kept(docs)
+    same(substring.remove_repeats(df).collect(), want)
+    monkeypatch.setattr(exchange, "BATCH_BYTES", 1000)
+    monkeypatch.setattr(exchange, "RUN_BYTES", (2500, 2500))
+    monkeypatch.setattr(exchange, "CHUNK_TOKENS", (3, 3))
+    monkeypatch.setattr(exchange, "HELD_TOKENS", 50)
+    monkeypatch.setattr(substring, "CHUNK", 4)
+    monkeypatch.setattr(substring, "SHARD_WORDS", 200)
+    same(substring.remove_repeats(df).collect(), want)
+    monkeypatch.setattr(substring, "HOT", 8 * 3)
+    same(substring.remove_repeats(df).collect(), want)
+
+
 def test_index_finds_all_and_only_occurrences():
     rng = np.random.default_rng(5)
-    indexed, asked = rng.integers(0, 3, 300).astype(np.uint64), rng.integers(0, 4, 200).astype(np.uint64)
-    first, cut = np.array([0, 90, 90, 300]), np.array([0, 50, 200])
-    index = FMIndex(indexed, first, 5)
-    got = index.matches(asked, cut)
-    there = {tuple(indexed[i : i + 5]): i for a, b in zip(first[:-1], first[1:], strict=True) for i in range(a, b - 4)}
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        for i in range(a, b):
-            hit = i + 5 <= b and tuple(asked[i : i + 5]) in there
-            assert (got[i] >= 0) == hit
-            if hit:
-                text, at = index.text_of[index.order[got[i]]], index.order[got[i]]
-                j = first[text] + at - index.start[text]
-                assert tuple(indexed[j : j + 5]) == tuple(asked[i : i + 5])
+    for depth in (1, 4, 5, 8):
+        indexed, asked = rng.integers(0, 3, 300).astype(np.uint64), rng.integers(0, 4, 200).astype(np.uint64)
+        first, cut, labels = np.array([0, 90, 90, 300]), np.array([0, 50, 200]), np.array([9, 1, 5])
+        index = FMIndex(indexed, first, labels, depth)
+        lengths, got = index.matches(asked, cut)
+        there = {}
+        for a, b, label in zip(first[:-1], first[1:], labels, strict=True):
+            for i in range(a, b):
+                for n in range(1, min(depth, b - i) + 1):
+                    key = tuple(indexed[i : i + n])
+                    there[key] = min(label, there.get(key, 99))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            for i in range(a, b):
+                assert lengths[i] == max((n for n in range(1, min(depth, b - i) + 1) if tuple(asked[i : i + n]) in there), default=0)
+                assert (got[i] >= 0) == (lengths[i] == depth)
+                if got[i] >= 0:
+                    assert index.least(got[i : i + 1])[0] == there[tuple(asked[i : i + depth])]
+
+
+def test_index_is_compressed_and_used(monkeypatch):
+    rng = np.random.default_rng(6)
+    words, first = rng.integers(0, 1 << 60, 2000).astype(np.uint64)[rng.integers(0, 2000, 200_000)], np.arange(0, 200_001, 20)
+    holders = rng.permutation(len(first) - 1)
+    index = FMIndex(words, first, holders, 13)
+    assert index.nbytes / len(words) < 10  # 64-bit ranks and suffix positions took 57 bytes a word
+    right = substring.smallest_holders(words, first, holders, words, first)
+    assert (right == np.repeat(holders, 8)).all()
+    step = FMIndex.step
+    monkeypatch.setattr(FMIndex, "step", lambda self, s, low, high: step(self, np.maximum(s - 1, 1), low, high))
+    assert (substring.smallest_holders(words, first, holders, words, first) != right).any()
 
 
 # 4
@@ -207,8 +250,8 @@ def test_set_join(spark, odd, empty, rule):
     assert setjoin.similar_classes(empty, rule).count() == 0
 
 
-def test_set_join_on_near_copies(spark):
-    """A family in which few pairs link directly, cut into blocks as well."""
+def test_set_join_on_near_copies(spark, monkeypatch):
+    """A list in which few pairs link directly, cut into blocks as well."""
     rng = np.random.default_rng(2)
     base = [f"t{k}" for k in range(80)]
     docs = []
@@ -220,12 +263,26 @@ def test_set_join_on_near_copies(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = classes(docs, 4, 85)
     same(setjoin.similar_classes(df, setjoin.Rule(4, 85)).collect(), want)
-    before = setjoin.FAMILY_DOCS
-    setjoin.FAMILY_DOCS = 30
-    try:
-        same(setjoin.similar_classes(df, setjoin.Rule(4, 85)).collect(), want)
-    finally:
-        setjoin.FAMILY_DOCS = before
+    monkeypatch.setattr(setjoin, "BLOCK_DOCS", 30)
+    same(setjoin.similar_classes(df, setjoin.Rule(4, 85)).collect(), want)
+    monkeypatch.setattr(setjoin, "BLOCK_DOCS", 7)
+    same(setjoin.similar_classes(df, setjoin.Rule(4, 85)).collect(), want)
+
+
+def test_set_join_of_texts_that_share_passages(spark, monkeypatch):
+    """Texts put together from few passages: lists overlap, and most of their pairs don't link."""
+    rng = random.Random(12)
+    passages = [[f"p{k}w{i}" for i in range(30)] for k in range(8)]
+    docs = []
+    for i in range(160):
+        w = [x for p in rng.sample(passages, rng.randrange(1, 4)) for x in p[: rng.randrange(20, 31)]]
+        docs.append((i, " ".join([*w, *(f"o{i}x{k}" for k in range(rng.randrange(6)))])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = classes(docs, 5, 80)
+    assert 20 < len({c for *_, c in want}) < 150
+    for size in (150, 11):
+        monkeypatch.setattr(setjoin, "BLOCK_DOCS", size)
+        same(setjoin.similar_classes(df, setjoin.Rule(5, 80)).collect(), want)
 
 
 def test_keep_first(odd):
