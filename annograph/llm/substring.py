@@ -29,8 +29,9 @@ WINDOW, GRAM = 13, 8
 #: An anchor of this class (8 * log2 of its documents) or more sends each of its
 #: windows by the window's own hash, so that no anchor makes a shard too large.
 HOT = 8 * 12
-#: Words of a shard, passages of a chunk, and tasks for each of the exchange's.
-SHARD_WORDS, CHUNK, SPREAD = 1_500_000, 4096, 2
+#: Words of a shard, passages of a chunk (a task may hold one chunk of every
+#: run), and tasks for each of the exchange's.
+SHARD_WORDS, CHUNK, SPREAD = 1_000_000, (8, 512), 2
 
 
 def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +144,7 @@ def _passages(size: Size, tasks: int):
             order = np.lexsort((begin, doc, kind))
             kind, doc, begin = kind[order], doc[order], begin[order]
             task = ((key[one] >> np.uint64(32)) * np.uint64(tasks)) >> np.uint64(32)
-            edge = chunk_edges(task, CHUNK)
+            edge = chunk_edges(task, min(max(SHARD_WORDS // (WINDOW * size.runs), CHUNK[0]), CHUNK[1]))
             for number, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
                 own = one[a:b]
                 lo, hi = np.searchsorted(kind, (a, b))

@@ -180,7 +180,7 @@ def test_substrings_in_many_runs_and_shards(spark, monkeypatch):
     monkeypatch.setattr(exchange, "RUN_BYTES", (2500, 2500))
     monkeypatch.setattr(exchange, "CHUNK_TOKENS", (3, 3))
     monkeypatch.setattr(exchange, "HELD_TOKENS", 50)
-    monkeypatch.setattr(substring, "CHUNK", 4)
+    monkeypatch.setattr(substring, "CHUNK", (4, 4))
     monkeypatch.setattr(substring, "SHARD_WORDS", 200)
     same(substring.remove_repeats(df).collect(), want)
     monkeypatch.setattr(substring, "HOT", 8 * 3)
