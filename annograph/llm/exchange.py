@@ -29,13 +29,17 @@ BATCH_BYTES, RUN_BYTES = 4 << 20, (4 << 20, 32 << 20)
 RUNS = 96
 #: Tokens that a counting task is given, as long as there are few such tasks;
 #: tokens that it holds at a time; and tokens in a chunk.
-TASK_TOKENS, MOST_TASKS, HELD_TOKENS, CHUNK_TOKENS = 4_000_000, 20_000, 2_000_000, (8, 8192)
+TASK_TOKENS, MOST_TASKS, HELD_TOKENS, CHUNK_TOKENS = 2_000_000, 20_000, 2_000_000, (8, 8192)
 #: Partitions at most of anything that is dealt out by run.
 MOST_PARTITIONS = 100_000
 
 
-def packed_bytes(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+#: Compression of texts, which are stored and moved more than once.
+TEXT_LEVEL = 5
+
+
+def packed_bytes(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def plain_bytes(raw: bytes) -> bytes:
@@ -58,7 +62,7 @@ def from_ints(raw: bytes, width: int) -> np.ndarray:
 def pack_texts(ids: pa.Array, texts: pa.Array) -> bytes:
     sink = pa.BufferOutputStream()
     batch = pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"])
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", TEXT_LEVEL))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, copies_of, frequent_texts, hashed_words, materialise, mixed, sequences, small_batches, text_hashes, text_or_empty, within
-from .exchange import Shared, Size, by_run, chunk_edges, from_ints, ints, packed_bytes, plain_bytes, shared_tokens, text_batches, unpack_texts
+from .exchange import TEXT_LEVEL, Shared, Size, by_run, chunk_edges, from_ints, ints, packed_bytes, plain_bytes, shared_tokens, text_batches, unpack_texts
 from .fmindex import FMIndex
 
 WINDOW, GRAM = 13, 8
@@ -31,7 +31,7 @@ WINDOW, GRAM = 13, 8
 HOT = 8 * 12
 #: Words of a shard, passages of a chunk (a task may hold one chunk of every
 #: run), and tasks for each of the exchange's.
-SHARD_WORDS, CHUNK, SPREAD = 1_000_000, (8, 512), 2
+SHARD_WORDS, CHUNK, SPREAD = 1_000_000, (8, 1024), 2
 
 
 def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +148,7 @@ def _passages(size: Size, tasks: int):
             for number, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
                 own = one[a:b]
                 lo, hi = np.searchsorted(kind, (a, b))
-                passages = [ints(length[own], 6), ints(n[own], 1), ints(place[own], 1), ints(holder[own].view(np.uint64), 8), packed_bytes(text[_ranges(from_[own], from_[own + 1])].tobytes())]
+                passages = [ints(length[own], 6), ints(n[own], 1), ints(place[own], 1), ints(holder[own].view(np.uint64), 8), packed_bytes(text[_ranges(from_[own], from_[own + 1])].tobytes(), TEXT_LEVEL)]
                 occurrences = [ints(kind[lo:hi] - a, 4), ints(doc[lo:hi], 4), ints(begin[lo:hi], 6)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(task[a])], pa.int32()), pa.array([int(key[own[0]]) >> 1], pa.int64()), pa.array([run], pa.int64()), pa.array([number], pa.int64()), pa.array([passages], pa.list_(pa.binary())), pa.array([occurrences], pa.list_(pa.binary()))],
