@@ -2,13 +2,13 @@
 
 Equal sets are one class. Each set's prefix, its rarest tokens by corpus count,
 is indexed; sets that can link share a prefix token, so they meet in its list.
-Lists whose sets all meet in another list are dropped, the others joined one by
-one. Within a list, the sets that share a token are kept by size, with the
-position of the token in each set, so that blocks of too small sets and
-positions too late for the overlap needed are skipped; and the answers of a set
-follow from those of the most similar set already answered: its whole component
-is skipped once they link, and a set that the similar one misses by far needs
-no comparison. Long lists are cut into blocks; what the blocks found tells
+Lists whose sets all meet in another list are dropped, the others bundled by the
+sets that they share, and each bundle is joined. In it, the sets that share a
+token are kept by size, with the position of the token in each set, so that
+blocks of too small sets and positions too late for the overlap needed are
+skipped; and the answers of a set follow from those of the most similar set
+already answered: its whole component is skipped once they link, and a set that
+the similar one misses by far needs no comparison. Large bundles are cut into blocks; what the blocks found tells
 which sets of different blocks are linked already, and only the others meet.
 """
 
@@ -27,9 +27,9 @@ from .common import buffers, copies_of, frequent_texts, hashed_words, materialis
 from .components import connected_components
 from .exchange import Shared, Size, by_run, shared_tokens, text_batches, unpack_texts
 
-#: Sets and tokens of a block of a list; longer lists are cut into blocks.
+#: Sets and tokens of a block of a bundle; larger bundles are cut into blocks.
 BLOCK_DOCS, BLOCK_TOKENS = 150, 1_000_000
-#: Tokens of the lists that are joined in one task, about.
+#: Tokens of the bundles that are joined in one task, about.
 TASK_TOKENS = 4_000_000
 
 
@@ -218,24 +218,31 @@ def _joined(rule: Rule):
     return run
 
 
-def _lists(indexed: DataFrame) -> DataFrame:
-    """(list, doc_id, m, w): the members of the lists that have to be joined, with the
-    number and tokens of each list's sets.
+def _bundles(indexed: DataFrame) -> DataFrame:
+    """(list, doc_id, block, k): the sets that have to meet, by bundles of lists.
 
     Of lists of the same members one stays. A set's home is its longest list; a
-    list whose members all have the same home lies within it and is dropped. So
-    near copies that share most of their prefixes meet once, not once a token.
+    list whose members all have the same home lies within it and is dropped. The
+    others go into the bundle named by the home of their member of least hash,
+    so lists that share most members, as those of near copies do, make one
+    bundle, and a set is sent once for most of its lists and not once a token.
+    Bundles are named by one step only: they don't grow into one another.
     """
     entries = indexed.select("doc_id", "n", F.explode("listed").alias("list"))
     whole = entries.groupBy("list").agg(
         F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
         F.expr("bit_xor(xxhash64(doc_id))").alias("x"), F.expr("sum(shiftrightunsigned(xxhash64(1, doc_id), 34))").alias("y"),
     ).where("m > 1")
-    distinct = whole.groupBy("m", "w", "low", "high", "x", "y").agg(F.min("list").alias("list")).select("list", "m", "w")
-    member = materialise(entries.drop("n").join(distinct, "list"), "entries")
+    distinct = whole.groupBy("m", "w", "low", "high", "x", "y").agg(F.min("list").alias("list")).select("list", "m")
+    member = materialise(entries.join(distinct, "list"), "entries")
     home = member.groupBy("doc_id").agg(F.max_by("list", F.struct("m", "list")).alias("home"))
-    inside = member.join(home, "doc_id").groupBy("list").agg(F.min("home").alias("one"), F.max("home").alias("other"))
-    return member.join(inside.where("one <> other or one = list").select("list"), "list")
+    inside = member.join(home, "doc_id").groupBy("list").agg(F.min("home").alias("one"), F.max("home").alias("other"), F.min_by("home", F.struct(F.xxhash64("doc_id"), "doc_id")).alias("bundle"))
+    kept = inside.where("one <> other or one = list").select("list", "bundle")
+    dealt = member.join(kept, "list").groupBy(F.col("bundle").alias("list"), "doc_id").agg(F.max("n").alias("n"))
+    dealt = materialise(dealt, "bundles")
+    size = dealt.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_TOKENS)).cast("int")
+    return dealt.join(size.where("m > 1").select("list", blocks.alias("k")), "list").select("list", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("block"), "k")
 
 
 def _links(rows: DataFrame, rule: Rule, tokens: int, name: str) -> DataFrame:
@@ -353,9 +360,7 @@ def similar_classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     indexed = materialise(by_run(batches, shared, size, index, "doc_id long, n long, toks binary, pre binary, listed array<long>"), "indexed")
     # rows of one doc_id are one node, but each is a set; their number keeps them apart
     whole = indexed.select("doc_id", "n", "toks", "pre")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_TOKENS)).cast("int")
-    member = _lists(indexed).select("list", "doc_id", blocks.alias("k")).distinct()
-    member = materialise(member.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")), "members")
+    member = materialise(_bundles(indexed), "members")
     within_blocks = member.select("list", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("component")).join(whole, "doc_id")
     links = _links(within_blocks.select(*_MEMBER, "n"), rule, size.tokens, "links")
     long = member.where("k > 1").select("list", "doc_id", "block")
