@@ -89,6 +89,17 @@ def _signatures(doc: np.ndarray, tok: np.ndarray, n: int) -> tuple[np.ndarray, n
     return out[0], out[1]
 
 
+def _narrow(tokens: np.ndarray) -> bytes:
+    """Tokens of 54 bits in seven bytes each."""
+    return np.ascontiguousarray(tokens.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return out.reshape(-1).view("<u8")
+
+
 def _tokens(words: int):
     def run(texts: pa.Array) -> np.ndarray:
         return shingles(texts, words)[1] << np.uint64(10)
@@ -211,7 +222,7 @@ def _joined(rule: Rule):
                     if len(rows) > 1:
                         yield close()
                     key, rows = (t, i, j), []
-                rows.append((doc_id, component, np.frombuffer(toks, "<u8"), np.frombuffer(pre, "<i4"), side))
+                rows.append((doc_id, component, _wide(toks), np.frombuffer(pre, "<i4"), side))
         if len(rows) > 1:
             yield close()
 
@@ -242,7 +253,7 @@ def _bundles(indexed: DataFrame) -> DataFrame:
     dealt = materialise(dealt, "bundles")
     size = dealt.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_TOKENS)).cast("int")
-    return dealt.join(size.where("m > 1").select("list", blocks.alias("k")), "list").select("list", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("block"), "k")
+    return _with_list(dealt, size.where("m > 1").select("list", blocks.alias("k"))).select("list", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("block"), "k")
 
 
 def _links(rows: DataFrame, rule: Rule, tokens: int, name: str) -> DataFrame:
@@ -258,43 +269,55 @@ def _connected(member: DataFrame, links: DataFrame) -> DataFrame:
     return member.drop("component").join(known, "doc_id", "left").withColumn("component", F.coalesce("found", "doc_id")).drop("found")
 
 
-def _between(long: DataFrame, links: DataFrame, sets: DataFrame, rule: Rule, tokens: int) -> DataFrame:
-    """Links between the blocks of long lists, given those found within blocks.
+def _between(long: DataFrame, links: DataFrame, rule: Rule, tokens: int) -> DataFrame:
+    """Links between the blocks of large bundles, given those found within blocks.
 
-    ``long`` has (list, doc_id, block, k). First one set of each component and
-    list meets those of the others. Then, where the list's sets are still not
-    all connected, those outside its largest component meet all sets of other
-    components. So the rows grow with a list's length times the blocks of its
-    outsiders, not with its square, and no pair is left out.
+    ``long`` has the members of such bundles with their sets. First one set of
+    each component and bundle meets those of the others. Then, where the sets of
+    a bundle are still not all connected, those outside its largest component
+    meet all sets of other components. So the rows grow with a bundle's size
+    times the blocks of its outsiders, not with its square, and no pair is left
+    out.
     """
-    whole = _connected(long, links)
-    first = whole.groupBy("list", "component").agg(F.min("doc_id").alias("doc_id"))
-    heads = _paired(first, "list", sets)
-    more = links.unionAll(_links(heads, rule, tokens, "head_links"))
-    whole = materialise(_connected(long, more), "connected")
-    largest = whole.groupBy("list", "component").count().groupBy("list").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    open_ = whole.join(largest.where("parts > 1").select("list", "main"), "list").withColumn("outside", F.col("component") != F.col("main"))
-    others = open_.where("outside").select("list", "doc_id", "component")
-    among = _paired(others, "list", sets)
-    blocks = others.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("ko"))
+    light, sets = long.select("list", "doc_id", "block"), long.select("list", "doc_id", "n", "toks", "pre")
+    whole = _connected(light, links)
+    heads = whole.groupBy("list", "component").agg(F.min("doc_id").alias("doc_id"))
+    more = links.unionAll(_links(_paired(heads, sets), rule, tokens, "head_links"))
+    whole = materialise(_connected(light, more), "connected")
+    parts = whole.groupBy("list", "component").count()
+    main = parts.groupBy("list").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("m"), F.max("count").alias("most"))
+    outsiders = F.ceil((F.col("m") - F.col("most")) / BLOCK_DOCS).cast("int").alias("ko")
+    open_ = materialise(_with_list(whole, main.where("parts > 1").select("list", "main", outsiders)), "open")
+    others = open_.where("component <> main")
     # task (-1 - block of the main component, block of outsiders): the sides differ
-    main = open_.where("not outside").join(blocks, "list").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ko") - 1)))
-    main = main.select("list", (-1 - F.col("block")).cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.lit(0).alias("side"), "doc_id", "component")
-    inside = open_.where("not outside").select("list", "block").distinct()
-    guests = others.join(blocks, "list").join(inside, "list").select(
-        "list", (-1 - F.col("block")).cast("int").alias("i"), F.pmod(F.xxhash64("doc_id"), F.col("ko")).cast("int").alias("j"), F.lit(1).alias("side"), "doc_id", "component"
-    )
-    across = main.unionAll(guests).join(sets, "doc_id")
-    return more.unionAll(_links(among.unionByName(across.select(*among.columns)), rule, tokens, "outsider_links"))
+    members = open_.where("component = main").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ko") - 1)))
+    members = members.select("list", (-1 - F.col("block")).cast("int").alias("i"), "j", F.lit(0).alias("side"), "doc_id", "component")
+    blocks = open_.where("component = main").select("list", "block").distinct().groupBy("list").agg(F.collect_list("block").alias("blocks"))
+    guests = _with_list(others, blocks).withColumn("block", F.explode("blocks"))
+    guests = guests.select("list", (-1 - F.col("block")).cast("int").alias("i"), F.pmod(F.xxhash64("doc_id"), F.col("ko")).cast("int").alias("j"), F.lit(1).alias("side"), "doc_id", "component")
+    across = members.unionAll(guests).join(sets, ["list", "doc_id"]).select(*_MEMBER, "n")
+    among = _paired(others.select("list", "component", "doc_id"), sets)
+    return more.unionAll(_links(among.unionAll(across), rule, tokens, "outsider_links"))
+
+
+#: A bundle's rows meet what is known of the bundle in so many parts.
+PARTS = 16
+
+
+def _with_list(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``known``, one row a bundle; a large bundle is no hot key."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("_part")
+    every = F.explode(F.array(*(F.lit(k).cast("long") for k in range(PARTS)))).alias("_part")
+    return rows.select("*", part).join(known.select("*", every), ["list", "_part"]).drop("_part")
 
 
-def _paired(rows: DataFrame, key: str, sets: DataFrame) -> DataFrame:
-    """Rows (list, doc_id, component) with their sets, in all pairs of blocks of each list."""
-    k = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("k"))
-    dealt = rows.join(k, key).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+def _paired(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (list, component, doc_id) with their sets, in all pairs of blocks of each bundle."""
+    k = rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("k"))
+    dealt = _with_list(rows, k).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     paired = dealt.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "component")
-    return paired.join(sets, "doc_id").select(*_MEMBER, "n")
+    return paired.join(sets, ["list", "doc_id"]).select(*_MEMBER, "n")
 
 
 def similar_classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -349,7 +372,7 @@ def similar_classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
             for d in np.unique(doc[listed]).tolist():
                 low, high = start[d], start[d + 1]
                 own = listed[low:high]
-                out.append((ids[d].as_py(), int(sizes[d]), tok[low:high].astype("<u8").tobytes(), np.flatnonzero(own).astype("<i4").tobytes(), tok[low:high][own].view(np.int64)))
+                out.append((ids[d].as_py(), int(sizes[d]), _narrow(tok[low:high]), np.flatnonzero(own).astype("<i4").tobytes(), tok[low:high][own].view(np.int64)))
             if out:
                 cols = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
@@ -360,12 +383,12 @@ def similar_classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     indexed = materialise(by_run(batches, shared, size, index, "doc_id long, n long, toks binary, pre binary, listed array<long>"), "indexed")
     # rows of one doc_id are one node, but each is a set; their number keeps them apart
     whole = indexed.select("doc_id", "n", "toks", "pre")
-    member = materialise(_bundles(indexed), "members")
-    within_blocks = member.select("list", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("component")).join(whole, "doc_id")
-    links = _links(within_blocks.select(*_MEMBER, "n"), rule, size.tokens, "links")
-    long = member.where("k > 1").select("list", "doc_id", "block")
+    member = materialise(_bundles(indexed).join(indexed.drop("listed"), "doc_id"), "members")
+    within_blocks = member.select("list", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("component"), "toks", "pre", "n")
+    links = _links(within_blocks, rule, size.tokens, "links")
+    long = member.where("k > 1")
     if long.take(1):
-        links = _between(long, links, whole, rule, size.tokens)
+        links = _between(long, links, rule, size.tokens)
     linked = connected_components(links)
 
     reps = classes.join(linked, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
