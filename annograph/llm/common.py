@@ -213,6 +213,16 @@ def hashed_words(raw: np.ndarray, offsets: np.ndarray, fold: bool = False, plain
     return h, first_word
 
 
+def word_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Words of each of the texts laid end to end."""
+    inside = _CLASSES[False, False][0][raw]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edge = offsets[(offsets > 0) & (offsets < len(raw))]
+    first[edge] = inside[edge]
+    return np.diff(np.append(0, np.cumsum(first))[offsets])
+
+
 def sequences(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word sequences starting at each word, across text borders."""
     n = len(h) - k + 1

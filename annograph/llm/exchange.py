@@ -35,7 +35,7 @@ MOST_PARTITIONS = 100_000
 
 
 #: Compression of texts, which are stored and moved more than once.
-TEXT_LEVEL = 5
+TEXT_LEVEL = 3
 
 
 def packed_bytes(raw: bytes, level: int = 1) -> bytes:
@@ -271,14 +271,21 @@ class Shared:
         kind = np.frombuffer(b"".join(plain_bytes(c) for _, c in rows), np.uint8)
         self.tokens, first = np.unique(tok, return_index=True)
         self.kinds = kind[first]
+        self.seen = np.zeros(1 << 22, bool)  # whether any token ends in these bits
+        self.seen[(self.tokens & self._MASK).astype(np.int64)] = True
+
+    _MASK = np.uint64((1 << 22) - 1)
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         """The class of each token, 0 for those of one document."""
         own = self.size.counted(tokens)
-        if not len(self.tokens):
-            return np.zeros(len(own), np.uint8)
-        at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == own, self.kinds[at], 0).astype(np.uint8)
+        out = np.zeros(len(own), np.uint8)
+        some = np.flatnonzero(self.seen[(own & self._MASK).astype(np.int64)])
+        if len(some):
+            own = own[some]
+            at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
+            out[some] = np.where(self.tokens[at] == own, self.kinds[at], 0)
+        return out
 
 
 #: ``use(run)`` gives two functions: one for each of the run's blobs, in order,

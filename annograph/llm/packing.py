@@ -14,6 +14,8 @@ from .setjoin import Rule, similar_classes
 
 #: Words a bin holds, and the records a task packs at a time.
 CAPACITY, BLOCK_ROWS = 2048, 20_000
+#: Tasks that pack, at most; a task packs slice after slice.
+MOST_TASKS = 1 << 15
 
 
 class Bins:
@@ -119,36 +121,42 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int) -> list
     return out
 
 
+def _sized(documents: DataFrame, near: Rule | None) -> DataFrame:
+    """doc_id, n_words (with the end mark), source and cluster of every row."""
+    given = "cluster" in documents.columns
+    source = F.col("source").cast("string") if "source" in documents.columns else F.lit(None).cast("string")
+    own = F.col("cluster").cast("string") if given else F.xxhash64(text_or_empty()).cast("string")
+    rows = documents.select(F.col("doc_id").cast("long").alias("own_id"), text_or_empty().alias("text"), source.alias("source"), own.alias("own"))
+    if given or not near:
+        words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]", -1), ""))
+        sized = rows.select("own_id", (words + 1).cast("long").alias("n_words"), "source", F.col("own").alias("cluster"))
+    else:
+        keyed = rows.withColumn("doc_id", F.coalesce("own_id", F.xxhash64("text")))
+        linked = similar_classes(keyed, near, keep=("own_id", "source", "own"))
+        cluster = F.when(F.col("n_shingles") > 0, F.col("component_id").cast("string")).otherwise(F.col("own"))
+        sized = linked.select("own_id", (F.col("n_words") + 1).alias("n_words"), "source", cluster.alias("cluster"))
+    return sized.withColumnRenamed("own_id", "doc_id")
+
+
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS, near: Rule | None = None) -> DataFrame:
     """Every document's pieces in bins of ``capacity`` words.
 
-    Returns doc_id, piece (from 0), bin (long: block * 2^32 + number in it),
-    bin_offset, length, n_words, source, cluster. A document counts its words
-    and one end mark, so null and empty texts take 1. The cluster is that of
-    column ``cluster`` where there is one, else, with ``near``, the component of
-    texts that it links (a hash for texts without words), else a hash of the
-    text, so that exact copies never share a bin. Rows of null doc_id are linked
-    by their texts. Blocks of about ``block_rows`` rows are
-    dealt out evenly whatever their source, cluster or doc_id, and each is
-    packed by itself: memory is that of a block. Repeated rows and ties are
-    packed one by one, in the order of (remainder, doc_id).
+    Returns doc_id, piece (from 0), bin (long), bin_offset, length, n_words,
+    source, cluster. A document counts its words and one end mark, so null and
+    empty texts take 1, and very long ones fill bins of their own. The cluster
+    is that of column ``cluster`` where there is one, else, with ``near``, the
+    component of texts that it links (a hash for texts without words), else a
+    hash of the text, so that exact copies never share a bin. Rows of null
+    doc_id are linked by their texts. Rows are dealt out evenly whatever their
+    source, cluster or doc_id, and each task packs them in slices of
+    ``block_rows`` to twice as many: fits are the best within a slice, and
+    memory is that of a slice. Repeated rows and ties are packed one by one, in
+    the order of (remainder, doc_id); an empty table gives no rows; of other
+    columns none is read.
     """
-    spark = documents.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()))
-    linked = None
-    if near and "cluster" not in documents.columns:
-        classes = similar_classes(documents.select(key.alias("doc_id"), "text"), near).where("n_shingles > 0")
-        linked = materialise(classes.select(F.col("doc_id").alias("key"), F.col("component_id").cast("string").alias("component")).distinct(), "linked")
-    small_batches(spark)
-    blank = r"[\x20\x09-\x0D]"
-    words = F.size(F.array_remove(F.split(text_or_empty(), blank, -1), "")) + 1
-    own = F.col("cluster").cast("string") if "cluster" in documents.columns else F.xxhash64(text_or_empty()).cast("string")
-    source = F.col("source").cast("string") if "source" in documents.columns else F.lit(None).cast("string")
-    sized = documents.select(F.col("doc_id").cast("long"), words.cast("long").alias("n_words"), source.alias("source"), own.alias("cluster"), key.alias("key"))
-    if linked is not None:  # rows of one doc_id are one node, but its wordless ones are not linked
-        sized = sized.join(linked, "key", "left").withColumn("cluster", F.when(F.col("n_words") > 1, F.coalesce("component", "cluster")).otherwise(F.col("cluster")))
-    sized = materialise(sized.select("doc_id", "n_words", "source", "cluster"), "sizes")
-    blocks = max(1, -(-sized.count() // block_rows))
+    small_batches(documents.sparkSession)
+    sized = materialise(_sized(documents, near), "sizes")
+    parts = min(MOST_TASKS, max(1, -(-sized.count() // block_rows)))
     schema = "doc_id long, piece int, bin long, bin_offset int, length int, n_words long, source string, cluster string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +179,9 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, block_rows: i
         row = np.repeat(np.arange(len(places)), [len(p) for p in places])
         flat = np.array([x for p in places for x in p], np.int64).reshape(-1, 3)
         piece = np.concatenate([np.arange(len(p)) for p in places]) if places else np.zeros(0)
-        base = (part * 4096 + number) << 32
+        base = (part << 46) | (number << 26)
         own = t.take(pa.array(row))
         columns = [own["doc_id"], pa.array(piece.astype(np.int32)), pa.array(flat[:, 0] + base), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2].astype(np.int32)), own["n_words"], own["source"], own["cluster"]]
         return pa.Table.from_arrays(columns, names=["doc_id", "piece", "bin", "bin_offset", "length", "n_words", "source", "cluster"]).combine_chunks().to_batches()[0]
 
-    return sized.repartition(blocks).mapInArrow(run, schema)
+    return sized.repartition(parts).mapInArrow(run, schema)

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import buffers, copies_of, frequent_texts, hashed_words, materialise, mixed, sequences, small_batches, text_hashes, text_or_empty, within
+from .common import buffers, copies_of, frequent_texts, hashed_words, materialise, mixed, sequences, small_batches, text_hashes, text_or_empty, within, word_counts
 from .components import connected_components
 from .exchange import Shared, Size, by_run, shared_tokens, text_batches, unpack_texts
 
@@ -245,11 +246,11 @@ def _bundles(indexed: DataFrame) -> DataFrame:
         F.expr("bit_xor(xxhash64(doc_id))").alias("x"), F.expr("sum(shiftrightunsigned(xxhash64(1, doc_id), 34))").alias("y"),
     ).where("m > 1")
     distinct = whole.groupBy("m", "w", "low", "high", "x", "y").agg(F.min("list").alias("list")).select("list", "m")
-    member = materialise(entries.join(distinct, "list"), "entries")
+    member = materialise(_with_list(entries, distinct), "entries")
     home = member.groupBy("doc_id").agg(F.max_by("list", F.struct("m", "list")).alias("home"))
     inside = member.join(home, "doc_id").groupBy("list").agg(F.min("home").alias("one"), F.max("home").alias("other"), F.min_by("home", F.struct(F.xxhash64("doc_id"), "doc_id")).alias("bundle"))
     kept = inside.where("one <> other or one = list").select("list", "bundle")
-    dealt = member.join(kept, "list").groupBy(F.col("bundle").alias("list"), "doc_id").agg(F.max("n").alias("n"))
+    dealt = _with_list(member, kept).groupBy(F.col("bundle").alias("list"), "doc_id").agg(F.max("n").alias("n"))
     dealt = materialise(dealt, "bundles")
     size = dealt.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_TOKENS)).cast("int")
@@ -301,7 +302,7 @@ def _between(long: DataFrame, links: DataFrame, rule: Rule, tokens: int) -> Data
 
 
 #: A bundle's rows meet what is known of the bundle in so many parts.
-PARTS = 16
+PARTS = 8
 
 
 def _with_list(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -320,8 +321,9 @@ def _paired(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return paired.join(sets, ["list", "doc_id"]).select(*_MEMBER, "n")
 
 
-def similar_classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document.
+def similar_classes(documents: DataFrame, rule: Rule = Rule(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document, then n_words and the
+    columns ``keep`` if any are named.
 
     Words are of lower-cased (A-Z) text. component_id is the smallest doc_id
     reachable by links, itself included. Null and empty texts, and those
@@ -334,23 +336,27 @@ def similar_classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     spark = documents.sparkSession
     small_batches(spark)
     text = text_or_empty()
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *text_hashes(text))
+    carried = {f"keep_{k}": c for k, c in enumerate(keep)}  # by number, as names may clash
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *text_hashes(text), *(F.col(f"`{c}`").alias(k) for k, c in carried.items()))
     words = rule.words
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            raw, offsets = buffers(b.column("text"))
             doc, tok, n = shingles(b.column("text"), words)
             one, two = _signatures(doc, tok, b.num_rows)
-            size = np.diff(buffers(b.column("text"))[1])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(one), pa.array(two), b.column("h1"), b.column("h2"), pa.array(size)], ["doc_id", "n", "s1", "s2", "h1", "h2", "bytes"])
+            numbers = {"n": n, "s1": one, "s2": two, "bytes": np.diff(offsets), "w": word_counts(raw, offsets)}
+            columns = {"doc_id": b.column("doc_id"), **{k: pa.array(np.asarray(v, np.int64)) for k, v in numbers.items()}, "h1": b.column("h1"), "h2": b.column("h2"), **{k: b.column(k) for k in carried}}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    sets = materialise(rows.mapInArrow(measure, "doc_id long, n long, s1 long, s2 long, h1 long, h2 long, bytes long"), "sets")
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n", "s1", "s2", "bytes", "w", "h1", "h2")] + [rows.schema[k] for k in carried])
+    sets = materialise(rows.mapInArrow(measure, schema), "sets")
     classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     total = sets.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
     size = Size(int(total["bytes"] or 0), int(total["n"] or 0))
     frequent = frequent_texts(sets.where("n > 0"))
 
-    batches = text_batches(rows.where("doc_id is not null and text <> ''"), size, lambda b: copies_of(frequent, b))
+    batches = text_batches(rows.select("doc_id", "text", "h1", "h2").where("doc_id is not null and text <> ''"), size, lambda b: copies_of(frequent, b))
     shared = shared_tokens(batches, _tokens(words), size)
 
     def index(_: int, more: list[tuple[bytes, bytes]]):
@@ -362,11 +368,17 @@ def similar_classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
             if not len(tok):
                 return
             kind = known.of(tok << np.uint64(10))
-            order = np.lexsort((tok, kind, doc))
+            length = sizes - -(-rule.percent * sizes // 100) + 1
+            # tokens of no other document come first: where these fill the prefix, nothing is listed
+            some = np.bincount(doc, weights=kind == 0, minlength=len(sizes)) < length
+            keep = some[doc]
+            doc, tok, kind, sizes = doc[keep], tok[keep], kind[keep], np.where(some, sizes, 0)
+            if not len(tok):
+                return
+            order = np.argsort((doc << 8) | kind, kind="stable")  # each document's tokens are in order
             tok, kind = tok[order], kind[order]
             start = np.append(0, np.cumsum(sizes))
             place = np.arange(len(tok)) - start[doc]
-            length = sizes - -(-rule.percent * sizes // 100) + 1
             listed = (kind > 0) & (place < length[doc])
             out: list[tuple] = []
             for d in np.unique(doc[listed]).tolist():
@@ -393,7 +405,8 @@ def similar_classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     reps = classes.join(linked, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     return sets.join(reps.withColumnsRenamed({"n": "_n", "s1": "_1", "s2": "_2"}), (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        *([F.col("w").alias("n_words")] if keep else []), *(F.col(k).alias(c) for k, c in carried.items()),
     )
 
 
