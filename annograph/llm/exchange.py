@@ -34,8 +34,8 @@ TASK_TOKENS, MOST_TASKS, HELD_TOKENS, CHUNK_TOKENS = 2_000_000, 20_000, 2_000_00
 MOST_PARTITIONS = 100_000
 
 
-#: Compression of texts, which are stored and moved more than once.
-TEXT_LEVEL = 3
+#: Compression of texts that are moved more than once.
+TEXT_LEVEL = 4
 
 
 def packed_bytes(raw: bytes, level: int = 1) -> bytes:
@@ -59,10 +59,10 @@ def from_ints(raw: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def pack_texts(ids: pa.Array, texts: pa.Array) -> bytes:
+def pack_texts(ids: pa.Array, texts: pa.Array, level: int = TEXT_LEVEL) -> bytes:
     sink = pa.BufferOutputStream()
     batch = pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"])
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", TEXT_LEVEL))) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -108,7 +108,7 @@ class Size:
         return ((counted >> np.uint64(self.bits - 32)) * np.uint64(self.tasks)) >> np.uint64(32)
 
 
-def text_batches(documents: DataFrame, size: Size, skip: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> DataFrame:
+def text_batches(documents: DataFrame, size: Size, skip: Callable[[pa.RecordBatch], np.ndarray] | None = None, level: int = TEXT_LEVEL) -> DataFrame:
     """A written table of (run, batch, blob); ``skip`` marks rows to leave out.
 
     ``documents`` has doc_id (not null) and text (not null). A text longer than
@@ -125,7 +125,7 @@ def text_batches(documents: DataFrame, size: Size, skip: Callable[[pa.RecordBatc
         held = in_run = 0
 
         def flush() -> pa.RecordBatch:
-            blob = pack_texts(pa.concat_arrays(ids), pa.concat_arrays(texts))
+            blob = pack_texts(pa.concat_arrays(ids), pa.concat_arrays(texts), level)
             return pa.RecordBatch.from_arrays([pa.array([run_number], pa.int64()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], ["run", "batch", "blob"])
 
         for b in batches:
@@ -155,7 +155,7 @@ def text_batches(documents: DataFrame, size: Size, skip: Callable[[pa.RecordBatc
 def merged(tokens: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens in order, with their counts summed up."""
     flat = np.concatenate(tokens)
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat)
     flat = flat[order]
     head = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
     sums = np.add.reduceat(np.concatenate(counts)[order], head) if len(head) else np.zeros(0, np.int64)
@@ -226,7 +226,7 @@ def shared_tokens(batches: DataFrame, tokens: Tokens, size: Size) -> DataFrame:
             cut = [len(t) if frontier is None else int(np.searchsorted(t, np.uint64(frontier))) for _, t, _ in held]
             flat = np.concatenate([t[:k] for (_, t, _), k in zip(held, cut, strict=True)])
             n = np.concatenate([c[:k] for (_, _, c), k in zip(held, cut, strict=True)])
-            order = np.argsort(flat, kind="stable")
+            order = np.argsort(flat)
             group = np.cumsum(np.append(True, flat[order][1:] != flat[order][:-1])[: len(flat)]) - 1
             kind = np.empty(len(flat), np.uint8)
             kind[order] = classes(np.bincount(group, weights=n[order]).astype(np.int64))[group]

@@ -57,8 +57,8 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.nd
     text without words has none.
     """
     docs, toks, sizes = [], [], []
-    for low in range(0, len(texts), 1000):
-        part = texts.slice(low, 1000)
+    for low in range(0, len(texts), 200):
+        part = texts.slice(low, 200)
         h, first = hashed_words(*buffers(part), fold=True)
         n = np.diff(first)
         starts = within(first, words)
@@ -356,7 +356,7 @@ def similar_classes(documents: DataFrame, rule: Rule = Rule(), keep: tuple[str,
     size = Size(int(total["bytes"] or 0), int(total["n"] or 0))
     frequent = frequent_texts(sets.where("n > 0"))
 
-    batches = text_batches(rows.select("doc_id", "text", "h1", "h2").where("doc_id is not null and text <> ''"), size, lambda b: copies_of(frequent, b))
+    batches = text_batches(rows.select("doc_id", "text", "h1", "h2").where("doc_id is not null and text <> ''"), size, lambda b: copies_of(frequent, b), level=1)
     shared = shared_tokens(batches, _tokens(words), size)
 
     def index(_: int, more: list[tuple[bytes, bytes]]):
