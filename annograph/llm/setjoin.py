@@ -30,6 +30,8 @@ from .exchange import Shared, Size, by_run, shared_tokens, text_batches, unpack_
 
 #: Sets and tokens of a block of a bundle; larger bundles are cut into blocks.
 BLOCK_DOCS, BLOCK_TOKENS = 150, 1_000_000
+#: How tables of hashes are written, as these don't pack.
+_PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
 #: Tokens of the bundles that are joined in one task, about.
 TASK_TOKENS = 4_000_000
 
@@ -392,10 +394,10 @@ def similar_classes(documents: DataFrame, rule: Rule = Rule(), keep: tuple[str,
 
         return each, lambda: iter(())
 
-    indexed = materialise(by_run(batches, shared, size, index, "doc_id long, n long, toks binary, pre binary, listed array<long>"), "indexed")
+    indexed = materialise(by_run(batches, shared, size, index, "doc_id long, n long, toks binary, pre binary, listed array<long>"), "indexed", **_PLAIN)
     # rows of one doc_id are one node, but each is a set; their number keeps them apart
     whole = indexed.select("doc_id", "n", "toks", "pre")
-    member = materialise(_bundles(indexed).join(indexed.drop("listed"), "doc_id"), "members")
+    member = materialise(_bundles(indexed).join(indexed.drop("listed"), "doc_id"), "members", **_PLAIN)
     within_blocks = member.select("list", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("component"), "toks", "pre", "n")
     links = _links(within_blocks, rule, size.tokens, "links")
     long = member.where("k > 1")
