@@ -23,6 +23,12 @@ def entropy(p: Column, delta: float = 1e-8, empty: str = "all_null") -> Column:
     return F.when(F.sum(p) != 0, h) if empty == "zero_sum" else F.when(F.max(p) > 0, h)
 
 
+def unguarded_entropy(p: Column) -> Column:
+    """Shannon entropy without a guard: not a number where a value is 0 or there is none."""
+    h = F.sum(-p * F.ln(p))
+    return F.when((F.count(p) == 0) | (F.min(p) <= 0), F.lit(float("nan"))).otherwise(h)
+
+
 def length_similarity(a: Column, b: Column, alpha: float, gamma: float) -> Column:
     """alpha * (1 - logistic(gamma * (|a - b| - 7.5)))"""
     return alpha * (1 - 1 / (1 + F.exp(-gamma * (F.abs(a - b) - 7.5))))

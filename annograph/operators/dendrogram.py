@@ -17,16 +17,23 @@ from annograph.functions.columns import entropy_term
 from .dynamics import cut_lineage
 
 
-def build(vectors: DataFrame, method: str = "ward", group: str = "group") -> DataFrame:
+def build(vectors: DataFrame, method: str = "ward", group: str = "group", metric: str = "euclidean") -> DataFrame:
     """(group, merge, left, right, dist, size) per group of rows (group, id, x array).
 
+    With ``metric`` cosine, vectors are compared by 1 - cosine.
+
     Leaves are the row numbers in id order. A group's n x n distances are in one
     task's memory: for groups of thousands, not millions.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        z = numerics.linkage(np.array(pdf.x.tolist(), float), method)
+        x = np.array(pdf.x.tolist(), float)
+        if metric == "cosine":
+            unit = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+            z = numerics.linkage(np.clip(1 - unit @ unit.T, 0, 2), method, condensed=True)
+        else:
+            z = numerics.linkage(x, method)
         n = len(pdf)
         return pd.DataFrame({group: pdf[group].iloc[0], "merge": np.arange(n, 2 * n - 1), "left": z[:, 0].astype(int), "right": z[:, 1].astype(int), "dist": z[:, 2], "size": z[:, 3].astype(int)})
 
@@ -34,6 +41,22 @@ def build(vectors: DataFrame, method: str = "ward", group: str = "group") -> Dat
     return vectors.select(group, "id", "x").groupBy(group).applyInPandas(run, f"`{group}` {kind}, merge int, left int, right int, dist double, size int")
 
 
+def build_from_distances(pairs: DataFrame, method: str = "ward", group: str = "group") -> DataFrame:
+    """As ``build``, from condensed distances (group, id_1, id_2, d) of every pair of a group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate([pdf.id_1.to_numpy(), pdf.id_2.to_numpy()]))
+        n = len(ids)
+        d = np.zeros((n, n))
+        i, j = np.searchsorted(ids, pdf.id_1), np.searchsorted(ids, pdf.id_2)
+        d[i, j] = d[j, i] = pdf.d
+        z = numerics.linkage(d, method, condensed=True)
+        return pd.DataFrame({group: pdf[group].iloc[0], "merge": np.arange(n, 2 * n - 1), "left": z[:, 0].astype(int), "right": z[:, 1].astype(int), "dist": z[:, 2], "size": z[:, 3].astype(int)})
+
+    kind = dict(pairs.dtypes)[group]
+    return pairs.select(group, "id_1", "id_2", "d").groupBy(group).applyInPandas(run, f"`{group}` {kind}, merge int, left int, right int, dist double, size int")
+
+
 def cut(vectors: DataFrame, share: float = 0.3, method: str = "ward", group: str = "group") -> DataFrame:
     """(group, id, cluster): flat clusters below ``share`` of the highest merge."""
 
@@ -48,16 +71,22 @@ def cut(vectors: DataFrame, share: float = 0.3, method: str = "ward", group: str
 
 
 def members(z: DataFrame) -> DataFrame:
-    """(merge, leaf, size, dist), by walking up one level per join, all leaves at once."""
-    up = z.select(F.col("left").alias("child"), "merge", "size", "dist").unionAll(z.select(F.col("right").alias("child"), "merge", "size", "dist"))
-    at = up.join(z.select(F.col("merge").alias("child")), "child", "left_anti").select(F.col("child").alias("leaf"), "merge", "size", "dist")
-    out = at
-    step = up.select(F.col("child").alias("merge"), F.col("merge").alias("_m"), F.col("size").alias("_s"), F.col("dist").alias("_d"))
-    while True:  # as many joins as the dendrogram is deep
-        at = at.select("leaf", "merge").join(step, "merge").select("leaf", F.col("_m").alias("merge"), F.col("_s").alias("size"), F.col("_d").alias("dist")).cache()
-        if at.isEmpty():
-            return out
-        out = out.unionByName(at.select("leaf", "merge", "size", "dist"))
+    """(merge, leaf, size, dist): the leaves of each merge.
+
+    Ways upwards are doubled in length by each join, so a chain of n merges
+    takes log2(n) of them; every round is written and read back.
+    """
+    merges = cut_lineage(z.select("merge", "left", "right", "size", "dist"))
+    up = merges.select(F.col("left").alias("child"), "merge").unionAll(merges.select(F.col("right").alias("child"), "merge"))
+    reach, jump = cut_lineage(up.withColumn("steps", F.lit(1))), 1
+    while True:  # reach has all ways of 1 to jump steps
+        far = reach.where(F.col("steps") == jump).select(F.col("child").alias("_c"), F.col("merge").alias("child"))
+        more = cut_lineage(far.join(reach, "child").select(F.col("_c").alias("child"), "merge", (F.col("steps") + jump).alias("steps")))
+        if more.isEmpty():
+            break
+        reach, jump = reach.unionByName(more), 2 * jump
+    leaves = reach.join(merges.select(F.col("merge").alias("child")), "child", "left_anti")
+    return leaves.join(merges.select("merge", "size", "dist"), "merge").select(F.col("child").alias("leaf"), "merge", "size", "dist")
 
 
 def smallest_containing(m: DataFrame, targets: DataFrame, key: str = "label") -> DataFrame:

@@ -6,13 +6,12 @@ stays short and a lost executor costs one round.
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annograph.functions import numerics
@@ -20,13 +19,21 @@ from annograph.functions import numerics
 from .vectorise import vectors
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder where a session on one machine names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="annograph-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,21 +61,25 @@ def realised_layers(edges: DataFrame, sources: DataFrame, seeds: int, correction
     """(seed, id, layer) of random traversals, all seeds at once.
 
     A step visits an edge from the visited set when weight / correction exceeds
-    a number drawn for (seed, step, edge). A seed ends when no new node was
-    visited for ``patience`` steps; all end after ``most``.
+    a number drawn for (seed, step, edge). Each seed ends by itself, when it
+    visited no new node for ``patience`` steps running or has no edge to an
+    unvisited node left; all end after ``most``.
     """
     spark, edges = edges.sparkSession, cut_lineage(edges)
+    e = edges.select(F.col("pre").alias("id"), F.col("post").alias("_n"), "weight")
     seen = cut_lineage(sources.select("id").crossJoin(F.broadcast(spark.range(seeds).withColumnRenamed("id", "seed"))).select("seed", "id", F.lit(0).alias("layer")))
-    quiet = 0
+    quiet = spark.range(seeds).select(F.col("id").alias("seed"), F.lit(0).alias("quiet"))  # one row a live seed
     for step in range(1, most + 1):
-        e = edges.select(F.col("pre").alias("id"), F.col("post").alias("_n"), "weight")
         draw = F.col("weight") / correction > uniform("seed", F.lit(step), "id", "_n")
-        new = seen.select("seed", "id").join(e, "id").where(draw).select("seed", F.col("_n").alias("id")).distinct().join(seen, ["seed", "id"], "left_anti")
-        new = cut_lineage(new.withColumn("layer", F.lit(step)))
-        quiet = quiet + 1 if new.isEmpty() else 0
-        if quiet >= patience:
+        open_ = seen.join(F.broadcast(quiet.select("seed")), "seed").select("seed", "id").join(e, "id").select("seed", F.col("_n").alias("id"), draw.alias("_hit"))
+        open_ = cut_lineage(open_.groupBy("seed", "id").agg(F.max("_hit").alias("_hit")).join(seen, ["seed", "id"], "left_anti"))
+        new = open_.where("_hit").select("seed", "id", F.lit(step).alias("layer"))
+        moved = open_.groupBy("seed").agg(F.max("_hit").alias("_moved"))  # seeds without an open edge are gone
+        quiet = quiet.join(moved, "seed").select("seed", F.when(F.col("_moved"), 0).otherwise(F.col("quiet") + 1).alias("quiet"))
+        quiet = cut_lineage(quiet.where(F.col("quiet") < patience))
+        seen = cut_lineage(seen.unionByName(new)) if step % 4 == 0 else seen.unionByName(new)
+        if quiet.isEmpty():
             break
-        seen = seen.unionByName(new)
     return seen
 
 
@@ -149,8 +160,8 @@ def pagerank(edges: DataFrame, weighted: bool = False, alpha: float = 0.85, roun
 def per_network(edges: DataFrame, measure: str, group: str | None = None) -> DataFrame:
     """(group, id, value) of a measure that needs one whole network in a task.
 
-    current_flow (undirected, unit weights), betweenness, eigenvector (in) or
-    laplacian. A network's n x n matrix is in one task's memory.
+    current_flow (undirected, unit weights), betweenness or shell_betweenness
+    (of the undirected graph). A network's n x n matrix is in one task's memory.
     """
     e = edges.withColumn("_g", F.col(group) if group else F.lit(0))
 
@@ -158,27 +169,106 @@ def per_network(edges: DataFrame, measure: str, group: str | None = None) -> Dat
         ids = np.unique(np.concatenate([pdf.pre.to_numpy(), pdf.post.to_numpy()]))
         a = np.zeros((len(ids), len(ids)))
         a[np.searchsorted(ids, pdf.pre), np.searchsorted(ids, pdf.post)] = pdf.weight
+        shell = ((a + a.T) > 0) & ~np.eye(len(ids), dtype=bool)
         if measure == "current_flow":
-            out = numerics.current_flow_betweenness((((a + a.T) > 0) & ~np.eye(len(ids), dtype=bool)).astype(float))
+            out = numerics.current_flow_betweenness(shell.astype(float))
         elif measure == "betweenness":
             out = numerics.betweenness([np.flatnonzero(r).tolist() for r in a])
-        elif measure == "eigenvector":
-            out = np.ones(len(ids)) / math.sqrt(len(ids))
-            for _ in range(200):
-                out = a.T @ out + 1e-3 * out
-                out /= np.linalg.norm(out) or 1
-        else:  # drop in the sum of squared Laplacian eigenvalues when the node goes
-            s = a + a.T
-            np.fill_diagonal(s, 0)
-            k = s.sum(1)
-            out = k**2 + k + 2 * (s @ k) - k + (s**2).sum(1)
+        elif measure == "shell_betweenness":
+            out = numerics.betweenness([np.flatnonzero(r).tolist() for r in shell])
+        else:
+            raise ValueError(measure)
         return pd.DataFrame({"_g": pdf._g.iloc[0], "id": ids, "value": out})
 
     types = dict(e.dtypes)
     return e.select("_g", "pre", "post", "weight").groupBy("_g").applyInPandas(run, f"_g {types['_g']}, id {types['pre']}, value double").withColumnRenamed("_g", group or "network")
 
 
-def centralities(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def eigenvector(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """(id, value) of length 1: sums over incoming edges' weights, a fixed number of rounds.
+
+    A round is one join and one sum; the vector is shifted by itself, so that
+    networks of two sides settle too.
+    """
+    edges = cut_lineage(edges.groupBy("pre", "post").agg(F.sum("weight").alias("weight")))
+    top = edges.agg(F.max("weight").alias("top")).first()["top"]
+    ids = cut_lineage(node_ids(edges))
+    at = ids.withColumn("value", F.lit(1.0))
+    for _ in range(rounds):
+        got = at.join(edges, F.col("id") == F.col("pre")).groupBy(F.col("post").alias("id")).agg(F.sum(F.col("value") * F.col("weight") / F.lit(top)).alias("_g"))
+        at = cut_lineage(at.join(got, "id", "left").select("id", (F.col("value") + F.coalesce("_g", F.lit(0.0))).alias("value")))
+        size = at.agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_size"))
+        at = at.join(F.broadcast(size)).select("id", (F.col("value") / F.col("_size")).alias("value"))
+    return at
+
+
+def laplacian(edges: DataFrame) -> DataFrame:
+    """(id, value): by how much the sum of squared Laplacian eigenvalues of the
+    undirected weighted graph falls when the node goes; joins and sums only."""
+    both = edges.select("pre", "post", "weight").unionAll(reversed_edges(edges)).where("pre <> post")
+    s = cut_lineage(both.groupBy("pre", "post").agg(F.sum("weight").alias("w")))
+    k = s.groupBy(F.col("pre").alias("id")).agg(F.sum("w").alias("k"), F.sum(F.col("w") * F.col("w")).alias("sq"))
+    near = s.join(k.select(F.col("id").alias("post"), F.col("k").alias("_k")), "post").groupBy(F.col("pre").alias("id")).agg(F.sum(F.col("w") * F.col("_k")).alias("nk"))
+    return k.join(near, "id").select("id", (F.col("k") * F.col("k") + 2 * F.col("nk") + F.col("sq")).alias("value"))
+
+
+def percolation(edges: DataFrame, states: DataFrame) -> DataFrame:
+    """(id, value): percolation centrality with a state per node, over unweighted shortest paths.
+
+    Paths through a node count by their source's state over all states but the
+    node's own. Distances and path counts come level by level, one join each;
+    rows are pairs of nodes, so this is for networks of tens of thousands.
+    """
+    e = cut_lineage(edges.select("pre", "post").where("pre <> post").distinct())
+    ids = node_ids(e)
+    seen = cut_lineage(ids.select(F.col("id").alias("s"), F.col("id").alias("t"), F.lit(0).alias("d"), F.lit(1.0).alias("n")))
+    front, step = seen, 0
+    while not front.isEmpty():
+        step += 1
+        near = front.join(e, F.col("t") == F.col("pre")).groupBy("s", F.col("post").alias("t")).agg(F.sum("n").alias("n"))
+        front = cut_lineage(near.join(seen.select("s", "t"), ["s", "t"], "left_anti").select("s", "t", F.lit(step).alias("d"), "n"))
+        seen = cut_lineage(seen.unionByName(front))
+    x = cut_lineage(ids.join(states, "id", "left").select("id", F.coalesce("state", F.lit(0.0)).alias("x")))
+    total = x.agg(F.sum("x").alias("all"), (F.count(F.lit(1)) - 2).alias("others"))
+    a = seen.where("d > 0").select("s", F.col("t").alias("v"), F.col("d").alias("d1"), F.col("n").alias("n1"))
+    b = seen.where("d > 0").select(F.col("s").alias("v"), "t", F.col("d").alias("d2"), F.col("n").alias("n2"))
+    through = a.join(b, "v").where("s <> t").join(seen, ["s", "t"]).where("d1 + d2 = d")
+    part = through.join(x.select(F.col("id").alias("s"), F.col("x").alias("xs")), "s").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("xs") * F.col("n1") * F.col("n2") / F.col("n")).alias("flow"))
+    out = x.join(part, "id", "left").join(F.broadcast(total))
+    rest = F.col("others") * (F.col("all") - F.col("x"))
+    return out.select("id", F.when(rest > 0, F.coalesce("flow", F.lit(0.0)) / rest).otherwise(F.lit(0.0)).alias("value"))
+
+
+def resampled(groups: DataFrame, key: str, columns: list[str], seeds: int) -> DataFrame:
+    """(seed, key, columns): the first column as it is, each other one drawn anew with replacement.
+
+    Row k of a seed takes another column's value from the row whose number is
+    drawn for (seed, column, k); a number is drawn by hash, so each draw is one
+    join on row numbers. Rows are numbered by partition and place, without
+    bringing them into one task.
+    """
+    spark = groups.sparkSession
+    first, *others = columns
+    base = cut_lineage(groups.select(key, *columns))
+    numbered = cut_lineage(_numbered(base, key))
+    n = numbered.count()
+    out = numbered.select("_k", key, first).join(F.broadcast(spark.range(seeds).select(F.col("id").alias("seed"))))
+    for c in others:
+        draw = F.floor(uniform("seed", F.lit(c), "_k") * n).cast("long")
+        out = out.withColumn("_draw", draw).join(numbered.select(F.col("_k").alias("_draw"), c), "_draw").drop("_draw")
+    return out.select("seed", key, *columns)
+
+
+def _numbered(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """``df`` with numbers 0, 1, ... in _k, by the key's hash: counts of its parts give each one's first."""
+    part = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)))
+    count = part.groupBy("_part").count()
+    low = count.withColumn("_low", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return part.withColumn("_r", at).join(F.broadcast(low), "_part").withColumn("_k", F.col("_low") + F.col("_r")).drop("_part", "_low", "_r")
+
+
+def centralities(edges: DataFrame, rounds: int = 20, current_flow: bool = True) -> DataFrame:
     """(id, one column per measure): degrees, strengths, harmonic and PageRank both ways, current flow."""
     edges = cut_lineage(edges)
     back = reversed_edges(edges)
@@ -188,8 +278,9 @@ def centralities(edges: DataFrame, rounds: int = 20) -> DataFrame:
         harmonic(back).withColumnRenamed("harmonic", "out_harmonic"),
         pagerank(edges, rounds=rounds).withColumnRenamed("rank", "in_pagerank"),
         pagerank(back, rounds=rounds).withColumnRenamed("rank", "out_pagerank"),
-        per_network(edges, "current_flow").select("id", F.col("value").alias("current_flow")),
     ]
+    if current_flow:
+        parts.append(per_network(edges, "current_flow").select("id", F.col("value").alias("current_flow")))
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "id", "full")

@@ -88,8 +88,12 @@ def with_pvalue(r: DataFrame) -> DataFrame:
 
 
 def domain_split(matrix: DataFrame) -> DataFrame:
-    """(graph, cut, u, p, p_adj): for each cut, whether distances within the two
-    blocks are below those between them; adjusted over a graph's cuts.
+    """(graph, cut, u, p, p_adj): for each cut c from 1 to n - 2, whether the
+    differences within the blocks before and after node c are below those
+    between them; adjusted over a graph's cuts.
+
+    Node c itself is in neither block, the diagonal is left out, and both
+    (i, j) and (j, i) count. ``matrix`` holds every cell (graph, i, j, v).
     """
     from .statistics import adjusted
 
@@ -98,17 +102,25 @@ def domain_split(matrix: DataFrame) -> DataFrame:
             out = []
             for r in pdf.itertuples():
                 i, j, v = (np.array(x) for x in (r.i, r.j, r.v))
-                for c in range(2, int(max(i.max(), j.max())) - 1):
-                    inside = (i < c) == (j < c)
-                    if inside.any() and (~inside).any():
-                        out.append((r.graph, c, *numerics.rank_sum_less(v[inside], v[~inside])))
+                for c in range(1, int(max(i.max(), j.max()))):
+                    whole = (i != c) & (j != c)
+                    inside = ((i < c) == (j < c)) & whole
+                    between = ~inside & whole
+                    if inside.any() and between.any():
+                        out.append((r.graph, c, *numerics.rank_sum_less(v[inside], v[between])))
             yield pd.DataFrame(out, columns=["graph", "cut", "u", "p"])
 
     kind = dict(matrix.dtypes)["graph"]
-    g = matrix.where("i < j").groupBy("graph").agg(*(F.collect_list(c).alias(c) for c in ("i", "j", "v")))
+    g = matrix.where("i <> j").groupBy("graph").agg(*(F.collect_list(c).alias(c) for c in ("i", "j", "v")))
     return adjusted(g.mapInPandas(run, f"graph {kind}, cut int, u double, p double"), "graph", "p", "cut")
 
 
+def best_split(splits: DataFrame) -> DataFrame:
+    """(graph, at, p, p_adj): each graph's cut of least p, as the first node of its second block."""
+    r = F.row_number().over(Window.partitionBy("graph").orderBy("p", "cut"))
+    return splits.withColumn("_r", r).where("_r = 1").select("graph", (F.col("cut") + 1).alias("at"), "p", "p_adj")
+
+
 def communities(matrix: DataFrame, power: int = 1) -> DataFrame:
     """(graph, i, community) by Louvain on a power of each graph's similarity matrix."""
 

@@ -117,3 +117,20 @@ def hubs(diversity: DataFrame, k: int = 10) -> DataFrame:
     """The k nodes of highest distributive plus integrative diversity."""
     s = diversity.select("id", (F.col("out_diff_ds") + F.col("in_diff_us")).alias("score"))
     return s.orderBy(F.desc_nulls_last("score"), "id").limit(k)
+
+
+def partner_diversity(edges: DataFrame, vec: DataFrame) -> DataFrame:
+    """(id, way, side, ent_of_avg, entropy) over partners downstream (ds) and upstream (us).
+
+    The matrix form: only partners whose vector adds up to 1 count, entropies
+    have no threshold, and a node whose partners have no such vector has nulls.
+    """
+    ok = vec.groupBy("id", "side").agg(F.sum("p").alias("_s"), F.sum(F.when(F.col("p") > 0, -F.col("p") * F.ln("p")).otherwise(0.0)).alias("_h")).where(F.abs(F.col("_s") - 1) < 1e-8)
+    way = edges.select(F.col("pre").alias("id"), F.col("post").alias("_o"), F.lit("ds").alias("way")).unionAll(edges.select("post", "pre", F.lit("us"))).distinct()
+    partner = way.join(ok.select(F.col("id").alias("_o"), "side", "_h"), "_o")
+    mean = partner.groupBy("id", "way", "side").agg(F.avg("_h").alias("entropy"), F.count(F.lit(1)).alias("_k"))
+    values = partner.join(vec.select(F.col("id").alias("_o"), "side", "category", "p"), ["_o", "side"])
+    share = values.groupBy("id", "way", "side", "category").agg(F.sum("p").alias("_p")).join(mean.select("id", "way", "side", "_k"), ["id", "way", "side"]).withColumn("_q", F.col("_p") / F.col("_k"))
+    whole = share.groupBy("id", "way", "side").agg(F.sum(F.when(F.col("_q") > 0, -F.col("_q") * F.ln("_q")).otherwise(0.0)).alias("ent_of_avg"))
+    both = mean.join(whole, ["id", "way", "side"])
+    return way.select("id", "way").distinct().join(both, ["id", "way"], "left").select("id", "way", "side", "ent_of_avg", "entropy")

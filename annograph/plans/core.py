@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annograph.functions.columns import entropy, entropy_term, strip_side
+from annograph.functions.columns import entropy, entropy_term, strip_side, unguarded_entropy
 from annograph.operators import neighbourhood as nb
 from annograph.operators import vectorise as vx
 from annograph.sources import networks as net
@@ -86,9 +86,10 @@ def _(t):
     return net.customer_annotation(t).join(ids, "id", "left_semi")
 
 
-@query("meta_not_in_network", f"WITH {SC}, {AC} SELECT id, type FROM ac WHERE id NOT IN (SELECT post FROM sc)")
+@query("meta_not_in_network", f"WITH {SC}, {AC} SELECT id, type FROM ac WHERE id NOT IN (SELECT post FROM sc WHERE weight > 50)")
 def _(t):
-    return net.customer_annotation(t).join(net.supplier_customer_edges(t).select(F.col("post").alias("id")), "id", "left_anti")
+    heavy = net.supplier_customer_edges(t).where("weight > 50")
+    return net.customer_annotation(t).join(heavy.select(F.col("post").alias("id")), "id", "left_anti")
 
 
 @query("dedup_first", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS r FROM orders) WHERE r = 1")
@@ -299,11 +300,27 @@ def _(t):
     return rounded(vx.side_entropy(vx.vectors(net.nation_edges(t), net.region_annotation(t))), "in_entropy", "out_entropy")
 
 
-@query("entropy_variants", f"WITH {VEC}, {H} SELECT id, side, round(h, 6) AS strict, round(h, 6) AS all_null, round(h, 6) AS zero_sum, round(h, 6) AS no_positive FROM h")
+#: Vectors whose values are null for a quarter of the nodes, zero for one and tiny for one.
+_ODD = "odd AS (SELECT id, side, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN p * 1e-9 ELSE p END AS p FROM vec)"
+
+
+def _h(delta: float) -> str:
+    return f"sum(CASE WHEN p > {delta} THEN -p * ln(p) ELSE 0 END)"
+
+
+@query(
+    "entropy_variants",
+    f"""WITH {VEC}, {_ODD} SELECT id, side, CASE WHEN count(p) > 0 THEN round({_h(1e-8)}, 12) END AS strict, CASE WHEN count(p) > 0 THEN round({_h(0)}, 12) END AS all_null,
+ CASE WHEN sum(p) <> 0 THEN round({_h(1e-8)}, 12) END AS zero_sum, CASE WHEN max(p) > 0 THEN round({_h(0)}, 12) END AS no_positive,
+ count(p) = 0 OR min(p) = 0 AS undefined FROM odd GROUP BY 1, 2""",
+)
 def _(t):
-    p = F.col("p")
     v = vx.vectors(net.nation_edges(t), net.region_annotation(t))
-    return rounded(v.groupBy("id", "side").agg(entropy(p).alias("strict"), entropy(p, 0.0).alias("all_null"), entropy(p, 1e-8, "zero_sum").alias("zero_sum"), entropy(p, 0.0, "no_positive").alias("no_positive")), "strict", "all_null", "zero_sum", "no_positive")
+    kind = F.col("id") % 4
+    p = F.when(kind == 0, F.lit(None)).when(kind == 1, F.lit(0.0)).when(kind == 2, F.col("p") * 1e-9).otherwise(F.col("p"))
+    forms = {"strict": entropy(F.col("p")), "all_null": entropy(F.col("p"), 0.0), "zero_sum": entropy(F.col("p"), 1e-8, "zero_sum"), "no_positive": entropy(F.col("p"), 0.0, "no_positive")}
+    h = v.withColumn("p", p).groupBy("id", "side").agg(*(f.alias(k) for k, f in forms.items()), F.isnan(unguarded_entropy(F.col("p"))).alias("undefined"))
+    return rounded(h, *forms, places=12)
 
 
 _OW = """SELECT id, max(m) FILTER (side = 'in') AS in_entropy, max(g) FILTER (side = 'in') AS in_ent_of_avg, max(m) FILTER (side = 'out') AS out_entropy, max(g) FILTER (side = 'out') AS out_ent_of_avg FROM (
@@ -442,10 +459,10 @@ def _(t):
     return out
 
 
-@query("strength_histogram", f"WITH {T} SELECT floor(log10(sum(weight)) * 10)::BIGINT AS bin, count(*) AS n FROM (SELECT pre, sum(weight) AS weight FROM t GROUP BY 1) GROUP BY weight, pre")
+@query("strength_histogram", f"WITH {T} SELECT floor(log10(weight) * 10)::BIGINT AS bin, count(*) AS n FROM (SELECT pre, sum(weight) AS weight FROM t GROUP BY 1) GROUP BY 1")
 def _(t):
     s = net.sparse_edges(t).groupBy("pre").agg(F.sum("weight").alias("w"))
-    return s.select(F.floor(F.log10("w") * 10).alias("bin"), F.lit(1).cast("long").alias("n"))
+    return s.groupBy(F.floor(F.log10("w") * 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _OVER = f"{E}, {PARTNERS}, {A}, m AS (SELECT ego, id FROM r WHERE rn <= 5), s AS (SELECT x.ego AS id_1, y.ego AS id_2, count(*) AS k FROM m x JOIN m y ON x.id = y.id AND x.ego < y.ego GROUP BY 1, 2), ty AS (SELECT ego, type, count(*) AS c FROM m JOIN a USING (id) GROUP BY 1, 2), lo AS (SELECT x.ego AS id_1, y.ego AS id_2, sum(least(x.c, y.c)) AS lo FROM ty x JOIN ty y ON x.type = y.type AND x.ego < y.ego GROUP BY 1, 2), sz AS (SELECT ego, count(*) AS n FROM m GROUP BY 1), o AS (SELECT x.ego AS id_1, y.ego AS id_2, round(coalesce(k, 0) / (x.n + y.n - coalesce(k, 0)), 6) AS node_overlap, round(coalesce(lo, 0) / (x.n + y.n - coalesce(lo, 0)), 6) AS ntype_overlap FROM sz x JOIN sz y ON x.ego < y.ego LEFT JOIN s ON s.id_1 = x.ego AND s.id_2 = y.ego LEFT JOIN lo ON lo.id_1 = x.ego AND lo.id_2 = y.ego)"
@@ -461,9 +478,9 @@ def _(t):
     return _overlaps(t)
 
 
-@query("overlap_endpoints", f"WITH {_OVER}, f AS (SELECT * FROM o WHERE ntype_overlap > 0.32 AND node_overlap < 0.2) SELECT id_1 AS id FROM f UNION SELECT id_2 FROM f")
+@query("overlap_endpoints", f"WITH {_OVER}, f AS (SELECT * FROM o WHERE ntype_overlap > 0.5 AND node_overlap < 0.5) SELECT id_1 AS id FROM f UNION SELECT id_2 FROM f")
 def _(t):
-    f = _overlaps(t).where("ntype_overlap > 0.32 and node_overlap < 0.2")
+    f = _overlaps(t).where("ntype_overlap > 0.5 and node_overlap < 0.5")
     return f.select(F.explode(F.array("id_1", "id_2")).alias("id")).distinct()
 
 
@@ -473,18 +490,16 @@ def _(t):
     return nb.touching(net.sparse_edges(t), c).select(F.explode(F.array("pre", "post")).alias("id")).distinct().join(c, "id", "left_anti")
 
 
-@query("cluster_edges", f"WITH {E}, c AS (SELECT * FROM e WHERE pre < 10 AND post < 10 AND weight > 1) SELECT pre, post, round(4 * weight / max(weight) OVER (), 6) AS penwidth FROM c")
+@query("cluster_edges", f"WITH {E}, c AS (SELECT * FROM e WHERE weight > 1) SELECT pre, post, round(4 * weight / max(weight) OVER (), 6) AS penwidth FROM c")
 def _(t):
-    c = net.nation_edges(t).where("pre < 10 and post < 10 and weight > 1")
+    c = net.nation_edges(t).where("weight > 1")
     top = c.agg(F.max("weight").alias("top"))
     return rounded(c.join(F.broadcast(top)).select("pre", "post", (4 * F.col("weight") / F.col("top")).alias("penwidth")), "penwidth")
 
 
-@query("parse_ragged", "WITH f AS (SELECT doc_id, string_split(text, ' ') AS f FROM documents WHERE text NOT LIKE '@%') SELECT doc_id, f[1] AS key, unnest(f[2:4]) AS id FROM f")
+@query("parse_ragged", "SELECT key, id, count(*) AS n FROM (SELECT f[1] AS key, unnest(f[2:]) AS id FROM (SELECT string_split(text, ' ') AS f FROM documents WHERE text NOT LIKE '@%')) WHERE id <> '' GROUP BY 1, 2")
 def _(t):
-    lines = t.documents.select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("line"))
-    f = F.split(F.col("line"), " ")
-    return lines.where(~F.col("line").startswith("@")).select("doc_id", f[0].alias("key"), F.explode(F.slice(f, 2, 3)).alias("id"))
+    return tx.ragged(t.documents, "text", " ").groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("parse_keyvalue", "SELECT p_partkey AS id, p_type AS tp, CAST(p_size AS VARCHAR) AS sz FROM part")
@@ -499,10 +514,16 @@ def _(t):
     return t.pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract("url", r"(\d+)", 1).alias("num"))
 
 
-@query("parse_fields", "SELECT doc_id, string_split(rtrim(string_split(text, chr(10))[1], chr(13)), ' ')[-1] AS last, len(string_split(rtrim(string_split(text, chr(10))[1], chr(13)), ' ')) AS n FROM documents")
+@query(
+    "parse_fields",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
+ f AS (SELECT doc_id, k, string_split(rtrim(line, chr(13)), ' ') AS f FROM l WHERE k >= 1) SELECT doc_id, k, f[-1] AS last, len(f) AS n FROM f""",
+)
 def _(t):
-    f = tx.fields(F.split("text", "\n")[0], " ")
-    return t.documents.select("doc_id", F.element_at(f, -1).alias("last"), F.size(f).cast("long").alias("n"))
+    """Every line of every text but the first, its header."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where("pos >= 1")
+    f = tx.fields(F.col("line"), " ", strip_blanks=False)
+    return lines.select("doc_id", F.col("pos").cast("long").alias("k"), F.element_at(f, -1).alias("last"), F.size(f).cast("long").alias("n"))
 
 
 @query("filtered_scan", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_quantity > 45")
@@ -521,7 +542,18 @@ def _(t):
     return tx.spans_from_lengths(l, "l_orderkey", "l_linenumber", "l_returnflag", "len", "N").select("l_orderkey", "l_linenumber", "start", "end")
 
 
-@query("square_matrix")
+@query(
+    "square_matrix",
+    f"""WITH {T}, ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT pre AS id FROM t UNION SELECT post FROM t))
+ SELECT a.k::INT AS i, b.k::INT AS j, 'N' || pre AS ss_ele, weight AS v FROM t JOIN ids a ON a.id = pre JOIN ids b ON b.id = post""",
+)
 def _(t):
-    rows = [(0, "ss\tH12\tE5\tH7\t"), (1, "H12\t-\t4.5\t9\t"), (2, "E5\t4.5\t-\t-\t"), (3, "H7\t9\t-\t-\t")]
-    return tx.square_matrix(t.spark.createDataFrame(rows, "k int, line string"), "line", "k")
+    """The thresholded nation network written as a square table of text, and read back."""
+    e = net.sparse_edges(t)
+    ids = e.select(F.explode(F.array("pre", "post")).alias("id")).distinct()
+    cells = ids.select(F.col("id").alias("pre")).join(ids.select(F.col("id").alias("post"))).join(e, ["pre", "post"], "left")
+    cell = F.coalesce(F.col("weight").cast("string"), F.lit("-"))
+    row = F.transform(F.array_sort(F.collect_list(F.struct("post", cell.alias("c")))), lambda x: x["c"])
+    body = cells.groupBy("pre").agg(F.concat(F.lit("N"), F.col("pre"), F.lit("\t"), F.array_join(row, "\t"), F.lit("\t")).alias("line"))
+    head = ids.agg(F.concat(F.lit("ss\t"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: F.concat(F.lit("N"), x)), "\t"), F.lit("\t")).alias("line"))
+    return tx.square_matrix(head.select(F.lit(-1).alias("k"), "line").unionByName(body.select(F.col("pre").cast("int").alias("k"), "line")), "line", "k")

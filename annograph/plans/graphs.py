@@ -17,7 +17,7 @@ from annograph.operators import statistics as st
 from annograph.operators import vectorise as vx
 from annograph.sources import networks as net
 
-from .core import A, E, PARTNERS, QUERIES, SQL, T, VEC, query, rounded
+from .core import A, E, PARTNERS, QUERIES, SC, SQL, T, VEC, query, rounded
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -45,12 +45,14 @@ def _(t):
 
 @query("condensed_index", "SELECT a.n_nationkey::BIGINT AS i, b.n_nationkey::BIGINT AS j, row_number() OVER (ORDER BY a.n_nationkey, b.n_nationkey) - 1 AS k FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
 def _(t):
-    return gm.condensed(t.spark.range(25 * 24 // 2).withColumnRenamed("id", "k"), 25).select("i", "j", "k")
+    n = t.nation.count()
+    return gm.condensed(t.spark.range(n * (n - 1) // 2).withColumnRenamed("id", "k"), n).select("i", "j", "k")
 
 
 @query("pair_chunks", "SELECT chunk, count(*) AS n FROM (SELECT ntile(7) OVER (ORDER BY a.n_nationkey, b.n_nationkey) AS chunk FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey) GROUP BY 1")
 def _(t):
-    k, m, parts = F.col("id"), 25 * 24 // 2, 7
+    n = t.nation.count()
+    k, m, parts = F.col("id"), n * (n - 1) // 2, 7
     big, size = m % parts, m // parts  # the first chunks are one larger
     chunk = F.when(k < big * (size + 1), F.floor(k / (size + 1))).otherwise(big + F.floor((k - big * (size + 1)) / size)) + 1
     return t.spark.range(m).groupBy(chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
@@ -287,11 +289,21 @@ def _(t):
     return ml.with_pvalue(_rotated(t).where("n > 4")).withColumn("significant", F.col("p") < 1e-5)
 
 
+def _splits(t):
+    """Brands as graphs, their parts as nodes, differences of size as cells."""
+    n = t.part.select(F.col("p_brand").alias("graph"), "p_size", (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).alias("i"))
+    cells = n.join(n.select("graph", F.col("i").alias("j"), F.col("p_size").alias("_s")), "graph")
+    return ml.domain_split(cells.select("graph", "i", "j", F.abs(F.col("p_size") - F.col("_s")).cast("double").alias("v")))
+
+
 @query("domain_split")
 def _(t):
-    p = t.part.where("p_partkey <= 300")
-    n = p.select(F.col("p_brand").alias("graph"), "p_size", (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).alias("i"))
-    return ml.domain_split(n.join(n.select("graph", F.col("i").alias("j"), F.col("p_size").alias("_s")), "graph").select("graph", "i", "j", F.abs(F.col("p_size") - F.col("_s")).cast("double").alias("v")))
+    return _splits(t)
+
+
+@query("domain_split_best")
+def _(t):
+    return ml.best_split(_splits(t))
 
 
 @query("communities")
@@ -625,13 +637,6 @@ def _(t):
     return st.shuffled_silhouette(_vectors(t), 5)
 
 
-@query("null_pair_resample")
-def _(t):
-    """Partners of left/right pairs dealt anew, by seed."""
-    pairs = t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id_1"), (F.col("s_suppkey") + 1).alias("id_2"))
-    return dy.shuffled(pairs, "id_2", "id_1", 10)
-
-
 @query("shell_degrees", f"WITH {T}, s AS (SELECT pre, post FROM t UNION SELECT post, pre FROM t) SELECT pre AS id, count(*) AS n FROM s GROUP BY 1")
 def _(t):
     return vx.both_ways(net.sparse_edges(t)).groupBy(F.col("pre").alias("id")).agg(F.count(F.lit(1)).alias("n"))
@@ -656,12 +661,6 @@ def _(t):
     return rounded(dy.closeness(net.sparse_edges(t)), "closeness")
 
 
-@query("weighted_distances")
-def _(t):
-    e = net.sparse_edges(t)
-    return dy.weighted_distances(e, dy.node_ids(e))
-
-
 @query("degree_strength", f"WITH {T}, b AS (SELECT pre AS id, 0 AS i, 1 AS o, 0::DOUBLE AS wi, weight AS wo FROM t UNION ALL SELECT post, 1, 0, weight, 0 FROM t), g AS (SELECT id, sum(i) AS i, sum(o) AS o, sum(wi) AS wi, sum(wo) AS wo FROM b GROUP BY 1), n AS (SELECT count(*) - 1 AS n FROM g) SELECT id, round(i / n, 6) AS in_degree, round(o / n, 6) AS out_degree, round((i + o) / n, 6) AS degree, wi AS in_strength, wo AS out_strength, wi + wo AS strength FROM g, n")
 def _(t):
     return rounded(dy.degrees(net.sparse_edges(t)), "in_degree", "out_degree", "degree")
@@ -680,9 +679,9 @@ def _(t):
     return rounded(dy.proportional(net.sparse_edges(t)), "in_prop", "out_prop", "flow")
 
 
-@query("source_nodes", f"WITH {T} SELECT DISTINCT pre AS id FROM t WHERE pre NOT IN (SELECT post FROM t)")
+@query("source_nodes", f"WITH {SC} SELECT DISTINCT pre AS id FROM sc WHERE pre NOT IN (SELECT post FROM sc)")
 def _(t):
-    e = net.sparse_edges(t)
+    e = dy.cut_lineage(net.supplier_customer_edges(t))
     return e.select(F.col("pre").alias("id")).distinct().join(e.select(F.col("post").alias("id")), "id", "left_anti")
 
 
@@ -703,16 +702,6 @@ def _(t):
     return dy.per_network(net.sparse_edges(t), "betweenness")
 
 
-@query("eigenvector")
-def _(t):
-    return dy.per_network(net.sparse_edges(t), "eigenvector")
-
-
-@query("laplacian")
-def _(t):
-    return dy.per_network(net.sparse_edges(t), "laplacian")
-
-
 @query("centrality_table")
 def _(t):
     return dy.centralities(net.sparse_edges(t), rounds=10)

@@ -23,9 +23,10 @@ def without_head(lines: DataFrame, skip: int, order: str) -> DataFrame:
     return lines.join(F.broadcast(head), F.col("_last").isNull() | (F.col(order) > F.col("_last"))).drop("_last")
 
 
-def fields(line: Column, sep: str = r"\s+") -> Column:
-    """Fields of a line split at a pattern, line ends stripped."""
-    return F.split(F.rtrim(F.regexp_replace(line, r"[\r\n]+$", "")), sep)
+def fields(line: Column, sep: str = r"\s+", strip_blanks: bool = True) -> Column:
+    """Fields of a line split at a pattern, line ends (and blanks before them) stripped."""
+    bare = F.regexp_replace(line, r"[\r\n]+$", "")
+    return F.split(F.rtrim(bare) if strip_blanks else bare, sep)
 
 
 def ragged(lines: DataFrame, line: str, sep: str = "\t", comment: str = "@") -> DataFrame:
