@@ -453,10 +453,18 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
     return ordered.select("conv_id", "role", "text").mapInArrow(run, schema)
 
 
-def digest(formatted: DataFrame) -> DataFrame:
-    """Per conversation, from what ``format_conversations`` gave: turns and loss text."""
+def digest(formatted: DataFrame, in_order: bool = False) -> DataFrame:
+    """Per conversation, from what ``format_conversations`` gave: turns and loss text.
+
+    ``in_order``: the pieces come straight from there, so those of a conversation
+    follow one another in one partition; else, as when they were written and
+    read again, they are brought together first. Null texts and roles were
+    formatted as empty ones; pieces without loss spans add nothing to the loss;
+    a conversation of any length is digested piece by piece; null conv_id is one
+    conversation; an empty table gives no rows; other columns are not read.
+    """
     small_batches(formatted.sparkSession)
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+    ordered = formatted if in_order else formatted.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 #: Bytes of rows that a Python worker gets at once; a longer row comes alone.
-BATCH_LIMIT = 4 << 20
+BATCH_LIMIT = 2 << 20
 #: Bytes of text hashed at once; bounds the size of the numpy temporaries.
 CHUNK = 1 << 18
 

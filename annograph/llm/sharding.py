@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialise, text_or_empty
 
 #: Groups of records within a shard among which slots are dealt out. The table
 #: of their counts has at most shards * SLOT_GROUPS rows at any input size.
@@ -44,12 +44,13 @@ def with_slots(records: DataFrame, shard: str, key: str, out: str = "slot") -> D
 
     Repeated rows are summed up before the shuffle, and a shard is dealt out in
     ``SLOT_GROUPS`` groups whose counts give each group's first number; so no
-    task holds a whole shard and no key's copies meet uncombined. All columns of
+    task holds a whole shard and no key's copies meet uncombined. The summed rows
+    are written once and read twice. All columns of
     ``records`` must be orderable. Rows that are equal get consecutive numbers.
     """
     columns = [F.col(c) for c in records.columns]
     group = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(SLOT_GROUPS))
-    rows = records.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", group)
+    rows = materialise(records.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", group), "shard_rows")
     counts = rows.groupBy(F.col(shard).alias("_s"), F.col("_group").alias("_g")).agg(F.sum("_n").alias("_sum"))
     from pyspark.sql import Window
 
