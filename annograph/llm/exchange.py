@@ -197,7 +197,7 @@ def shared_tokens(batches: DataFrame, tokens: Tokens, size: Size) -> DataFrame:
             pairs = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
             start = edge[:-1]
             pay = [ints(np.diff(tok[a:b], prepend=np.uint64(0)), width) for a, b in pairs]
-            num = [ints(np.minimum(n[a:b], 65535), 2) for a, b in pairs]
+            num = [ints(np.minimum(n[a:b], 65535), 2) if n[a:b].max() > 1 else b"" for a, b in pairs]  # empty: all are 1
             return pa.RecordBatch.from_arrays(
                 [pa.array(task[start].astype(np.int32)), pa.array(tok[start].astype(np.int64)), pa.array([at] * len(pairs), pa.int64()), pa.array(pay, pa.binary()), pa.array(num, pa.binary())],
                 ["task", "first", "run", "tokens", "n"],
@@ -252,7 +252,7 @@ def shared_tokens(batches: DataFrame, tokens: Tokens, size: Size) -> DataFrame:
                 if inside > limit:
                     yield from below(first)
                 tok = np.cumsum(from_ints(pay, width), dtype=np.uint64)
-                held.append((run, tok, from_ints(num, 2).astype(np.int64)))
+                held.append((run, tok, from_ints(num, 2).astype(np.int64) if num else np.ones(len(tok), np.int64)))
                 inside += len(tok)
         if held:
             yield from below(None)
