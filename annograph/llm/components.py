@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
-        e = materialise(star(star(e, True), False), "edges")
+        last, e = e, materialise(star(star(e, True), False), "edges")
+        discard(last)
         now = tuple(e.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, copies_of, frequent_texts, hashed_words, materialise, mixed, sequences, small_batches, text_hashes, text_or_empty, within, word_counts
+from .common import buffers, copies_of, discard, frequent_texts, hashed_words, materialise, mixed, sequences, small_batches, text_hashes, text_or_empty, within, word_counts
 from .components import connected_components
 from .exchange import Shared, Size, by_run, shared_tokens, text_batches, unpack_texts
 
@@ -256,7 +256,9 @@ def _bundles(indexed: DataFrame) -> DataFrame:
     dealt = materialise(dealt, "bundles")
     size = dealt.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_TOKENS)).cast("int")
-    return _with_list(dealt, size.where("m > 1").select("list", blocks.alias("k"))).select("list", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("block"), "k")
+    out = _with_list(dealt, size.where("m > 1").select("list", blocks.alias("k"))).select("list", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("block"), "k")
+    discard(member)
+    return out
 
 
 def _links(rows: DataFrame, rule: Rule, tokens: int, name: str) -> DataFrame:
@@ -304,7 +306,7 @@ def _between(long: DataFrame, links: DataFrame, rule: Rule, tokens: int) -> Data
 
 
 #: A bundle's rows meet what is known of the bundle in so many parts.
-PARTS = 8
+PARTS = 4
 
 
 def _with_list(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -398,11 +400,13 @@ def similar_classes(documents: DataFrame, rule: Rule = Rule(), keep: tuple[str,
     # rows of one doc_id are one node, but each is a set; their number keeps them apart
     whole = indexed.select("doc_id", "n", "toks", "pre")
     member = materialise(_bundles(indexed).join(indexed.drop("listed"), "doc_id"), "members", **_PLAIN)
+    discard(batches, indexed)
     within_blocks = member.select("list", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("component"), "toks", "pre", "n")
     links = _links(within_blocks, rule, size.tokens, "links")
     long = member.where("k > 1")
     if long.take(1):
         links = _between(long, links, rule, size.tokens)
+    discard(member)
     linked = connected_components(links)
 
     reps = classes.join(linked, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
