@@ -360,7 +360,7 @@ def similar_classes(documents: DataFrame, rule: Rule = Rule(), keep: tuple[str,
     size = Size(int(total["bytes"] or 0), int(total["n"] or 0))
     frequent = frequent_texts(sets.where("n > 0"))
 
-    batches = text_batches(rows.select("doc_id", "text", "h1", "h2").where("doc_id is not null and text <> ''"), size, lambda b: copies_of(frequent, b), level=1)
+    batches = text_batches(rows.select("doc_id", "text", "h1", "h2").where("doc_id is not null and text <> ''"), size, lambda b: copies_of(frequent, b), level=3)
     shared = shared_tokens(batches, _tokens(words), size)
 
     def index(_: int, more: list[tuple[bytes, bytes]]):
