@@ -22,7 +22,7 @@ from .core import A, E, PARTNERS, QUERIES, SC, SQL, T, VEC, query, rounded
 __all__ = ["QUERIES", "SQL"]
 
 _M = "m AS (SELECT ego, id FROM r WHERE rn <= 4 + ego % 3)"
-_G = f"""{E}, {PARTNERS}, {_M}, nd AS (SELECT ego AS graph, id, row_number() OVER (PARTITION BY ego ORDER BY id) - 1 AS i FROM m WHERE ego < 10),
+_G = f"""{E}, {PARTNERS}, {_M}, nd AS (SELECT ego AS graph, id, row_number() OVER (PARTITION BY ego ORDER BY id) - 1 AS i FROM m),
  cells AS (SELECT x.graph, x.i, y.i AS j, weight AS v FROM e JOIN nd x ON x.id = pre JOIN nd y ON y.id = post AND y.graph = x.graph),
  sz AS (SELECT graph, count(*) AS n FROM nd GROUP BY 1),
  pr AS (SELECT CASE WHEN b.n < a.n THEN b.graph ELSE a.graph END AS id_1, CASE WHEN b.n < a.n THEN a.graph ELSE b.graph END AS id_2, least(a.n, b.n) AS n_1, greatest(a.n, b.n) AS n_2 FROM sz a JOIN sz b ON a.graph < b.graph)"""
@@ -30,10 +30,10 @@ _AL = f"""{_G}, ca AS (SELECT id_1, id_2, i, j, v AS a FROM pr JOIN cells ON gra
  al AS (SELECT id_1, id_2, i, j, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM ca FULL JOIN cb USING (id_1, id_2, i, j))"""
 
 
-def _graphs(t, every=False):
-    """Neighbourhood graphs of four to six nodes: of the ten nations that the SQL reads, or of every one."""
+def _graphs(t):
+    """Neighbourhood graphs of four to six nodes, one of every nation."""
     e = net.nation_edges(t)
-    m = nb.top_partners(e, None).where("rn <= 4 + ego % 3").where("true" if every else "ego < 10").select("ego", "id")
+    m = nb.top_partners(e, None).where("rn <= 4 + ego % 3").select("ego", "id")
     nodes, cells, sizes = gm.numbered(m, nb.induced(e, m))
     return nodes, cells, sizes, gm.ordered_pairs(sizes)
 
@@ -110,8 +110,8 @@ def _(t):
 _MAP = f"{_G}, mp AS (SELECT id_1, id_2, y.i AS place, x.id AS node_1, y.id AS node_2 FROM pr JOIN nd y ON y.graph = id_2 LEFT JOIN nd x ON x.graph = id_1 AND x.i = y.i)"
 
 
-def _mapping(t, every=False):
-    nodes, _, _, p = _graphs(t, every)
+def _mapping(t):
+    nodes, _, _, p = _graphs(t)
     return gm.node_mapping(gm.completed(gm.identity_matching(p), p), nodes)
 
 
@@ -148,13 +148,13 @@ def _(t):
 
 @query("ego_graphs")
 def _(t):
-    nodes, cells, _, _ = _graphs(t, every=True)
+    nodes, cells, _, _ = _graphs(t)
     return gm.dense_graphs(nodes, cells)
 
 
 @query("graph_match")
 def _(t):
-    nodes, cells, _, p = _graphs(t, every=True)
+    nodes, cells, _, p = _graphs(t)
     return gm.match(gm.dense_graphs(nodes, cells), p)
 
 
@@ -168,7 +168,7 @@ def _(t):
 
 @query("match_pvalue")
 def _(t):
-    return gm.shuffled_score(_mapping(t, every=True), net.region_annotation(t), 50)
+    return gm.shuffled_score(_mapping(t), net.region_annotation(t), 50)
 
 
 @query("match_stability")
@@ -216,18 +216,18 @@ def _(t):
     return ml.type_similarity(a, a, 2.0)
 
 
-@query("length_similarity", "SELECT x.p_partkey AS id_1, y.p_partkey AS id_2, round(2.735147 * (1 - 1 / (1 + exp(-1.681227 * (abs(x.p_size - y.p_size) - 7.5)))), 6) AS s FROM part x JOIN part y USING (p_type) WHERE x.p_partkey < 60 AND y.p_partkey < 60".replace("2.735147", "2.735147::DOUBLE"))
+@query("length_similarity", "SELECT x.p_partkey AS id_1, y.p_partkey AS id_2, round(2.735147 * (1 - 1 / (1 + exp(-1.681227 * (abs(x.p_size - y.p_size) - 7.5)))), 6) AS s FROM part x JOIN part y USING (p_type)".replace("2.735147", "2.735147::DOUBLE"))
 def _(t):
-    p = t.part.where("p_partkey < 60").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.col("p_size").alias("len"))
+    p = t.part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.col("p_size").alias("len"))
     return rounded(ml.element_similarity(p, p, 2.735147, 1.681227), "s")
 
 
-_CM = "c AS (SELECT x.p_brand AS graph, x.p_partkey AS i, y.p_partkey AS j, abs(x.p_size - y.p_size)::DOUBLE AS v FROM part x JOIN part y USING (p_brand) WHERE x.p_partkey <> y.p_partkey AND x.p_partkey <= 500 AND y.p_partkey <= 500)"
+_CM = "c AS (SELECT x.p_brand AS graph, x.p_partkey AS i, y.p_partkey AS j, abs(x.p_size - y.p_size)::DOUBLE AS v FROM part x JOIN part y USING (p_brand) WHERE x.p_partkey <> y.p_partkey)"
 
 
 def _contacts(t):
     """Size differences of parts of a brand, taken as a distance matrix."""
-    p = t.part.where("p_partkey <= 500")
+    p = t.part
     a, b = p.select(F.col("p_brand").alias("graph"), F.col("p_partkey").alias("i"), F.col("p_size").alias("_a")), p.select(F.col("p_brand").alias("graph"), F.col("p_partkey").alias("j"), F.col("p_size").alias("_b"))
     return a.join(b, "graph").where("i <> j").select("graph", "i", "j", F.abs(F.col("_a") - F.col("_b")).cast("double").alias("v"))
 
@@ -252,11 +252,11 @@ def _(t):
 _OR = "CASE WHEN i % 3 = j % 3 THEN 1 WHEN i > j THEN 2 ELSE 3 END"
 
 
-@query("assembled_layers", f"WITH {_CM}, f AS (SELECT p_brand AS graph, p_partkey AS i, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS j FROM part WHERE p_partkey <= 500) SELECT graph, {_OR} AS layer, i, j, round(1 / (1 + v), 6) AS v FROM c UNION ALL SELECT graph, 0, i, j, 0.733152 FROM f WHERE j IS NOT NULL")
+@query("assembled_layers", f"WITH {_CM}, f AS (SELECT p_brand AS graph, p_partkey AS i, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS j FROM part) SELECT graph, {_OR} AS layer, i, j, round(1 / (1 + v), 6) AS v FROM c UNION ALL SELECT graph, 0, i, j, 0.733152 FROM f WHERE j IS NOT NULL")
 def _(t):
     c = _contacts(t)
     o = c.select("graph", "i", "j", F.expr(_OR).alias("v"))
-    nodes = t.part.where("p_partkey <= 500").select(F.col("p_brand").alias("graph"), F.col("p_partkey").alias("i"))
+    nodes = t.part.select(F.col("p_brand").alias("graph"), F.col("p_partkey").alias("i"))
     return rounded(ml.assemble(c, o, nodes, 0.733152), "v")
 
 
@@ -481,34 +481,29 @@ def _(t):
     return dg.cut(_vectors(t))
 
 
-def _first_vectors(t):
-    """The vectors that the SQL below reads."""
-    return _vectors(t).where("id < 200")
-
-
-_D = "d AS (SELECT x.vec_id AS id_1, y.vec_id AS id_2, sqrt(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE y.vec_id < 200)"
+_D = "d AS (SELECT x.vec_id AS id_1, y.vec_id AS id_2, sqrt(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"
 
 
 @query("pairwise_distances", f"WITH {_D} SELECT id_1, id_2, round(d, 4) AS d FROM d")
 def _(t):
-    return rounded(st.distances(_first_vectors(t)), "d", places=4)
+    return rounded(st.distances(_vectors(t)), "d", places=4)
 
 
-@query("square_distances", f"WITH {_D} SELECT id_1, id_2, round(d, 4) AS d FROM d UNION ALL SELECT id_2, id_1, round(d, 4) FROM d UNION ALL SELECT vec_id, vec_id, 0 FROM embeddings WHERE vec_id < 200")
+@query("square_distances", f"WITH {_D} SELECT id_1, id_2, round(d, 4) AS d FROM d UNION ALL SELECT id_2, id_1, round(d, 4) FROM d UNION ALL SELECT vec_id, vec_id, 0 FROM embeddings")
 def _(t):
-    d = rounded(st.distances(_first_vectors(t)), "d", places=4)
-    return d.unionByName(d.select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"), "d")).unionByName(_first_vectors(t).select(F.col("id").alias("id_1"), F.col("id").alias("id_2"), F.lit(0.0).alias("d")))
+    d = rounded(st.distances(_vectors(t)), "d", places=4)
+    return d.unionByName(d.select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"), "d")).unionByName(_vectors(t).select(F.col("id").alias("id_1"), F.col("id").alias("id_2"), F.lit(0.0).alias("d")))
 
 
 @query("group_distances", f"WITH {_D} SELECT x.label, round(avg(d), 4) AS mean_d, count(*) AS n FROM d JOIN embeddings x ON x.vec_id = id_1 JOIN embeddings y ON y.vec_id = id_2 AND y.label = x.label GROUP BY 1")
 def _(t):
-    d = st.distances(_first_vectors(t), group="label")
+    d = st.distances(_vectors(t), group="label")
     return d.groupBy(F.col("_g").alias("label")).agg(F.round(F.avg("d"), 4).alias("mean_d"), F.count(F.lit(1)).alias("n"))
 
 
 @query("silhouette", f"WITH {_D}, b AS (SELECT * FROM d UNION ALL SELECT id_2, id_1, d FROM d), m AS (SELECT id_1, x.label AS l1, y.label AS l2, avg(d) AS m FROM b JOIN embeddings x ON x.vec_id = id_1 JOIN embeddings y ON y.vec_id = id_2 GROUP BY 1, 2, 3), ab AS (SELECT id_1, l1, max(m) FILTER (l1 = l2) AS a, min(m) FILTER (l1 <> l2) AS b FROM m GROUP BY 1, 2) SELECT l1 AS label, round(avg(coalesce((b - a) / greatest(a, b), 0)), 5) AS mean_s FROM ab GROUP BY 1")
 def _(t):
-    v = _first_vectors(t)
+    v = _vectors(t)
     return st.silhouette(st.distances(v), v.select("id", "label")).groupBy("label").agg(F.round(F.avg("s"), 5).alias("mean_s"))
 
 
