@@ -333,10 +333,16 @@ def _(t):
     return _searched(t).withColumn("_r", F.row_number().over(Window.partitionBy("step").orderBy(F.desc("score"), "candidate"))).where("_r = 1").drop("_r")
 
 
-# dendrograms: a dyadic one over 16 nations, labelled by region
-_Z = """lv AS (SELECT * FROM (VALUES (1, 16), (2, 24), (3, 28), (4, 30)) v(l, base)),
- mb AS (SELECT (base + n_nationkey // (1 << l))::INT AS merge, n_nationkey AS leaf, (1 << l)::INT AS size, l::DOUBLE AS dist FROM nation, lv WHERE n_nationkey < 16),
- lb AS (SELECT n_nationkey AS leaf, r_name AS label FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 16),
+# dendrograms: a dyadic one over all nations, labelled by region
+_Z = """sz AS (SELECT count(*) AS leaves FROM nation),
+ lv AS (SELECT unnest(range(1, 12)) AS l),
+ gr AS (SELECT l, g, least(leaves, (g + 1) << l) - (g << l) AS size, leaves FROM sz, lv, (SELECT unnest(range(2000)) AS g) WHERE (g << l) + (1 << (l - 1)) < leaves),
+ mg AS (SELECT (leaves + row_number() OVER (ORDER BY l, g) - 1)::INT AS merge, l, g, size::INT AS size, l::DOUBLE AS dist FROM gr),
+ mb AS (SELECT merge, n_nationkey AS leaf, size, dist FROM mg JOIN nation ON n_nationkey >> l = g),
+ dp AS (SELECT leaf, count(*) AS depth FROM mb GROUP BY 1),
+ sh AS (SELECT a.leaf AS leaf_1, b.leaf AS leaf_2, count(*) AS k FROM mb a JOIN mb b ON a.merge = b.merge AND a.leaf <> b.leaf GROUP BY 1, 2),
+ td AS (SELECT leaf_1, leaf_2, x.depth + y.depth - 2 * k + 2 AS d FROM sh JOIN dp x ON x.leaf = leaf_1 JOIN dp y ON y.leaf = leaf_2),
+ lb AS (SELECT n_nationkey AS leaf, r_name AS label FROM nation JOIN region ON n_regionkey = r_regionkey),
  kn AS (SELECT label, count(*) AS n FROM lb GROUP BY 1),
  hold AS (SELECT label, merge, size, dist, n FROM mb JOIN lb USING (leaf) JOIN kn USING (label) GROUP BY 1, 2, 3, 4, 5 HAVING count(*) = n)"""
 _PURE = f"""{_Z}, nodes AS (SELECT merge AS node, size, leaf FROM mb UNION ALL SELECT leaf, 1, leaf FROM lb), pu AS (SELECT node, size, max(label) AS label FROM nodes JOIN lb USING (leaf) GROUP BY 1, 2 HAVING count(DISTINCT label) = 1),
@@ -345,8 +351,8 @@ _PURE = f"""{_Z}, nodes AS (SELECT merge AS node, size, leaf FROM mb UNION ALL S
 
 
 def _tree(t):
-    z = net.dyadic_merges(t.spark)
-    labels = net.region_annotation(t).where("id < 16").select(F.col("id").alias("leaf"), F.col("type").alias("label"))
+    z = net.dyadic_merges(t.spark, t.nation.count())
+    labels = net.region_annotation(t).select(F.col("id").alias("leaf"), F.col("type").alias("label"))
     return z, dg.members(z), labels
 
 
@@ -373,7 +379,7 @@ def _(t):
     return dg.ascending(m, labels)
 
 
-@query("dendro_first_ancestors", "WITH lv AS (SELECT * FROM (VALUES (1, 16), (2, 24)) v(l, base)) SELECT n_nationkey AS label, l AS era, (base + n_nationkey // (1 << l))::INT AS merge, (1 << l)::INT AS size FROM nation, lv WHERE n_nationkey < 16")
+@query("dendro_first_ancestors", f"WITH {_Z} SELECT label, era, merge, size FROM (SELECT leaf AS label, (row_number() OVER (PARTITION BY leaf ORDER BY size, merge))::INT AS era, merge, size FROM mb) WHERE era <= 2")
 def _(t):
     _, m, labels = _tree(t)
     return dg.ascending(m, labels.select("leaf", F.col("leaf").alias("label")), most=2)
@@ -395,18 +401,18 @@ def _(t):
     return m.join(mixed, "merge").withColumn("_r", F.row_number().over(Window.partitionBy("leaf").orderBy("size"))).where("_r = 1").select("leaf", "merge")
 
 
-@query("dendro_edges", "WITH lv AS (SELECT * FROM (VALUES (1, 16, 0, 8), (2, 24, 16, 4), (3, 28, 24, 2), (4, 30, 28, 1)) v(l, base, below, n)) SELECT (below + 2 * k.i + s.i)::INT AS child, (base + k.i)::INT AS parent FROM lv JOIN range(8) k(i) ON k.i < n, range(2) s(i)")
+@query("dendro_edges", f"WITH {_Z}, nd AS (SELECT DISTINCT leaf AS node, 0 AS size, leaf FROM mb UNION ALL SELECT merge, size, leaf FROM mb) SELECT node::INT AS child, merge::INT AS parent FROM (SELECT node, mb.merge, row_number() OVER (PARTITION BY node ORDER BY mb.size) AS r FROM nd JOIN mb ON mb.leaf = nd.leaf AND mb.size > nd.size) WHERE r = 1")
 def _(t):
-    z = net.dyadic_merges(t.spark)
+    z = net.dyadic_merges(t.spark, t.nation.count())
     return z.select(F.explode(F.array("left", "right")).alias("child"), F.col("merge").alias("parent"))
 
 
-@query("dendro_tree_dist", f"WITH {_Z}, s AS (SELECT a.leaf AS leaf_1, b.leaf AS leaf_2, count(*) AS k FROM mb a JOIN mb b ON a.merge = b.merge AND a.leaf < b.leaf GROUP BY 1, 2) SELECT leaf_1, leaf_2, 4 + 4 - 2 * k + 2 AS d FROM s")
+@query("dendro_tree_dist", f"WITH {_Z} SELECT * FROM td WHERE leaf_1 < leaf_2")
 def _(t):
     return dg.tree_distances(_tree(t)[1])
 
 
-@query("dendro_nearest", f"WITH {_Z}, s AS (SELECT a.leaf, b.leaf AS nearest, 10 - 2 * count(*) AS d FROM mb a JOIN mb b ON a.merge = b.merge WHERE a.leaf % 3 = 0 AND b.leaf % 3 <> 0 GROUP BY 1, 2) SELECT leaf, nearest, d FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY d, nearest) AS r FROM s) WHERE r = 1")
+@query("dendro_nearest", f"WITH {_Z} SELECT leaf, nearest, d FROM (SELECT leaf_1 AS leaf, leaf_2 AS nearest, d, row_number() OVER (PARTITION BY leaf_1 ORDER BY d, leaf_2) AS r FROM td WHERE leaf_1 % 3 = 0 AND leaf_2 % 3 <> 0) WHERE r = 1")
 def _(t):
     _, m, labels = _tree(t)
     return dg.nearest_leaf(m, labels.select("leaf", F.when(F.col("leaf") % 3 != 0, F.col("label")).alias("label")))
@@ -426,7 +432,7 @@ def _(t):
     return rounded(dg.cluster_stats(*_tree(t)), "lps", "pms")
 
 
-@query("dendro_mean_tree_dist", f"WITH {_Z} SELECT x.label, round(avg(10 - 2 * k), 6) AS mpd FROM (SELECT a.leaf AS p, b.leaf AS q, count(*) AS k FROM mb a JOIN mb b ON a.merge = b.merge AND a.leaf < b.leaf GROUP BY 1, 2) JOIN lb x ON x.leaf = p JOIN lb y ON y.leaf = q AND y.label = x.label GROUP BY 1")
+@query("dendro_mean_tree_dist", f"WITH {_Z} SELECT x.label, round(avg(d), 6) AS mpd FROM td JOIN lb x ON x.leaf = leaf_1 JOIN lb y ON y.leaf = leaf_2 AND y.label = x.label WHERE leaf_1 < leaf_2 GROUP BY 1")
 def _(t):
     _, m, labels = _tree(t)
     d = dg.tree_distances(m).join(labels.toDF("leaf_1", "label"), "leaf_1").join(labels.toDF("leaf_2", "_l"), "leaf_2").where("label = _l")

@@ -65,11 +65,19 @@ def order_segments(t: Tables) -> DataFrame:
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("r_id"), F.col("c_mktsegment").alias("label"))
 
 
-def dyadic_merges(spark: SparkSession, levels: int = 4) -> DataFrame:
-    """A balanced dendrogram over 2^levels leaves 0, 1, ...: (merge, left, right, dist, size)."""
-    n, rows, base, below = 1 << levels, [], 1 << levels, 0
-    for level in range(1, levels + 1):
-        count = n >> level
-        rows += [(base + i, below + 2 * i, below + 2 * i + 1, float(level), 1 << level) for i in range(count)]
-        below, base = base, base + count
-    return spark.createDataFrame(rows, "merge int, left int, right int, dist double, size int")
+def dyadic_merges(spark: SparkSession, leaves: int = 16) -> DataFrame:
+    """A dendrogram over leaves 0, 1, ...: (merge, left, right, dist, size).
+
+    Level by level neighbours merge in pairs; a last one without a neighbour waits for the next level.
+    """
+    schema, rows, merge, level = "merge int, left int, right int, dist double, size int", [], leaves, 0
+    front = [(leaf, 1) for leaf in range(leaves)]
+    while len(front) > 1:
+        level, above = level + 1, []
+        for k in range(0, len(front) - 1, 2):
+            (left, a), (right, b) = front[k], front[k + 1]
+            rows.append((merge, left, right, float(level), a + b))
+            above.append((merge, a + b))
+            merge += 1
+        front = above + front[len(front) // 2 * 2:]
+    return spark.createDataFrame(rows, schema)
