@@ -298,6 +298,20 @@ def _descending(c: str) -> Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(F.col(c))) - 1) / F.lit(2.0)
 
 
+def hash_numbers(df: DataFrame, name: str, by: list[str], salt: list[str], order: list[str], buckets: int = 1024) -> DataFrame:
+    """``df`` with 1, 2, ... in the order of a hash of columns ``salt`` and ``order``, within each group ``by``.
+
+    Rows are counted by ``buckets`` ranges of the hash and numbered within them,
+    so that no task orders a whole group; equal rows share a range.
+    """
+    h = F.xxhash64(*salt, *order)
+    own = df.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned(F.col("_h"), 64 - (buckets.bit_length() - 1)))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c")).select(*by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    within = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *order))
+    return own.withColumn("_w", within).join(starts, [*by, "_b"]).withColumn(name, F.col("_s") + F.col("_w")).drop("_h", "_b", "_s", "_w")
+
+
 def shuffled(df: DataFrame, column: str, key: str, seeds: int) -> DataFrame:
     """``df`` once per seed with the values of ``column`` dealt anew.
 
@@ -305,11 +319,31 @@ def shuffled(df: DataFrame, column: str, key: str, seeds: int) -> DataFrame:
     """
     grid = df.crossJoin(F.broadcast(df.sparkSession.range(seeds).withColumnRenamed("id", "seed")))
     rest = [c for c in df.columns if c != column]
-    a = grid.withColumn("_r", F.row_number().over(Window.partitionBy("seed").orderBy(key, column))).select("seed", "_r", *rest)
-    b = grid.withColumn("_r", F.row_number().over(Window.partitionBy("seed").orderBy(F.xxhash64("seed", key, column), key, column))).select("seed", "_r", column)
+    a = hash_numbers(grid, "_r", ["seed"], [], [key, column]).select("seed", "_r", *rest)
+    b = hash_numbers(grid, "_r", ["seed"], ["seed"], [key, column]).select("seed", "_r", column)
     return a.join(b, ["seed", "_r"]).drop("_r")
 
 
+def subsampled_diversity(recipes: DataFrame, items: DataFrame, draws: int = 100) -> DataFrame:
+    """Per label of (r_id, label): diversity of the mean recipe over draws without replacement.
+
+    Each draw takes as many recipes as the smallest label has. Means and SEMs
+    (population deviation by the root of that number) of: exp of the entropy of
+    the mean vector, items a recipe, that entropy, ln of the items a recipe.
+    (r_id, item) pairs of ``items`` are distinct; recipes without any are left out.
+    """
+    size = items.groupBy("r_id").agg(F.count(F.lit(1)).alias("k"))
+    r = recipes.select("r_id", "label").join(size, "r_id")
+    least = r.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
+    grid = r.crossJoin(F.broadcast(r.sparkSession.range(draws).withColumnRenamed("id", "seed"))).crossJoin(F.broadcast(least))
+    s = hash_numbers(grid, "_r", ["label", "seed"], ["seed"], ["r_id"]).where(F.col("_r") <= F.col("least"))
+    sizes = s.groupBy("label", "seed").agg(F.avg("k").alias("items"), F.avg(F.ln("k")).alias("ln_items"), F.max("least").alias("least"))
+    v = s.join(items, "r_id").groupBy("label", "seed", "item").agg(F.sum(1 / F.col("k") / F.col("least")).alias("p"))
+    h = v.groupBy("label", "seed").agg(F.sum(-F.col("p") * F.ln("p")).alias("entropy")).withColumn("diversity", F.exp("entropy")).join(sizes, ["label", "seed"])
+    found = [(c, F.avg(c).alias(c), (F.stddev_pop(c) / F.sqrt(F.max("least"))).alias(f"sem_{c}")) for c in ("diversity", "items", "entropy", "ln_items")]
+    return h.groupBy("label").agg(*(x for _, mean, sem in found for x in (mean, sem)))
+
+
 def null_vectors(edges: DataFrame, meta: DataFrame, seeds: int) -> DataFrame:
     """(seed, id, side, category, p): vectors under shuffled labels, all seeds in one plan."""
     m = shuffled(meta.select("id", "type"), "type", "id", seeds)

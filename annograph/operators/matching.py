@@ -6,6 +6,7 @@ Graphs are long: cells (graph, i, j, v) with node numbers from 0, and sizes
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,6 +124,11 @@ def dense_graphs(nodes: DataFrame, cells: DataFrame) -> DataFrame:
     return j.withColumn("m", F.coalesce(flat, F.create_map().cast("map<int,double>"))).select("graph", "ids", F.transform(grid, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("adj"))
 
 
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """Small rows of long work: a stated partition count, which adaptive execution doesn't merge."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def match(graphs: DataFrame, p: DataFrame, ego: bool = False, transport: bool = True) -> DataFrame:
     """(id_1, id_2, perm, fnorm, graph_edit_distance, euclidean_distance, isexact) by graph matching.
 
@@ -149,18 +155,57 @@ def match(graphs: DataFrame, p: DataFrame, ego: bool = False, transport: bool =
 
     kind = dict(p.dtypes)["id_1"]
     schema = f"id_1 {kind}, id_2 {kind}, perm array<int>, fnorm double, graph_edit_distance long, euclidean_distance double, isexact boolean"
-    return j.select("id_1", "id_2", "n_1", "n_2", "a", "b", "s1", "s2").repartition("id_1", "id_2").mapInPandas(run, schema)
+    return _spread(j.select("id_1", "id_2", "n_1", "n_2", "a", "b", "s1", "s2"), "id_1", "id_2").mapInPandas(run, schema)
+
 
+def shuffled_score(mapping: DataFrame, meta: DataFrame, draws: int = 100_000, cells: int = 1 << 20) -> DataFrame:
+    """(id_1, id_2, obs, p, mean, std): how often shuffled labels match better than the true ones, 1 / draws at least.
 
-def shuffled_score(mapping: DataFrame, meta: DataFrame, draws: int = 100) -> DataFrame:
-    """(id_1, id_2, p, mean, std): how often shuffled labels match as well as the true ones."""
+    A pair's draws are decided by its two ids and made ``cells`` labels at a time.
+    """
     t = meta.select("id", "type")
     m = mapping.join(t.toDF("node_1", "t1"), "node_1").join(t.toDF("node_2", "t2"), "node_2").select("id_1", "id_2", "place", "t1", "t2")
-    seeds = m.sparkSession.range(draws).withColumnRenamed("id", "seed")
-    both = ["id_1", "id_2", "seed"]
-    grid = m.join(F.broadcast(seeds))  # draws rows
-    left = grid.withColumn("r", F.row_number().over(Window.partitionBy(*both).orderBy("place"))).select(*both, "r", "t1")
-    right = grid.withColumn("r", F.row_number().over(Window.partitionBy(*both).orderBy(F.xxhash64("seed", "place", "id_1", "id_2")))).select(*both, "r", "t2")
-    null = left.join(right, [*both, "r"]).groupBy(*both).agg(F.sum((F.col("t1") == F.col("t2")).cast("long")).alias("x"))
-    true = m.groupBy("id_1", "id_2").agg(F.sum((F.col("t1") == F.col("t2")).cast("long")).alias("obs"))
-    return null.join(true, ["id_1", "id_2"]).groupBy("id_1", "id_2", "obs").agg(F.greatest(F.avg((F.col("x") > F.col("obs")).cast("double")), F.lit(1.0 / draws)).alias("p"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        names = {v: k for k, v in enumerate(sorted(set(pdf.t1) | set(pdf.t2)))}
+        one, two = pdf.t1.map(names).to_numpy(), pdf.t2.map(names).to_numpy()
+        rng, obs, better, total, squares = np.random.default_rng(zlib.crc32(f"{key[0]}|{key[1]}".encode())), int((one == two).sum()), 0, 0, 0
+        size = max(1, cells // len(one))
+        for low in range(0, draws, size):
+            x = (rng.permuted(np.tile(two, (min(size, draws - low), 1)), axis=1) == one).sum(1)
+            better, total, squares = better + int((x > obs).sum()), total + int(x.sum()), squares + int((x * x).sum())
+        mean = total / draws
+        return pd.DataFrame([(*key, obs, max(better, 1) / draws, mean, max(squares / draws - mean * mean, 0) ** 0.5)], columns=["id_1", "id_2", "obs", "p", "mean", "std"])
+
+    kind = dict(mapping.dtypes)["id_1"]
+    return _spread(m, "id_1", "id_2").groupBy("id_1", "id_2").applyInPandas(run, f"id_1 {kind}, id_2 {kind}, obs long, p double, mean double, std double")
+
+
+def stability(graphs: DataFrame, meta: DataFrame, p: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(id_1, id_2, delta, perm, matches, euclidean_distance): matchings under growing weight against the identity.
+
+    Nodes that keep their number cost delta, the graphs' own nodes excepted,
+    which are matched to each other; ``matches`` counts the other matched
+    nodes of equal type. ``meta`` has one type an id; nodes without any match none.
+    """
+    t = meta.select(F.col("id").cast("string").alias("_n"), "type")
+    at = graphs.select("graph", F.posexplode("ids").alias("_k", "_n")).join(t, "_n", "left").groupBy("graph").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "type"))), lambda x: x["type"]).alias("t"))
+    g = graphs.join(at, "graph").select("graph", "adj", "t", F.array_position("ids", F.col("graph").cast("string")).alias("s"))
+    j = p.join(g.toDF("id_1", "a", "t1", "s1"), "id_1").join(g.toDF("id_2", "b", "t2", "s2"), "id_2").crossJoin(deltas.select(F.col("delta").cast("double")))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for r in pdf.itertuples():
+                a, b = np.array(r.a, float).reshape(int(r.n_1), -1), np.array(r.b, float).reshape(int(r.n_2), -1)
+                own, cost = (int(r.s1) - 1, int(r.s2) - 1), -r.delta * np.eye(int(r.n_1), int(r.n_2))
+                if min(own) >= 0:
+                    cost[own] = 0
+                perm = numerics.match_graphs(a, b, similarity=cost, seeds=(own,) if min(own) >= 0 else ())
+                hits = sum(i != own[0] and r.t1[i] is not None and r.t1[i] == r.t2[k] for i, k in enumerate(perm))
+                rows.append((r.id_1, r.id_2, r.delta, perm.tolist(), int(hits), numerics.graph_distance(a, b, perm)["euclidean_distance"]))
+            yield pd.DataFrame(rows, columns=["id_1", "id_2", "delta", "perm", "matches", "euclidean_distance"])
+
+    kind = dict(p.dtypes)["id_1"]
+    return _spread(j, "id_1", "id_2", "delta").mapInPandas(run, f"id_1 {kind}, id_2 {kind}, delta double, perm array<int>, matches long, euclidean_distance double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,13 +85,38 @@ def distances(vectors: DataFrame, key: str = "id", value: str = "x", group: str
     return a.join(b, on).select("id_1", "id_2", *(["_g"] if group else []), d.alias("d"))
 
 
-def silhouette(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, label, s) from pair distances and (id, label); 0 in a cluster of one."""
-    both = pairs.select("id_1", "id_2", "d").unionAll(pairs.select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"), "d"))
-    own, other = labels.select(F.col("id").alias("id_1"), F.col("label").alias("l1")), labels.select(F.col("id").alias("id_2"), F.col("label").alias("l2"))
-    mean = both.join(own, "id_1").join(other, "id_2").groupBy("id_1", "l1", "l2").agg(F.avg("d").alias("m"))
-    ab = mean.groupBy(F.col("id_1").alias("id"), F.col("l1").alias("label")).agg(F.max(F.when(F.col("l1") == F.col("l2"), F.col("m"))).alias("a"), F.min(F.when(F.col("l1") != F.col("l2"), F.col("m"))).alias("b"))
-    return ab.select("id", "label", F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("s"))
+def silhouette(vectors: DataFrame, block: int = 2048) -> DataFrame:
+    """(id, label, s) of (id, label, x array), ids distinct; 0 in a cluster of one.
+
+    Vectors meet in pairs of blocks of about ``block`` rows. A pair yields, for
+    each row of its first block, sums of distances by label, so no pair of
+    vectors becomes a row. One label alone gives 0.
+    """
+    count = -(-vectors.count() // block) or 1
+    kind = dict(vectors.dtypes)["id"]
+    rows = vectors.select("id", F.col("label").cast("string").alias("l"), F.transform("x", lambda v: v.cast("double")).alias("x"), F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("_b"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    first, second = rows.withColumn("_o", others), rows.withColumnRenamed("_b", "_o").withColumn("_b", others)
+    by = ["_b", "_o"]  # each block goes once to every other
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": a.id[:0], "l": [], "other": [], "d": [], "n": []})
+        x, y = np.array(a.x.tolist()), np.array(b.x.tolist())
+        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+        d[a.id.to_numpy()[:, None] == b.id.to_numpy()[None]] = 0
+        names, own = np.unique(b.l.to_numpy(str), return_inverse=True)
+        sums = d @ (own[:, None] == np.arange(len(names))[None])
+        k = np.tile(np.arange(len(names)), len(a))
+        return pd.DataFrame({"id": np.repeat(a.id.to_numpy(), len(names)), "l": np.repeat(a.l.to_numpy(str), len(names)), "other": names[k], "d": sums.ravel(), "n": np.bincount(own)[k]})
+
+    part = first.groupBy(*by).cogroup(second.groupBy(*by)).applyInPandas(run, f"id {kind}, l string, other string, d double, n long")
+    n = F.sum("n") - (F.col("l") == F.col("other")).cast("long")
+    mean = part.groupBy("id", "l", "other").agg(F.sum("d").alias("d"), n.alias("n")).where("n > 0").withColumn("m", F.col("d") / F.col("n"))
+    same = F.col("l") == F.col("other")
+    ab = mean.groupBy("id", "l").agg(F.max(F.when(same, F.col("m"))).alias("a"), F.min(F.when(~same, F.col("m"))).alias("b"))
+    s = F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("s")
+    return vectors.select("id", "label").join(ab, "id", "left").select("id", "label", s)
 
 
 def shuffled_silhouette(vectors: DataFrame, seeds: int, block: int = 128, chunk: int = 20) -> DataFrame:

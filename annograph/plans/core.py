@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annograph.functions.columns import entropy, entropy_term, strip_side, unguarded_entropy
+from annograph.operators import dynamics as dy
 from annograph.operators import neighbourhood as nb
 from annograph.operators import vectorise as vx
 from annograph.sources import networks as net
@@ -355,15 +356,7 @@ def _(t):
 
 @query("subsample_diversity")
 def _(t):
-    """Mean and SEM of exp(entropy) over 20 seeded draws of 50 recipes per label."""
-    draws, least = 20, 50
-    seeds = t.spark.range(draws).withColumnRenamed("id", "seed")
-    g = net.order_segments(t).crossJoin(F.broadcast(seeds))
-    w = Window.partitionBy("label", "seed").orderBy(F.xxhash64("seed", "r_id"), "r_id")
-    s = g.withColumn("r", F.row_number().over(w)).where(F.col("r") <= least).join(net.order_brands(t), "r_id")
-    p = vx.normalised(s.groupBy("label", "seed", "item").agg(F.count(F.lit(1)).cast("double").alias("n")), ["label", "seed"], "n")
-    h = p.groupBy("label", "seed").agg(F.exp(entropy(F.col("p"))).alias("d"), F.count(F.lit(1)).alias("k"))
-    return h.groupBy("label").agg(F.avg("d").alias("diversity"), (F.stddev_pop("d") / F.sqrt(F.lit(float(draws)))).alias("sem"), F.avg("k").alias("items"))
+    return dy.subsampled_diversity(net.order_segments(t), net.order_brands(t))
 
 
 @query("balance_score", "WITH n AS (SELECT c_mktsegment AS cluster, l_returnflag AS roi, count(*)::DOUBLE AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), p AS (SELECT cluster, n, n / sum(n) OVER (PARTITION BY cluster) AS p FROM n) SELECT cluster, round(sum(-p * ln(p)), 6) AS entropy, round(sum(-p * ln(p)) / ln(3), 6) AS balance, round(exp(sum(-p * ln(p))), 6) AS div, round(stddev_pop(n), 4) AS std, max(n) - min(n) AS spread FROM p GROUP BY 1")

@@ -168,29 +168,19 @@ def _(t):
 
 @query("match_pvalue")
 def _(t):
-    return gm.shuffled_score(_mapping(t), net.region_annotation(t), 50)
+    return gm.shuffled_score(_mapping(t), net.region_annotation(t))
 
 
 @query("match_stability")
 def _(t):
-    """Matches of one pair under growing weight on keeping every node apart."""
-    nodes, cells, _, p = _graphs(t)
-    g = gm.dense_graphs(nodes, cells).select("graph", F.size("ids").alias("n"), "adj")
-    one = p.where("id_1 = 0 and id_2 = 1 or id_1 = 1 and id_2 = 0").join(g.toDF("id_1", "_n", "a"), "id_1").join(g.toDF("id_2", "_m", "b"), "id_2")
-    deltas = t.spark.range(0, 5).select((F.pow(F.lit(10.0), F.col("id")) * 100 - 100).alias("delta"))
-
-    def run(it):
-        import numpy as np
-
-        for pdf in it:
-            rows = []
-            for r in pdf.itertuples():
-                a, b = np.array(r.a).reshape(r.n_1, -1), np.array(r.b).reshape(r.n_2, -1)
-                perm = numerics.match_graphs(a, b, similarity=-r.delta * np.eye(r.n_1, r.n_2))
-                rows.append((r.delta, perm.tolist(), numerics.graph_distance(a, b, perm)["fnorm"]))
-            yield pd.DataFrame(rows, columns=["delta", "perm", "fnorm"])
-
-    return one.join(F.broadcast(deltas)).mapInPandas(run, "delta double, perm array<int>, fnorm double")
+    """Four pairs of nations whose neighbourhoods fit best by type, each under 1,000 weights."""
+    e = net.nation_edges(t).where("pre <> post")
+    m = nb.with_ego(nb.top_partners(e, 4))
+    nodes, cells, sizes = gm.numbered(m, nb.induced(e, m))
+    p = gm.ordered_pairs(sizes)
+    score = gm.type_match(gm.node_mapping(gm.completed(gm.identity_matching(p), p), nodes), net.region_annotation(t))
+    best = dy.cut_lineage(score.orderBy(F.desc("score"), "id_1", "id_2").limit(4).select("id_1", "id_2").join(p, ["id_1", "id_2"]))
+    return gm.stability(gm.dense_graphs(nodes, cells), net.region_annotation(t), best, t.spark.range(0, 1_000_000, 1000).withColumnRenamed("id", "delta"))
 
 
 @query("edge_type_layers", f"WITH {T}, {A} SELECT pre, post, least(u.type, v.type) || '_' || greatest(u.type, v.type) AS layer, weight FROM t JOIN a u ON u.id = pre JOIN a v ON v.id = post")
@@ -509,8 +499,7 @@ def _(t):
 
 @query("silhouette", f"WITH {_D}, b AS (SELECT * FROM d UNION ALL SELECT id_2, id_1, d FROM d), m AS (SELECT id_1, x.label AS l1, y.label AS l2, avg(d) AS m FROM b JOIN embeddings x ON x.vec_id = id_1 JOIN embeddings y ON y.vec_id = id_2 GROUP BY 1, 2, 3), ab AS (SELECT id_1, l1, max(m) FILTER (l1 = l2) AS a, min(m) FILTER (l1 <> l2) AS b FROM m GROUP BY 1, 2) SELECT l1 AS label, round(avg(coalesce((b - a) / greatest(a, b), 0)), 5) AS mean_s FROM ab GROUP BY 1")
 def _(t):
-    v = _vectors(t)
-    return st.silhouette(st.distances(v), v.select("id", "label")).groupBy("label").agg(F.round(F.avg("s"), 5).alias("mean_s"))
+    return st.silhouette(_vectors(t)).groupBy("label").agg(F.round(F.avg("s"), 5).alias("mean_s"))
 
 
 _CT = "ct AS (SELECT p_brand AS cluster, p_type AS name, count(*) AS k FROM part GROUP BY 1, 2), cn AS (SELECT cluster, sum(k)::BIGINT AS n FROM ct GROUP BY 1), nm AS (SELECT name, sum(k)::BIGINT AS mk FROM ct GROUP BY 1), tt AS (SELECT count(*) AS tot FROM part)"
@@ -635,7 +624,7 @@ def _(t):
 @query("null_silhouette")
 def _(t):
     """Mean silhouette under shuffled labels, by seed, from one set of distances a task."""
-    return st.shuffled_silhouette(_vectors(t), 5)
+    return st.shuffled_silhouette(_vectors(t), 1000)
 
 
 @query("shell_degrees", f"WITH {T}, s AS (SELECT pre, post FROM t UNION SELECT post, pre FROM t) SELECT pre AS id, count(*) AS n FROM s GROUP BY 1")
@@ -689,7 +678,7 @@ def _(t):
 @query("layer_realisation")
 def _(t):
     e = dy.proportional(net.sparse_edges(t)).select("pre", "post", F.col("in_prop").alias("weight"))
-    r = dy.realised_layers(e, t.nation.where("n_nationkey in (0, 1, 2)").select(F.col("n_nationkey").alias("id")), 20, correction=0.5, patience=2, most=10)
+    r = dy.realised_layers(e, t.nation.where("n_nationkey in (0, 1, 2)").select(F.col("n_nationkey").alias("id")), 1000, correction=0.5, patience=2, most=10)
     return r.groupBy("id").agg(F.avg("layer").alias("mean_layer"), F.bround(F.avg("layer")).alias("layer"), F.count(F.lit(1)).alias("runs"))
 
 

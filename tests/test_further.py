@@ -10,7 +10,9 @@ import pytest
 from annograph.functions import numerics
 from annograph.operators import dendrogram as dg
 from annograph.operators import dynamics as dy
+from annograph.operators import matching as gm
 from annograph.operators import multilayer as ml
+from annograph.operators import statistics as st
 from annograph.plans import catalog
 from annograph.sources import files
 from annograph.sources import text as tx
@@ -253,6 +255,67 @@ def test_disjoint_cover_is_disjoint(spark):
 def test_match_scores_and_stability(spark):
     p = catalog.QUERIES["match_pvalue"](spark, SF).toPandas()
     assert len(p) == 300 and p.select_dtypes("number").notna().all().all()
-    s = catalog.QUERIES["match_stability"](spark, SF).toPandas()
-    assert len(s) == 5
     assert len(catalog.QUERIES["ego_match"](spark, SF).take(3)) == 3
+
+
+def test_shuffled_score_is_the_share_of_permutations(spark):
+    one, two = ["a", "a", "b", "c"], ["a", "b", "b", "c"]
+    m = spark.createDataFrame([(1, 2, k, f"x{k}", f"y{k}") for k in range(4)] + [(1, 3, 0, "x0", "y0")], "id_1 int, id_2 int, place int, node_1 string, node_2 string")
+    meta = spark.createDataFrame([(f"x{k}", v) for k, v in enumerate(one)] + [(f"y{k}", v) for k, v in enumerate(two)], "id string, type string")
+    got = {r.id_2: r for r in gm.shuffled_score(m, meta, 20_000, cells=999).collect()}
+    every = np.array([sum(x == y for x, y in zip(one, q, strict=True)) for q in itertools.permutations(two)])
+    assert got[2].obs == 3 and abs(got[2].p - max((every > 3).mean(), 1 / 20_000)) < 0.01
+    assert abs(got[2]["mean"] - every.mean()) < 0.03 and abs(got[2]["std"] - every.std()) < 0.03
+    assert (got[3].obs, got[3].p, got[3]["mean"], got[3]["std"]) == (1, 1 / 20_000, 1, 0)
+
+
+def test_stability_leaves_the_identity_but_for_the_own_nodes(spark):
+    ring = [float(v) for v in (0, 9, 0, 0, 0, 9, 9, 0, 0)]
+    graphs = spark.createDataFrame([("a", ["a", "b", "c"], ring), ("b", ["b", "c", "a"], ring)], "graph string, ids array<string>, adj array<double>")
+    p = spark.createDataFrame([("a", "b", 3, 3)], "id_1 string, id_2 string, n_1 int, n_2 int")
+    meta = spark.createDataFrame([("a", "s"), ("b", "t"), ("c", "u")], "id string, type string")
+    got = {r.delta: r for r in gm.stability(graphs, meta, p, spark.createDataFrame([(0,), (10**6,)], "delta long")).collect()}
+    assert got[0].perm == [0, 1, 2] and got[0].euclidean_distance == 0 and got[0].matches == 0
+    assert got[10**6].perm == [0, 2, 1] and got[10**6].matches == 1
+
+
+def test_hash_numbers_count_every_row(spark):
+    rows = spark.createDataFrame([(g, k) for g in (1, 2) for k in range(500 * g)] + [(3, 7)], "g int, k int")
+    got = dy.hash_numbers(rows, "r", ["g"], ["g"], ["k"], buckets=16).toPandas()
+    for g, n in ((1, 500), (2, 1000), (3, 1)):
+        own = got[got.g == g].sort_values("r")
+        assert own.r.tolist() == list(range(1, n + 1)) and sorted(own.k) == (list(range(n)) if g < 3 else [7])
+        assert n == 1 or own.k.tolist() != list(range(n))
+
+
+def test_subsampled_diversity(spark):
+    """The smallest label is drawn whole each time; the other one two of three."""
+    recipes = spark.createDataFrame([(1, "s"), (2, "s"), (3, "l"), (4, "l"), (5, "l"), (6, "l")], "r_id int, label string")
+    items = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (4, "b"), (5, "c")], "r_id int, item string")
+    got = {r.label: r for r in dy.subsampled_diversity(recipes, items, 30).collect()}
+    h = -(0.75 * np.log(0.75) + 0.25 * np.log(0.25))
+    assert np.allclose([got["s"].entropy, got["s"].diversity, got["s"]["items"], got["s"].ln_items], [h, np.exp(h), 1.5, np.log(2) / 2])
+    assert np.allclose([got["s"].sem_entropy, got["s"].sem_items], 0) and np.isclose(got["l"].diversity, 2)
+
+
+def test_silhouette_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    x, label = rng.normal(size=(120, 3)), np.array([0, *[1] * 39, *[2] * 80])
+    rows = spark.createDataFrame([(k, int(label[k]), x[k].tolist()) for k in range(120)], "id long, label int, x array<double>")
+    got = {r.id: r.s for r in st.silhouette(rows, block=50).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(120):
+        m = {k: d[i, (label == k) & (np.arange(120) != i)] for k in range(3)}
+        a, b = m[label[i]], min(m[k].mean() for k in range(3) if k != label[i])
+        assert np.isclose(got[i], (b - a.mean()) / max(a.mean(), b) if len(a) else 0)
+    assert st.silhouette(rows.limit(0)).count() == 0
+    assert {r.s for r in st.silhouette(rows.where("label = 1")).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 5, 16, 25])
+def test_dyadic_tree_of_any_size(spark, leaves):
+    from annograph.sources import networks as net
+
+    z = net.dyadic_merges(spark, leaves).toPandas()
+    assert len(z) == leaves - 1 and sorted([*z.left, *z.right]) == list(range(max(0, 2 * leaves - 2)))
+    assert leaves == 1 or z["size"].iloc[-1] == leaves
