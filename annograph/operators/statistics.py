@@ -10,35 +10,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annograph.functions.columns import log_factorial
 
-def average_rank(by: Column, *partition: str) -> Column:
-    """Rank in the order ``by``, ties averaged."""
-    w = Window.partitionBy(*partition).orderBy(by)
-    same = Window.partitionBy(*partition, by)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0)
-
-
-def log_factorials(df: DataFrame, most: str) -> DataFrame:
-    """(n, lf): ln n! for n up to the largest value of column ``most``."""
-    top = df.agg(F.max(most).alias("m"))
-    n = top.select(F.explode(F.sequence(F.lit(1), F.greatest("m", F.lit(1)).cast("int"))).alias("n"))
-    run = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    table = n.select("n", F.sum(F.ln(F.col("n").cast("double"))).over(run).alias("lf"))
-    return table.unionAll(df.sparkSession.createDataFrame([(0, 0.0)], "n int, lf double"))
+from .dynamics import cut_lineage
 
 
 def hypergeometric_tail(counts: DataFrame, k: str, n: str, marked: str, total: str) -> DataFrame:
     """``counts`` with p: the chance of k or more marked among n of ``total``."""
-    lf = log_factorials(counts, total)
     grid = counts.withColumn("_i", F.explode(F.sequence(F.col(k).cast("int"), F.least(n, marked).cast("int"))))
     grid = grid.where(F.col(n) - F.col("_i") <= F.col(total) - F.col(marked))
-    terms = {"a": F.col(marked), "b": F.col("_i"), "c": F.col(marked) - F.col("_i"), "d": F.col(total) - F.col(marked), "e": F.col(n) - F.col("_i"), "f": F.col(total) - F.col(marked) - F.col(n) + F.col("_i"), "g": F.col(total), "h": F.col(n), "i": F.col(total) - F.col(n)}
-    for name, value in terms.items():  # a table of max(total) rows
-        grid = grid.withColumn("_x", value.cast("int")).join(lf.select(F.col("n").alias("_x"), F.col("lf").alias(f"_{name}1")), "_x").drop("_x")
-    ln_p = F.col("_a1") - F.col("_b1") - F.col("_c1") + F.col("_d1") - F.col("_e1") - F.col("_f1") - F.col("_g1") + F.col("_h1") + F.col("_i1")
+    i, lf = F.col("_i"), log_factorial
+    choose = lambda a, b: lf(a) - lf(b) - lf(a - b)
+    ln_p = choose(F.col(marked), i) + choose(F.col(total) - F.col(marked), F.col(n) - i) - choose(F.col(total), F.col(n))
     return grid.groupBy(*counts.columns).agg(F.sum(F.exp(ln_p)).alias("p"))
 
 
+def running(g: DataFrame, by: str, sums: dict[str, str], parts: int = 64) -> DataFrame:
+    """``g``, one row a number in ``by``, with columns that add up others over all rows before, as {new: old}.
+
+    Rows are cut at quantiles into about ``parts`` ranges, which sums of whole
+    ranges carry on, so no task orders all rows. Null comes first.
+    """
+    g = cut_lineage(g)
+    cuts = sorted(set(g.approxQuantile(by, [k / parts for k in range(1, parts)], 0.005)))  # parts - 1 numbers at most
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(by).cast("double"))) if cuts else F.lit(0)
+    own = g.withColumn("_b", F.when(F.col(by).isNull(), 0).otherwise(at))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = own.groupBy("_b").agg(*(F.sum(old).alias(f"_{new}") for new, old in sums.items()))
+    starts = totals.select("_b", *(F.coalesce(F.sum(f"_{new}").over(before(Window.orderBy("_b"))), F.lit(0)).alias(f"_{new}") for new in sums))  # a row a range
+    within = before(Window.partitionBy("_b").orderBy(by))
+    return own.select("*", *(F.coalesce(F.sum(old).over(within), F.lit(0)).alias(new) for new, old in sums.items())).join(F.broadcast(starts), "_b").select(
+        *g.columns, *((F.col(new) + F.col(f"_{new}")).alias(new) for new in sums)
+    )
+
+
 def step_up(df: DataFrame, group: str, p: str, alpha: float = 0.1, *ties: str) -> DataFrame:
     """Adds reject: within each group all p up to the last at or below rank * alpha / m."""
     w = Window.partitionBy(group).orderBy(p, *ties)
@@ -59,21 +64,19 @@ def adjusted(df: DataFrame, group: str, p: str, *ties: str) -> DataFrame:
 
 def rank_sum(df: DataFrame, value: str, inside: Column) -> DataFrame:
     """One row: n_in, n_out and U of the rows where ``inside`` holds."""
-    # ranks from counts by value, so no single task orders all rows
     g = df.groupBy(F.col(value).alias("v")).agg(F.sum(inside.cast("long")).alias("a"), F.count(F.lit(1)).alias("c"))
-    before = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    r = g.withColumn("r", F.coalesce(F.sum("c").over(before), F.lit(0)) + (F.col("c") + 1) / 2.0)
+    r = running(g, "v", {"before": "c"}).withColumn("r", F.col("before") + (F.col("c") + 1) / 2.0)
     s = r.agg(F.sum("a").alias("n_in"), F.sum(F.col("c") - F.col("a")).alias("n_out"), F.sum(F.col("a") * F.col("r")).alias("rs"))
     return s.select("n_in", "n_out", (F.col("rs") - F.col("n_in") * (F.col("n_in") + 1) / 2.0).alias("u"))
 
 
 def ks_statistic(df: DataFrame, value: str, inside: Column) -> DataFrame:
-    """One row: the largest distance of the two empirical distributions."""
-    g = df.groupBy(F.col(value).alias("v")).agg(F.sum(inside.cast("long")).alias("a"), F.count(F.lit(1)).alias("c"))
-    run, every = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    a, b = F.col("a"), F.col("c") - F.col("a")
-    d = F.abs(F.sum(a).over(run) / F.sum(a).over(every) - F.sum(b).over(run) / F.sum(b).over(every))
-    return g.select(d.alias("d"), F.sum(a).over(every).alias("n"), F.sum(b).over(every).alias("m")).groupBy("n", "m").agg(F.max("d").alias("d"))
+    """One row: the largest distance of the two empirical distributions, and their rows n and m."""
+    g = df.groupBy(F.col(value).alias("v")).agg(F.sum(inside.cast("long")).alias("a"), F.sum((~inside).cast("long")).alias("b"))
+    r = running(g, "v", {"before_a": "a", "before_b": "b"})
+    size = r.agg(F.sum("a").alias("n"), F.sum("b").alias("m"))  # one row
+    d = F.abs((F.col("before_a") + F.col("a")) / F.col("n") - (F.col("before_b") + F.col("b")) / F.col("m"))
+    return r.crossJoin(F.broadcast(size)).groupBy("n", "m").agg(F.max(d).alias("d"))
 
 
 def distances(vectors: DataFrame, key: str = "id", value: str = "x", group: str | None = None) -> DataFrame:

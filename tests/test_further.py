@@ -2,12 +2,14 @@
 
 import datetime
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from annograph.functions import numerics
+from annograph.functions.columns import log_factorial
 from annograph.operators import dendrogram as dg
 from annograph.operators import dynamics as dy
 from annograph.operators import matching as gm
@@ -319,3 +321,28 @@ def test_dyadic_tree_of_any_size(spark, leaves):
     z = net.dyadic_merges(spark, leaves).toPandas()
     assert len(z) == leaves - 1 and sorted([*z.left, *z.right]) == list(range(max(0, 2 * leaves - 2)))
     assert leaves == 1 or z["size"].iloc[-1] == leaves
+
+
+def test_log_factorial(spark):
+    got = spark.range(0, 3000).select("id", log_factorial(dy.F.col("id")).alias("x")).toPandas()
+    assert np.allclose(got.x, [math.lgamma(k + 1) for k in got.id], rtol=1e-14, atol=1e-12)
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(3)
+    v = np.unique(rng.normal(size=700))
+    n = rng.integers(1, 9, len(v))
+    rows = spark.createDataFrame(list(zip(v.tolist(), n.tolist(), strict=True)) + [(None, 5)], "v double, n long")
+    got = st.running(rows, "v", {"before": "n"}, parts=16).toPandas().sort_values("v", na_position="first")
+    assert got.before.tolist() == [0, 5, *(5 + np.cumsum(n)[:-1])]
+    assert st.running(rows.limit(0), "v", {"before": "n"}).count() == 0
+
+
+def test_rank_statistics_by_hand(spark):
+    rng = np.random.default_rng(6)
+    x, own = rng.integers(0, 40, 300), rng.random(300) < 0.4
+    df = spark.createDataFrame(list(zip(x.tolist(), own.tolist(), strict=True)), "x int, own boolean")
+    u = sum((a > b) + 0.5 * (a == b) for a in x[own] for b in x[~own])
+    assert st.rank_sum(df, "x", dy.F.col("own")).first().u == u
+    d = max(abs((x[own] <= k).mean() - (x[~own] <= k).mean()) for k in range(40))
+    assert np.isclose(st.ks_statistic(df, "x", dy.F.col("own")).first().d, d)
