@@ -19,6 +19,6 @@ def even(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["pagerank_fixed", "centrality_columns", "centrality_table"])
+@pytest.mark.parametrize("name", ["pagerank_fixed", "centrality_columns", "centrality_table", "rank_embedding_clusters"])
 def test_network_without_edges(spark, even, name):
     assert catalog.QUERIES[name](spark, even).count() == 0
