@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -94,25 +94,57 @@ def domain_split(matrix: DataFrame) -> DataFrame:
 
     Node c itself is in neither block, the diagonal is left out, and both
     (i, j) and (j, i) count. ``matrix`` holds every cell (graph, i, j, v).
+    Cells are counted by value and later or earlier node, so a graph's task
+    holds a row per node and value, and counts by value for some nodes at once.
     """
-    from .statistics import adjusted
+    cells = matrix.where("i <> j and v is not null")
+    ends = [cells.groupBy("graph", F.expr(f"{end}(i, j)").cast("int").alias("i"), "v").agg(F.count(F.lit(1)).alias(name)) for end, name in (("greatest", "low"), ("least", "high"))]
+    counts = ends[0].withColumn("high", F.lit(0).cast("long")).unionByName(ends[1].withColumn("low", F.lit(0).cast("long")))
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for r in pdf.itertuples():
-                i, j, v = (np.array(x) for x in (r.i, r.j, r.v))
-                for c in range(1, int(max(i.max(), j.max()))):
-                    whole = (i != c) & (j != c)
-                    inside = ((i < c) == (j < c)) & whole
-                    between = ~inside & whole
-                    if inside.any() and between.any():
-                        out.append((r.graph, c, *numerics.rank_sum_less(v[inside], v[between])))
-            yield pd.DataFrame(out, columns=["graph", "cut", "u", "p"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        values, at = np.unique(pdf.v.to_numpy(), return_inverse=True)
+        pdf = pdf.assign(at=at).sort_values("i")
+        i, at, low, high = (pdf[c].to_numpy() for c in ("i", "at", "low", "high"))
+        n, step = int(i[-1]) + 1, max(1, (1 << 19) // len(values))
 
-    kind = dict(matrix.dtypes)["graph"]
-    g = matrix.where("i <> j").groupBy("graph").agg(*(F.collect_list(c).alias(c) for c in ("i", "j", "v")))
-    return adjusted(g.mapInPandas(run, f"graph {kind}, cut int, u double, p double"), "graph", "p", "cut")
+        def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for start in range(0, n, step):
+                own = slice(*np.searchsorted(i, [start, min(n, start + step)]))
+                size = min(n, start + step) - start
+                place = (i[own] - start) * len(values) + at[own]
+                yield tuple(np.bincount(place, w[own], size * len(values)).reshape(size, -1) for w in (low, high))
+
+        return _cuts(pdf.graph.iloc[0], np.arange(n), np.bincount(at, low, len(values)), blocks())
+
+    return _adjusted_cuts(counts, run)
+
+
+def difference_split(nodes: DataFrame) -> DataFrame:
+    """``domain_split`` where a cell is the absolute difference of its nodes' ``x``, from (graph, i, x).
+
+    Nodes without ``x`` are left out. A graph's task holds its nodes, not their
+    cells, and counts by distinct difference for some nodes at once.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        return _cuts(pdf.graph.iloc[0], pdf.i.to_numpy(), *numerics.difference_counts(pdf.x.to_numpy(float)))
+
+    return _adjusted_cuts(nodes.select("graph", "i", "x").where("x is not null"), run)
+
+
+def _cuts(graph, cut: np.ndarray, total: np.ndarray, blocks: Iterable[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """(graph, cut, u, p) of all nodes but the first and the last."""
+    u, p, ok = (np.concatenate(x) for x in zip(*numerics.split_tests(blocks, total), strict=True))
+    ok &= (cut > 0) & (cut < cut[-1])
+    return pd.DataFrame({"graph": graph, "cut": cut[ok], "u": u[ok], "p": p[ok]})
+
+
+def _adjusted_cuts(rows: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    from .statistics import adjusted
+
+    kind = dict(rows.dtypes)["graph"]
+    return adjusted(rows.groupBy("graph").applyInPandas(run, f"graph {kind}, cut int, u double, p double"), "graph", "p", "cut")
 
 
 def best_split(splits: DataFrame) -> DataFrame:
