@@ -27,7 +27,7 @@ def test_network_without_edges(spark, even, name):
     assert catalog.QUERIES[name](spark, even).count() == 0
 
 
-@pytest.mark.parametrize("name", ["domain_split"])
+@pytest.mark.parametrize("name", ["domain_split", "domain_split_best"])
 def test_splits_of_a_large_brand(spark, tmp_path, name):
     """One brand of 3,000 parts: its 9 million cells are counted, not held."""
     size = np.random.default_rng(3).integers(1, 51, 3000)
