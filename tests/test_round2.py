@@ -45,3 +45,22 @@ def test_splits_of_a_large_brand(spark, tmp_path, name):
         within = np.concatenate([x[~np.eye(len(x), dtype=bool)] for x in (v[first, first], v[last, last])])
         u, p = numerics.rank_sum_less(within, np.tile(v[first, last].ravel(), 2))
         assert r.p == pytest.approx(p, rel=1e-9) and getattr(r, "u", u) == u
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["assembled_layers"])
+def test_pairs_spread_from_lists(spark, name):
+    """Lists of ids are dealt and spread last, so no pair's row is moved, joined or worked out."""
+    plan = _plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert plan.index("Generate") < plan.index("Repartition") and plan.count("Join ") == 2
+
+
+def test_transforms_of_equal_sizes(spark, tmp_path):
+    """Differences that are all 0 over a largest one of 0: not a number, as in SQL; a single part has no pair."""
+    spark.createDataFrame([(1, "a", 5), (2, "a", 5), (3, "b", 5), (4, "c", 1), (5, "c", 3)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.i, r.j): (r.inv, r.ex) for r in catalog.QUERIES["similarity_transforms"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 2), (2, 1), (4, 5), (5, 4)} and got[4, 5] == (0.333333, 0.367879)
+    assert got[1, 2][0] == 1 and np.isnan(got[1, 2][1])
