@@ -51,7 +51,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["assembled_layers", "similarity_transforms", "length_similarity"])
+@pytest.mark.parametrize("name", ["assembled_layers", "similarity_transforms", "length_similarity", "binarised"])
 def test_pairs_spread_from_lists(spark, name):
     """Lists of ids are dealt and spread last, so no pair's row is moved, joined or worked out."""
     plan = _plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
