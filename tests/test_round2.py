@@ -67,7 +67,7 @@ def test_transforms_of_equal_sizes(spark, tmp_path):
     assert got[1, 2][0] == 1 and np.isnan(got[1, 2][1])
 
 
-@pytest.mark.parametrize("name", ["pairwise_distances"])
+@pytest.mark.parametrize("name", ["pairwise_distances", "square_distances"])
 def test_distances_by_blocks(spark, name):
     """Vectors meet in blocks, once for both directions; no vector is joined with each other one."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
