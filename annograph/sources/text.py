@@ -31,9 +31,9 @@ def fields(line: Column, sep: str = r"\s+", strip_blanks: bool = True) -> Column
 
 def ragged(lines: DataFrame, line: str, sep: str = "\t", comment: str = "@") -> DataFrame:
     """``key sep id sep id ...`` to (key, id) pairs; lines that start with ``comment`` are left out."""
-    f = F.split(F.col(line), sep)
-    kept = lines.where(~F.col(line).startswith(comment))
-    return kept.select(F.element_at(f, 1).alias("key"), F.explode(F.slice(f, 2, F.greatest(F.size(f) - 1, F.lit(0)))).alias("id")).where("id <> ''")
+    f = F.split(F.col(line), sep, 2)
+    kept = lines.where(~F.col(line).startswith(comment)).select(f[0].alias("key"), F.get(f, F.lit(1)).alias("rest"))  # once a line, not once an id
+    return kept.select("key", F.explode_outer(F.split("rest", sep)).alias("id")).where("id <> ''")
 
 
 def key_values(text: Column, pairs: str = ",", sep: str = "=") -> Column:

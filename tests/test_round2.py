@@ -7,6 +7,7 @@ import pytest
 from annograph.functions import numerics
 from annograph.operators import statistics as st
 from annograph.plans import catalog
+from annograph.sources import text as tx
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +85,12 @@ def test_distances_by_hand(spark):
         own = {(f"v{i}", f"v{j}"): np.linalg.norm(x[i] - x[j]) for i in range(90) for j in range(90) if f"v{i}" < f"v{j}" and (group is None or i % 2 == j % 2)}
         assert got.keys() == own.keys() and all(abs(got[k] - own[k]) < 1e-12 for k in own)
         assert group or got["v3", "v40"] == 0
+
+
+def test_ragged_lines_are_split_once(spark):
+    """What stands above the generator runs once an id: no line is split there."""
+    lines = spark.createDataFrame([("k a  b ",), ("k a",), ("@ x",), ("only",), ("",), (" z",)], "line string")
+    got = tx.ragged(lines, "line", " ")
+    assert sorted(tuple(r) for r in got.collect()) == [("", "z"), ("k", "a"), ("k", "a"), ("k", "b")]
+    plan = _plan(got)
+    assert "split" not in plan[:plan.index("Generate")]
