@@ -107,3 +107,15 @@ def test_draws_are_cut_at_a_hash(spark):
         got = dy._drawn(r, 5, buckets)
         assert {(x.label, x.seed, x.r_id) for x in got.collect()} == own and got.select("least").distinct().collect()[0][0] == 234
         assert "Window" not in _plan(got)
+
+
+@pytest.mark.parametrize("copies", [0, 300])
+def test_ward_of_vectors_is_that_of_distances(copies):
+    """The same merges as by updating a matrix of distances."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 8)) + rng.integers(0, 4, 1500)[:, None]
+    x[:copies] = x[0]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got, want = numerics.linkage(x), numerics.linkage(d, "ward", condensed=True)
+    assert np.allclose(got[:, 2], want[:, 2], atol=1e-9)
+    assert copies or (got[:, [0, 1, 3]] == want[:, [0, 1, 3]]).all()
