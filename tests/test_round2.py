@@ -121,7 +121,7 @@ def test_ward_of_vectors_is_that_of_distances(copies):
     assert copies or (got[:, [0, 1, 3]] == want[:, [0, 1, 3]]).all()
 
 
-@pytest.mark.parametrize("name", ["centrality_columns"])
+@pytest.mark.parametrize("name", ["centrality_columns", "centrality_table"])
 def test_ranks_are_written_each_round(spark, name):
     """A round reads the ranks before twice; unwritten rounds double the plan, which the driver has to hold."""
     assert len(_plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")).splitlines()) < 40
