@@ -548,3 +548,14 @@ def test_tokens_of_one_id(spark, tmp_path):
     assert sum(held) == 4000 and max(held) < 1500
     starts = [(r.start, r.n_tokens) for r in tokens.read_tokens(spark, path).orderBy("start").collect()]
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
+def test_few_edges_in_one_task(spark):
+    """As many edges as one task may hold need no exchange after their own; both ways give the same components."""
+    rng = np.random.default_rng(15)
+    pairs = [*rng.integers(0, 400, (250, 2)).tolist(), *[[k, k + 1] for k in range(1000, 1200)], [5, 5]]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    one, many = connected_components(edges), connected_components(edges, few=0)
+    assert {tuple(r) for r in one.collect()} == {tuple(r) for r in many.collect()} and one.count() == many.count()
+    assert "Aggregate" not in one._jdf.queryExecution().optimizedPlan().toString()
+    assert connected_components(edges.limit(0)).count() == 0
