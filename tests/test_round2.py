@@ -189,3 +189,16 @@ def test_linkage_from_lines(spark):
         got = [sorted(map(tuple, df.collect())) for df in (dg.build_from_lines(lines, method), dg.build_from_distances(pairs, method))]
         assert len(got[0]) == 69 + 39 and got[0] == got[1]
     assert "id_1" not in _plan(catalog.QUERIES["linkage_from_distances"](spark, "/root/testdata/sf0.001"))
+
+
+def test_counts_of_many_sizes():
+    """1,500 different sizes have 2.25 million differences, of which the 4,000 distinct ones are held."""
+    x = np.random.default_rng(14).permutation(4000)[:1500].astype(float)
+    tracemalloc.start()
+    total, blocks = numerics.difference_counts(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    values, counts = np.unique(np.abs(x[:, None] - x)[~np.eye(1500, dtype=bool)], return_counts=True)
+    assert peak < 25e6 and total.sum() == 1500 * 1499 and (total[total > 0] == counts).all()
+    low, high = next(blocks)
+    assert low[0].sum() == 0 and high[0].sum() == 2 * 1499 and low[3].sum() == 6
