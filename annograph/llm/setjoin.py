@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, copies_of, discard, frequent_texts, hashed_words, materialise, mixed, sequences, small_batches, text_hashes, text_or_empty, within, word_counts
+from .common import buffers, copies_of, discard, frequent_texts, hashed_words, materialise, mixed, sequences, small_batches, text_hashes, text_or_empty, within
 from .components import connected_components
 from .exchange import Shared, Size, by_run, shared_tokens, text_batches, unpack_texts
 
@@ -58,7 +58,12 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.nd
     Tokens are 54-bit hashes. A text of fewer words is one token, of all; a
     text without words has none.
     """
-    docs, toks, sizes = [], [], []
+    return counted_shingles(texts, words)[:3]
+
+
+def counted_shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``shingles``, and the words by document."""
+    docs, toks, sizes, counts = [], [], [], []
     for low in range(0, len(texts), 200):
         part = texts.slice(low, 200)
         h, first = hashed_words(*buffers(part), fold=True)
@@ -76,10 +81,11 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.nd
         key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
         doc, tok = (key >> np.uint64(54)).astype(np.int64), key & np.uint64((1 << 54) - 1)
         sizes.append(np.bincount(doc, minlength=len(part)))
+        counts.append(n)
         docs.append(doc + low)
         toks.append(tok)
     empty = np.zeros(0, np.int64)
-    return (np.concatenate(docs), np.concatenate(toks), np.concatenate(sizes)) if docs else (empty, empty.astype(np.uint64), empty)
+    return tuple(map(np.concatenate, (docs, toks, sizes, counts))) if docs else (empty, empty.astype(np.uint64), empty, empty)
 
 
 def _signatures(doc: np.ndarray, tok: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -346,10 +352,10 @@ def similar_classes(documents: DataFrame, rule: Rule = Rule(), keep: tuple[str,
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, offsets = buffers(b.column("text"))
-            doc, tok, n = shingles(b.column("text"), words)
+            offsets = buffers(b.column("text"))[1]
+            doc, tok, n, w = counted_shingles(b.column("text"), words)
             one, two = _signatures(doc, tok, b.num_rows)
-            numbers = {"n": n, "s1": one, "s2": two, "bytes": np.diff(offsets), "w": word_counts(raw, offsets)}
+            numbers = {"n": n, "s1": one, "s2": two, "bytes": np.diff(offsets), "w": w}
             columns = {"doc_id": b.column("doc_id"), **{k: pa.array(np.asarray(v, np.int64)) for k, v in numbers.items()}, "h1": b.column("h1"), "h2": b.column("h2"), **{k: b.column(k) for k in carried}}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 

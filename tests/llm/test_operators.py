@@ -6,9 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from annograph.llm import chat, compression_quality, decontam, packing, pii, queries, rules, setjoin, sharding, substring, tokens
+from annograph.llm.common import buffers, word_counts
 from annograph.llm.components import connected_components
 from annograph.llm.fmindex import FMIndex
 
@@ -559,3 +561,11 @@ def test_few_edges_in_one_task(spark):
     assert {tuple(r) for r in one.collect()} == {tuple(r) for r in many.collect()} and one.count() == many.count()
     assert "Aggregate" not in one._jdf.queryExecution().optimizedPlan().toString()
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_shingles_count_words():
+    """The words come with the shingles, so a text is scanned for them once."""
+    texts = pa.array(["a b  c\td e", "", None, " \n", "x", "Zwei Wörter", " lead and trail "] + ["w " * k for k in range(400)])
+    doc, tok, n, w = setjoin.counted_shingles(texts, 4)
+    assert w.tolist() == word_counts(*buffers(texts)).tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts.to_pylist()]
+    assert [x.tolist() for x in (doc, tok, n)] == [x.tolist() for x in setjoin.shingles(texts, 4)]
