@@ -18,8 +18,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 #: Bytes of rows that a Python worker gets at once; a longer row comes alone.
 BATCH_LIMIT = 2 << 20
-#: Bytes of text hashed at once; bounds the size of the numpy temporaries.
-CHUNK = 1 << 18
+#: Bytes of text hashed at once; the numpy temporaries, eight times as large, stay in the cache.
+CHUNK = 1 << 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -152,14 +152,12 @@ def text_batches(documents: DataFrame, size: Size, skip: Callable[[pa.RecordBatc
     return materialise(documents.mapInArrow(run, "run long, batch long, blob binary"), "batches", compression="uncompressed")
 
 
-def merged(tokens: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens in order, with their counts summed up."""
+def merged(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens in order, and how often each is there."""
     flat = np.concatenate(tokens)
-    order = np.argsort(flat)
-    flat = flat[order]
-    head = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
-    sums = np.add.reduceat(np.concatenate(counts)[order], head) if len(head) else np.zeros(0, np.int64)
-    return flat[head], sums
+    flat.sort()
+    head = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])[: len(flat)])
+    return flat[head], np.diff(head, append=len(flat))
 
 
 def chunk_edges(task: np.ndarray, chunk: int) -> np.ndarray:
@@ -188,10 +186,10 @@ def shared_tokens(batches: DataFrame, tokens: Tokens, size: Size) -> DataFrame:
     width = -(-size.bits // 8)
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, counts = None, [], []
+        at, own = None, []
 
         def close() -> pa.RecordBatch:
-            tok, n = merged(own, counts)
+            tok, n = merged(own)
             task = size.task_of(tok)
             edge = chunk_edges(task, size.chunk)
             pairs = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
@@ -208,11 +206,10 @@ def shared_tokens(batches: DataFrame, tokens: Tokens, size: Size) -> DataFrame:
                 if run != at:
                     if own:
                         yield close()
-                    at, own, counts = run, [], []
-                tok, n = np.unique(size.counted(tokens(unpack_texts(blob.as_buffer())[1])), return_counts=True)
+                    at, own = run, []
+                tok = size.counted(tokens(unpack_texts(blob.as_buffer())[1]))
                 if len(tok):
                     own.append(tok)
-                    counts.append(n)
         if own:
             yield close()
 
@@ -227,9 +224,11 @@ def shared_tokens(batches: DataFrame, tokens: Tokens, size: Size) -> DataFrame:
             flat = np.concatenate([t[:k] for (_, t, _), k in zip(held, cut, strict=True)])
             n = np.concatenate([c[:k] for (_, _, c), k in zip(held, cut, strict=True)])
             order = np.argsort(flat)
-            group = np.cumsum(np.append(True, flat[order][1:] != flat[order][:-1])[: len(flat)]) - 1
+            flat = flat[order]
+            head = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])[: len(flat)])
             kind = np.empty(len(flat), np.uint8)
-            kind[order] = classes(np.bincount(group, weights=n[order]).astype(np.int64))[group]
+            if len(head):
+                kind[order] = np.repeat(classes(np.add.reduceat(n[order], head)), np.diff(head, append=len(flat)))
             by: dict[int, tuple[list, list]] = {}
             low = 0
             for (run, t, _), k in zip(held, cut, strict=True):
@@ -271,20 +270,29 @@ class Shared:
         kind = np.frombuffer(b"".join(plain_bytes(c) for _, c in rows), np.uint8)
         self.tokens, first = np.unique(tok, return_index=True)
         self.kinds = kind[first]
-        self.seen = np.zeros(1 << 22, bool)  # whether any token ends in these bits
-        self.seen[(self.tokens & self._MASK).astype(np.int64)] = True
+        # by a token's last bits: the number, from 1 on, of the last token that ends in them; the others are left over
+        self.slot = np.zeros(1 << 22, np.int32)
+        at, number = self._slots(self.tokens), np.arange(1, len(self.tokens) + 1, dtype=np.int32)
+        self.slot[at] = number
+        self.left = np.flatnonzero(self.slot[at] != number)
 
-    _MASK = np.uint64((1 << 22) - 1)
+    @staticmethod
+    def _slots(tokens: np.ndarray) -> np.ndarray:
+        return (tokens & np.uint64((1 << 22) - 1)).view(np.int64)
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         """The class of each token, 0 for those of one document."""
         own = self.size.counted(tokens)
         out = np.zeros(len(own), np.uint8)
-        some = np.flatnonzero(self.seen[(own & self._MASK).astype(np.int64)])
-        if len(some):
-            own = own[some]
-            at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
-            out[some] = np.where(self.tokens[at] == own, self.kinds[at], 0)
+        at = self.slot[self._slots(own)]
+        some = np.flatnonzero(at)
+        at, own = at[some] - 1, own[some]
+        hit = self.tokens[at] == own
+        out[some[hit]] = self.kinds[at[hit]]
+        if len(self.left):
+            some, own, rest = some[~hit], own[~hit], self.tokens[self.left]
+            at = np.minimum(np.searchsorted(rest, own), len(rest) - 1)
+            out[some] = np.where(rest[at] == own, self.kinds[self.left[at]], 0)
         return out
 
 

@@ -70,7 +70,7 @@ def counted_shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarra
         n = np.diff(first)
         starts = within(first, words)
         tok = sequences(h, words)[starts] >> np.uint64(10)
-        doc = np.searchsorted(first, starts, "right") - 1
+        doc = np.repeat(np.arange(len(part)), np.maximum(n - words + 1, 0))
         short = np.flatnonzero((n > 0) & (n < words))
         if len(short):
             own = np.array([sequences(h[first[i] : first[i + 1]], int(n[i]))[0] for i in short], np.uint64)
