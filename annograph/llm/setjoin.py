@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -238,6 +238,11 @@ def _joined(rule: Rule):
     return run
 
 
+def _blocks(sets: Column, tokens: Column) -> Column:
+    """Blocks for so many sets of so many tokens in all."""
+    return F.greatest(F.lit(1), F.ceil(sets / BLOCK_DOCS), F.ceil(tokens / BLOCK_TOKENS)).cast("int")
+
+
 def _bundles(indexed: DataFrame) -> DataFrame:
     """(list, doc_id, block, k): the sets that have to meet, by bundles of lists.
 
@@ -261,8 +266,7 @@ def _bundles(indexed: DataFrame) -> DataFrame:
     dealt = _with_list(member, kept).groupBy(F.col("bundle").alias("list"), "doc_id").agg(F.max("n").alias("n"))
     dealt = materialise(dealt, "bundles")
     size = dealt.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_TOKENS)).cast("int")
-    out = _with_list(dealt, size.where("m > 1").select("list", blocks.alias("k"))).select("list", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("block"), "k")
+    out = _with_list(dealt, size.where("m > 1").select("list", _blocks(F.col("m"), F.col("w")).alias("k"))).select("list", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("block"), "k")
     discard(member)
     return out
 
@@ -290,15 +294,16 @@ def _between(long: DataFrame, links: DataFrame, rule: Rule, tokens: int) -> Data
     times the blocks of its outsiders, not with its square, and no pair is left
     out.
     """
-    light, sets = long.select("list", "doc_id", "block"), long.select("list", "doc_id", "n", "toks", "pre")
+    light, sets = long.select("list", "doc_id", "block", F.col("n").alias("size")), long.select("list", "doc_id", "n", "toks", "pre")
     whole = _connected(light, links)
-    heads = whole.groupBy("list", "component").agg(F.min("doc_id").alias("doc_id"))
+    heads = whole.groupBy("list", "component").agg(F.min("doc_id").alias("doc_id"), F.min_by("size", "doc_id").alias("size"))
     more = links.unionAll(_links(_paired(heads, sets), rule, tokens, "head_links"))
     whole = materialise(_connected(light, more), "connected")
-    parts = whole.groupBy("list", "component").count()
-    main = parts.groupBy("list").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("m"), F.max("count").alias("most"))
-    outsiders = F.ceil((F.col("m") - F.col("most")) / BLOCK_DOCS).cast("int").alias("ko")
-    open_ = materialise(_with_list(whole, main.where("parts > 1").select("list", "main", outsiders)), "open")
+    parts = whole.groupBy("list", "component").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("w"))
+    largest = F.max(F.struct("count", "component", "w"))
+    main = parts.groupBy("list").agg(largest.alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("m"), F.sum("w").alias("w"))
+    outsiders = _blocks(F.col("m") - F.col("top.count"), F.col("w") - F.col("top.w")).alias("ko")
+    open_ = materialise(_with_list(whole, main.where("parts > 1").select("list", F.col("top.component").alias("main"), outsiders)), "open")
     others = open_.where("component <> main")
     # task (-1 - block of the main component, block of outsiders): the sides differ
     members = open_.where("component = main").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ko") - 1)))
@@ -307,7 +312,7 @@ def _between(long: DataFrame, links: DataFrame, rule: Rule, tokens: int) -> Data
     guests = _with_list(others, blocks).withColumn("block", F.explode("blocks"))
     guests = guests.select("list", (-1 - F.col("block")).cast("int").alias("i"), F.pmod(F.xxhash64("doc_id"), F.col("ko")).cast("int").alias("j"), F.lit(1).alias("side"), "doc_id", "component")
     across = members.unionAll(guests).join(sets, ["list", "doc_id"]).select(*_MEMBER, "n")
-    among = _paired(others.select("list", "component", "doc_id"), sets)
+    among = _paired(others.select("list", "component", "doc_id", "size"), sets)
     return more.unionAll(_links(among.unionAll(across), rule, tokens, "outsider_links"))
 
 
@@ -323,8 +328,8 @@ def _with_list(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _paired(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (list, component, doc_id) with their sets, in all pairs of blocks of each bundle."""
-    k = rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("k"))
+    """Rows (list, component, doc_id, size in tokens) with their sets, in all pairs of blocks of each bundle."""
+    k = rows.groupBy("list").agg(_blocks(F.count(F.lit(1)), F.sum("size")).alias("k"))
     dealt = _with_list(rows, k).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     paired = dealt.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "component")

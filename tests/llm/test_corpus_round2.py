@@ -47,3 +47,17 @@ def test_shingles_lie_in_their_document():
     doc, tok, size, words = setjoin.counted_shingles(texts.fill_null(""), 5)
     assert size.tolist() == [2, 0, 1, 0, 1, 1] and words.tolist() == [6, 0, 2, 0, 7, 5] and doc.tolist() == [0, 0, 2, 4, 5]
     assert tok[-1] in tok[:2]
+
+
+def test_pairs_of_blocks_are_bounded_by_tokens(spark, monkeypatch):
+    # blocks of 150 sets at most, but of any length, once met in one task
+    monkeypatch.setattr(setjoin, "BLOCK_TOKENS", 1000)
+    rows = spark.range(40).selectExpr("7L AS list", "id AS component", "id AS doc_id", "100L AS size")
+    sets = spark.range(40).selectExpr("7L AS list", "id AS doc_id", "100L AS n", "cast('' AS binary) AS toks", "cast('' AS binary) AS pre")
+    held, met = {}, set()
+    for r in setjoin._paired(rows, sets).collect():
+        held.setdefault((r.i, r.j), []).append(r.doc_id)
+    for ids in held.values():
+        met |= {(a, b) for a in ids for b in ids}
+    assert len(met) == 40 * 40
+    assert max(100 * len(ids) for ids in held.values()) < 4000
