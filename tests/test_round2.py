@@ -242,3 +242,17 @@ def test_distances_move_blocks_only(spark):
         y = x.astype("float32").astype(float)
         own = {(f"v{i}", f"v{j}"): np.sqrt(((y[i] - y[j]) ** 2).sum()) for i in range(700) for j in range(700) if i != j and (group is None or i % 3 == j % 3 > 0)}
         assert len(got) == len(own) and all(abs(d - own[i, j]) <= 5.1e-5 for i, j, d in got) and {(i, j) for i, j, _ in got} == own.keys()
+
+
+def test_pairs_are_dealt_by_their_number(spark):
+    """Tasks grow with the pairs, not only with the input's rows: before, as many as shuffle partitions made all rows, and pairs of a null id were lost."""
+    from annograph.operators import multilayer as ml
+
+    p = spark.createDataFrame([(None if k == 299 else k, "ab"[k % 2] if k < 290 else None, None if k == 7 else k % 5) for k in range(300)], "id long, type string, x int")
+    got = ml.element_pairs(p, p, "type", lambda x, y: [F.abs(x - y).alias("v")], size=16, rows=100)
+    rows = got.collect()
+    own = {(i, j, "ab"[i % 2], None if 7 in (i, j) else abs(i % 5 - j % 5)) for i in range(290) for j in range(290) if i % 2 == j % 2}
+    assert len(rows) == len(own) and {(r.id_1, r.id_2, r.type, r.v) for r in rows} == own
+    assert got.rdd.getNumPartitions() == -(-2 * 145**2 // 100)
+    tail = spark.createDataFrame([(1, "a", 2), (None, "a", 5)], "id long, type string, x int")
+    assert sorted((str(r.id_1), str(r.id_2)) for r in ml.element_pairs(tail, tail, "type", lambda x, y: [F.abs(x - y).alias("v")]).collect()) == [("1", "1"), ("1", "None"), ("None", "1"), ("None", "None")]
